@@ -241,7 +241,8 @@ def _claims(slots: DataFrame) -> DataFrame:
     )
     halves = F.sequence(first, F.greatest(first, last))
     return (
-        slots.select(
+        slots.filter(F.col("start_ts") < F.col("end_ts"))
+        .select(
             "id", "date", "start_ts", "end_ts", F.explode(holders()).alias("h"),
             halves.alias("halves"),
         )
