@@ -7,7 +7,8 @@ from narrow passes over the parsed feed; nothing is shuffled to flatten a payloa
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from tallyloom.functions.fixed_values import (
 )
 from tallyloom.operators.rows import first_per, replace_by_key
 from tallyloom.plans.catalogue import child_id
+from tallyloom.sources.lazy import LazyTables
 from tallyloom.sources.schemas import FEED_PAYLOAD
 
 Tables = Mapping[str, DataFrame]
@@ -131,8 +133,13 @@ def new_products(tables: Tables, parsed: DataFrame, as_of: dt.datetime) -> DataF
 
 
 def _items(parsed: DataFrame, field: str) -> DataFrame:
-    """``product_id``, ``place`` in the payload list, and ``item``."""
-    return parsed.select("product_id", F.posexplode(field).alias("place", "item"))
+    """``product_id``, ``place`` in the payload list, and ``item``.
+
+    The outer form with a filter behind it parses a payload once; the inner form makes the
+    optimizer test the list before exploding it, which parses the text again for each test.
+    """
+    items = parsed.select("product_id", F.posexplode_outer(field).alias("place", "item"))
+    return items.filter(F.col("place").isNotNull())
 
 
 def _own_id() -> Column:
@@ -234,12 +241,12 @@ def _variant_options(parsed: DataFrame) -> DataFrame:
     """
     names = F.transform("options", lambda o: o["name"]).alias("names")
     variants = parsed.select(
-        "product_id", names, F.posexplode("variants").alias("variant_place", "variant")
+        "product_id", names, F.posexplode_outer("variants").alias("place", "variant")
     )
-    named = variants.select(
+    named = variants.filter(F.col("place").isNotNull()).select(
         "product_id",
         "names",
-        child_id(F.col("product_id"), F.col("variant_place")).alias("variant_id"),
+        child_id(F.col("product_id"), F.col("place")).alias("variant_id"),
         F.explode("variant.options").alias("link"),
     )
     place = F.coalesce(F.array_position("names", F.col("link.option")), F.lit(0)) - 1
@@ -271,21 +278,23 @@ def option_rejects(parsed: DataFrame) -> DataFrame:
 def collections_of(tables: Tables, parsed: DataFrame) -> DataFrame:
     """Category links of a feed; unknown slugs drop out, a slug used twice means its lowest id."""
     by_slug = first_per(tables["categories"].select("slug", "id"), ["slug"], ["id"])
-    slugs = parsed.select("product_id", F.explode("categories").alias("slug"))
+    slugs = parsed.select("product_id", F.explode_outer("categories").alias("slug"))
     return slugs.join(by_slug, "slug").select("product_id", F.col("id").alias("category_id"))
 
 
-def feed_children(tables: Tables, parsed: DataFrame) -> dict[str, DataFrame]:
-    return {
-        "images": images_of(parsed),
-        "videos": videos_of(parsed),
-        "documents": documents_of(parsed),
-        "metadata": metadata_of(parsed),
-        "options": options_of(parsed),
-        "variants": variants_of(parsed),
-        "option_variants": option_variants_of(parsed),
-        "collections": collections_of(tables, parsed),
-    }
+def feed_children(tables: Tables, parsed: DataFrame) -> LazyTables:
+    return LazyTables(
+        {
+            "images": lambda: images_of(parsed),
+            "videos": lambda: videos_of(parsed),
+            "documents": lambda: documents_of(parsed),
+            "metadata": lambda: metadata_of(parsed),
+            "options": lambda: options_of(parsed),
+            "variants": lambda: variants_of(parsed),
+            "option_variants": lambda: option_variants_of(parsed),
+            "collections": lambda: collections_of(tables, parsed),
+        }
+    )
 
 
 # --- jobs -------------------------------------------------------------------------------------
@@ -297,14 +306,22 @@ def feed_rejects(tables: Tables, parsed: DataFrame) -> DataFrame:
     return parsed.join(known, "business_uid", "left_anti").select("product_id", "business_uid")
 
 
-def load_feed(tables: Tables, parsed: DataFrame, as_of: dt.datetime) -> dict[str, DataFrame]:
+def load_feed(tables: Tables, parsed: DataFrame, as_of: dt.datetime) -> LazyTables:
     """Products and all child tables of a feed of new products."""
     known = tables["businesses"].select(F.col("uid").alias("business_uid"))
     loadable = parsed.join(known, "business_uid", "left_semi")
-    return {
-        "products": new_products(tables, loadable, as_of),
-        **feed_children(tables, loadable),
-    }
+    return _with_products(
+        lambda: new_products(tables, loadable, as_of),
+        feed_children(tables, loadable).__getitem__,
+    )
+
+
+def _with_products(
+    products: Callable[[], DataFrame], child: Callable[[str], DataFrame]
+) -> LazyTables:
+    return LazyTables(
+        {"products": products, **{name: partial(child, name) for name in CHILD_TABLES}}
+    )
 
 
 def replaced_products(products: DataFrame, parsed: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -339,32 +356,27 @@ def replaced_products(products: DataFrame, parsed: DataFrame, as_of: dt.datetime
 
 def replace(
     tables: Tables, children: Tables, parsed: DataFrame, as_of: dt.datetime
-) -> dict[str, DataFrame]:
+) -> LazyTables:
     """All tables after a full replace: ``tables`` holds products, businesses and categories,
     ``children`` the child tables. Children of delivered products are replaced as a whole; feed
     rows of unknown products change nothing. Write the result to a new snapshot folder."""
     ids = tables["products"].select(F.col("id").alias("product_id"))
     known = parsed.join(ids, "product_id", "left_semi")
     fresh = feed_children(tables, known)
-    return {
-        "products": replaced_products(tables["products"], known, as_of),
-        **{
-            name: replace_by_key(children[name], known, fresh[name], "product_id")
-            for name in CHILD_TABLES
-        },
-    }
+    return _with_products(
+        lambda: replaced_products(tables["products"], known, as_of),
+        lambda name: replace_by_key(children[name], known, fresh[name], "product_id"),
+    )
 
 
-def delete(tables: Tables, children: Tables, product_ids: DataFrame) -> dict[str, DataFrame]:
+def delete(tables: Tables, children: Tables, product_ids: DataFrame) -> LazyTables:
     """All tables without the products of ``product_ids(id)`` and without their child rows."""
     gone = product_ids.select(F.col("id").alias("product_id")).distinct()
-    products = tables["products"].join(
-        gone.withColumnRenamed("product_id", "id"), "id", "left_anti"
+    gone_ids = gone.withColumnRenamed("product_id", "id")
+    return _with_products(
+        lambda: tables["products"].join(gone_ids, "id", "left_anti"),
+        lambda name: children[name].join(gone, "product_id", "left_anti"),
     )
-    return {
-        "products": products,
-        **{name: children[name].join(gone, "product_id", "left_anti") for name in CHILD_TABLES},
-    }
 
 
 def product_changes(product_ids: DataFrame, action: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +40,29 @@ Span = Month | DateRange | None
 
 @dataclass(frozen=True)
 class ShareReport:
-    records: DataFrame
-    summary: DataFrame
-    counts: DataFrame
+    """One report; each result is planned only when it is asked for."""
+
+    tables: Tables
+    scope: str
+    scope_id: int | None
+    span: Span
+
+    @property
+    def records(self) -> DataFrame:
+        return records(share_base(self.tables, self.scope, self.scope_id, self.span))
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        """The small table below summary and counts; persist it when both are wanted."""
+        return payment_totals(self.tables, self.scope, self.scope_id, self.span)
+
+    @property
+    def summary(self) -> DataFrame:
+        return summary(self.totals)
+
+    @property
+    def counts(self) -> DataFrame:
+        return counts(self.totals)
 
 
 def fee_records(tables: Tables, span: Span = None) -> DataFrame:
@@ -61,16 +82,20 @@ def fee_records(tables: Tables, span: Span = None) -> DataFrame:
     raise ValueError(f"unknown span: {span!r}")
 
 
+def check_scope(scope: str, scope_id: int | None) -> None:
+    if scope not in SCOPES:
+        raise ValueError(f"unknown scope: {scope!r}")
+    if (scope == "all") != (scope_id is None):
+        raise ValueError("a scope other than 'all' needs its id, and only such a scope")
+
+
 def payments_in_scope(tables: Tables, scope: str, scope_id: int | None = None) -> DataFrame:
     """Payment plans of a scope.
 
     A payment counts when its plan belongs to a lecture of the scope, so the scope is decided on
     the small plan table, once, before any payment or share row is touched.
     """
-    if scope not in SCOPES:
-        raise ValueError(f"unknown scope: {scope!r}")
-    if (scope == "all") != (scope_id is None):
-        raise ValueError("a scope other than 'all' needs its id, and only such a scope")
+    check_scope(scope, scope_id)
     payments = tables["payments"]
     if scope == "all":
         return payments
@@ -235,13 +260,9 @@ def percentages(name_counts: DataFrame) -> DataFrame:
 def share_report(
     tables: Tables, scope: str = "all", scope_id: int | None = None, span: Span = None
 ) -> ShareReport:
-    """All three results of one report, each lazy."""
-    totals = payment_totals(tables, scope, scope_id, span)
-    return ShareReport(
-        records=records(share_base(tables, scope, scope_id, span)),
-        summary=summary(totals),
-        counts=counts(totals),
-    )
+    """The report of a scope and a time span, checked at once, read when its results are used."""
+    check_scope(scope, scope_id)
+    return ShareReport(tables, scope, scope_id, span)
 
 
 def export_records(report_records: DataFrame) -> DataFrame:

@@ -6,10 +6,9 @@ division spreads one key range over another without counting, joining or filteri
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.functions.fixed_values import (
     ALIGNMENTS,
@@ -20,132 +19,97 @@ from tallyloom.functions.fixed_values import (
     SHORT_MATCH_MODES,
     STYLES,
 )
+from tallyloom.sources.lazy import LazyTables
 from tallyloom.sources.raw import read_raw
 
-SLOT_MINUTES = 60
+BRAND_NUMBER = "CAST(substring_index(p_brand, '#', -1) AS BIGINT)"
 
 
-def _text(prefix: str, key: str, suffix: str = "") -> Column:
-    return F.concat(F.lit(prefix), F.col(key).cast("string"), F.lit(suffix))
+def _sql_list(values: list[str]) -> str:
+    return "array(" + ", ".join(f"'{value}'" for value in values) + ")"
 
 
-def _div(key: str, n: int) -> Column:
-    return F.expr(f"{key} div {n}")
-
-
-def _pick(values: list[str], index: Column) -> Column:
+def _pick(values: list[str], index: str) -> str:
     """The value at ``index`` modulo the list length, without a join."""
-    items = F.array(*[F.lit(v) for v in values])
-    return F.element_at(items, (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
-
+    return f"{_sql_list(values)}[CAST({index} % {len(values)} AS INT)]"
 
-def _brand_number() -> Column:
-    return F.regexp_extract("p_brand", r"#(\d+)", 1).cast("bigint")
 
-
-class DerivedTables(Mapping[str, DataFrame]):
-    """``tables[name]`` builds one domain table lazily; nothing runs here."""
+class DerivedTables(LazyTables):
+    """All domain tables over one folder of given tables."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self._spark = spark
-        self._folder = folder
-        self._built: dict[str, DataFrame] = {}
-
-    def _raw(self, name: str) -> DataFrame:
-        return read_raw(self._spark, self._folder, name)
-
-    def __getitem__(self, name: str) -> DataFrame:
-        if name not in _BUILDERS:
-            raise KeyError(name)
-        if name not in self._built:
-            self._built[name] = _BUILDERS[name](self._raw)
-        return self._built[name]
-
-    def __iter__(self):
-        return iter(_BUILDERS)
-
-    def __len__(self) -> int:
-        return len(_BUILDERS)
+        raw = partial(read_raw, spark, folder)
+        super().__init__({name: partial(build, raw) for name, build in _BUILDERS.items()})
 
 
 # --- fee report -------------------------------------------------------------------------------
 
 
 def _students(raw) -> DataFrame:
-    return raw("customer").select(
-        F.col("c_custkey").alias("id"),
-        _text("REG", "c_custkey").alias("registration_no"),
-        F.col("c_name").alias("name"),
-        _text("s", "c_custkey", "@example.test").alias("email"),
+    return raw("customer").selectExpr(
+        "c_custkey AS id",
+        "concat('REG', c_custkey) AS registration_no",
+        "c_name AS name",
+        "concat('s', c_custkey, '@example.test') AS email",
     )
 
 
 def _teachers(raw) -> DataFrame:
-    return raw("supplier").select(
-        F.col("s_suppkey").alias("id"),
-        F.col("s_name").alias("name"),
-        _text("t", "s_suppkey", "@example.test").alias("email"),
+    return raw("supplier").selectExpr(
+        "s_suppkey AS id", "s_name AS name", "concat('t', s_suppkey, '@example.test') AS email"
     )
 
 
 def _lectures(raw) -> DataFrame:
-    return raw("part").select(
-        F.col("p_partkey").alias("id"),
-        F.col("p_name").alias("name"),
-        _brand_number().alias("course_medium_id"),
-        _div("p_partkey", 20).alias("teacher_id"),
+    return raw("part").selectExpr(
+        "p_partkey AS id",
+        "p_name AS name",
+        f"{BRAND_NUMBER} AS course_medium_id",
+        "p_partkey div 20 AS teacher_id",
     )
 
 
 def _payments(raw) -> DataFrame:
-    return raw("part").select(
-        F.col("p_partkey").alias("id"),
-        F.col("p_name").alias("name"),
-        _div("p_partkey", 4).alias("lecture_id"),
-        F.col("p_size").cast("decimal(18,2)").alias("fixed_institute_amount"),
+    return raw("part").selectExpr(
+        "p_partkey AS id",
+        "p_name AS name",
+        "p_partkey div 4 AS lecture_id",
+        "CAST(p_size AS DECIMAL(18,2)) AS fixed_institute_amount",
     )
 
 
 def _student_payments(raw) -> DataFrame:
-    plans = raw("customer").select(
-        F.col("c_custkey").alias("student_id"),
-        F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("k"),
-    )
-    return plans.select(
-        (F.col("student_id") * 4 + F.col("k")).alias("id"), "student_id", "k"
-    ).select(
-        "id",
-        "student_id",
-        _div("id", 3).alias("payment_id"),
-        F.when(F.col("k") % 2 == 0, "monthly").otherwise("card").alias("payment_type"),
+    plans = raw("customer").selectExpr("c_custkey", "explode(array(0, 1, 2, 3)) AS k")
+    return plans.selectExpr(
+        "c_custkey * 4 + k AS id",
+        "c_custkey AS student_id",
+        "(c_custkey * 4 + k) div 3 AS payment_id",
+        "if(k % 2 = 0, 'monthly', 'card') AS payment_type",
     )
 
 
 def _monthly_payments(raw) -> DataFrame:
-    status = F.col("o_orderstatus")
-    return raw("orders").select(
-        F.col("o_orderkey").alias("id"),
-        F.col("o_custkey").alias("student_id"),
-        (F.col("o_custkey") * 4 + F.col("o_orderkey") % 4).alias("student_payment_id"),
-        F.col("o_totalprice").cast("decimal(18,2)").alias("amount"),
-        F.when(status == "F", "paid")
-        .when(status == "O", "pending")
-        .otherwise("cancelled")
-        .alias("status"),
-        F.year("o_orderdate").alias("year"),
-        F.month("o_orderdate").alias("month"),
-        F.col("o_orderdate").alias("payment_date"),
+    return raw("orders").selectExpr(
+        "o_orderkey AS id",
+        "o_custkey AS student_id",
+        "o_custkey * 4 + o_orderkey % 4 AS student_payment_id",
+        "CAST(o_totalprice AS DECIMAL(18,2)) AS amount",
+        "CASE WHEN o_orderstatus = 'F' THEN 'paid' WHEN o_orderstatus = 'O' THEN 'pending' "
+        "ELSE 'cancelled' END AS status",
+        "year(o_orderdate) AS year",
+        "month(o_orderdate) AS month",
+        "o_orderdate AS payment_date",
     )
 
 
 def _teacher_institute_shares(raw) -> DataFrame:
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
-    discount = F.col("l_discount").cast("decimal(4,2)")
-    return raw("lineitem").select(
-        F.col("l_orderkey").alias("monthly_payment_id"),
-        F.col("l_suppkey").alias("teacher_id"),
-        (price * (1 - discount)).cast("decimal(18,4)").alias("teacher_amount"),
-        (price * discount).cast("decimal(18,4)").alias("institute_amount"),
+    price = "CAST(l_extendedprice AS DECIMAL(18,2))"
+    discount = "CAST(l_discount AS DECIMAL(4,2))"
+    return raw("lineitem").selectExpr(
+        "l_orderkey AS monthly_payment_id",
+        "l_suppkey AS teacher_id",
+        f"CAST({price} * (1 - {discount}) AS DECIMAL(18,4)) AS teacher_amount",
+        f"CAST({price} * {discount} AS DECIMAL(18,4)) AS institute_amount",
     )
 
 
@@ -153,63 +117,50 @@ def _teacher_institute_shares(raw) -> DataFrame:
 
 
 def _rooms(raw) -> DataFrame:
-    return raw("customer").select(
-        F.col("c_custkey").alias("id"),
-        F.col("c_name").alias("name"),
-        (F.col("c_custkey") % 8 + 6).cast("int").alias("no_of_seats"),
+    return raw("customer").selectExpr(
+        "c_custkey AS id", "c_name AS name", "CAST(c_custkey % 8 + 6 AS INT) AS no_of_seats"
     )
 
 
 def _lecture_student(raw) -> DataFrame:
-    return raw("orders").select(
-        _div("o_orderkey", 8).alias("lecture_id"), F.col("o_custkey").alias("student_id")
-    )
-
-
-def _slots(events: DataFrame) -> DataFrame:
-    return events.select(
-        F.col("event_id").alias("id"),
-        (F.col("user_id") * 13 + F.col("event_id") % 13).alias("lecture_id"),
-        F.col("user_id").alias("room_id"),
-        F.to_date("ts").alias("date"),
-        F.col("ts").alias("start_ts"),
-        (F.col("ts") + F.expr(f"INTERVAL {SLOT_MINUTES} MINUTES")).alias("end_ts"),
-    )
+    return raw("orders").selectExpr("o_orderkey div 8 AS lecture_id", "o_custkey AS student_id")
 
 
 # Every event type feeds exactly one of the three timetable inputs.
-SCHEDULE_TYPES = ["view", "click", "error"]
-REQUEST_TYPE = "signup"
-CHANGE_TYPE = "purchase"
+SCHEDULE_EVENTS = "event_type IN ('view', 'click', 'error')"
+REQUEST_EVENTS = "event_type = 'signup'"
+CHANGE_EVENTS = "event_type = 'purchase'"
+
+_WHEN = ("CAST(ts AS DATE) AS date", "ts AS start_ts", "ts + INTERVAL 60 MINUTES AS end_ts")
+_SLOT = (
+    "event_id AS id",
+    "user_id * 13 + event_id % 13 AS lecture_id",
+    "user_id AS room_id",
+    *_WHEN,
+)
 
 
 def _daily_schedules(raw) -> DataFrame:
-    events = raw("events").filter(F.col("event_type").isin(SCHEDULE_TYPES))
-    return _slots(events).withColumn("status", F.lit("active"))
+    return raw("events").filter(SCHEDULE_EVENTS).selectExpr(*_SLOT, "'active' AS status")
 
 
 def _schedule_requests(raw) -> DataFrame:
-    return _slots(raw("events").filter(F.col("event_type") == REQUEST_TYPE))
+    return raw("events").filter(REQUEST_EVENTS).selectExpr(*_SLOT)
 
 
 def _schedule_changes(raw) -> DataFrame:
     """A change names the event just before it; where that is no schedule, the id is unknown."""
-    slots = _slots(raw("events").filter(F.col("event_type") == CHANGE_TYPE))
-    return slots.select(
-        (F.col("id") - 1).alias("id"), "room_id", "date", "start_ts", "end_ts"
-    )
+    changes = raw("events").filter(CHANGE_EVENTS)
+    return changes.selectExpr("event_id - 1 AS id", "user_id AS room_id", *_WHEN)
 
 
 def _attendances(raw) -> DataFrame:
-    value = F.col("value")
-    return raw("events").select(
-        F.col("event_id").alias("id"),
-        (F.col("event_id") - F.col("event_id") % 2).alias("daily_schedule_id"),
-        _div("user_id", 15).alias("student_id"),
-        F.when(value < 10, "absent")
-        .when(value < 50, "late")
-        .otherwise("present")
-        .alias("attendance_status"),
+    return raw("events").selectExpr(
+        "event_id AS id",
+        "event_id - event_id % 2 AS daily_schedule_id",
+        "user_id div 15 AS student_id",
+        "CASE WHEN value < 10 THEN 'absent' WHEN value < 50 THEN 'late' ELSE 'present' END "
+        "AS attendance_status",
     )
 
 
@@ -217,216 +168,167 @@ def _attendances(raw) -> DataFrame:
 
 
 def _businesses(raw) -> DataFrame:
-    return raw("supplier").select(
-        F.col("s_suppkey").alias("id"), _text("biz-", "s_suppkey").alias("uid")
-    )
+    return raw("supplier").selectExpr("s_suppkey AS id", "concat('biz-', s_suppkey) AS uid")
 
 
 def _products(raw) -> DataFrame:
-    created = F.expr("timestamp_ntz'2020-01-01 00:00:00'") + F.make_dt_interval(
-        (F.col("p_partkey") % 365).cast("int"), (F.col("p_partkey") % 24).cast("int")
+    created = (
+        "timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval("
+        "CAST(p_partkey % 365 AS INT), CAST(p_partkey % 24 AS INT))"
     )
-    no_text = F.lit("")
-    return raw("part").select(
-        F.col("p_partkey").alias("id"),
-        _text("prd-", "p_partkey").alias("uid"),
-        (F.col("p_partkey") % 25).alias("account_id"),
-        _div("p_partkey", 20).alias("vendor_id"),
-        F.col("p_name").alias("title"),
-        F.col("p_name").alias("slug"),
-        F.col("p_type").alias("description"),
-        no_text.alias("except"),
-        (F.col("p_size") % 2).alias("published_scope"),
-        no_text.alias("currency"),
-        F.col("p_retailprice").cast("decimal(18,2)").alias("price"),
-        F.lit(None).cast("decimal(18,2)").alias("compare_at_price"),
-        F.col("p_size").alias("inventory_quantity"),
-        F.lit(None).cast("int").alias("min_purchase_quantity"),
-        no_text.alias("metric"),
-        F.when(F.col("p_partkey") % 3 == 0, DRAFT).otherwise(LIVE).alias("action_type"),
-        created.alias("action_date"),
-        created.alias("created_at"),
+    return raw("part").selectExpr(
+        "p_partkey AS id",
+        "concat('prd-', p_partkey) AS uid",
+        "p_partkey % 25 AS account_id",
+        "p_partkey div 20 AS vendor_id",
+        "p_name AS title",
+        "p_name AS slug",
+        "p_type AS description",
+        "'' AS `except`",
+        "p_size % 2 AS published_scope",
+        "'' AS currency",
+        "CAST(p_retailprice AS DECIMAL(18,2)) AS price",
+        "CAST(NULL AS DECIMAL(18,2)) AS compare_at_price",
+        "p_size AS inventory_quantity",
+        "CAST(NULL AS INT) AS min_purchase_quantity",
+        "'' AS metric",
+        f"if(p_partkey % 3 = 0, {DRAFT}, {LIVE}) AS action_type",
+        f"{created} AS action_date",
+        f"{created} AS created_at",
     )
 
 
 def _categories(raw) -> DataFrame:
-    return (
-        raw("part")
-        .select("p_brand")
-        .distinct()
-        .select(
-            _brand_number().alias("id"),
-            (_brand_number() % 25).alias("account_id"),
-            F.lower("p_brand").alias("slug"),
-        )
+    brands = raw("part").select("p_brand").distinct()
+    return brands.selectExpr(
+        f"{BRAND_NUMBER} AS id", f"{BRAND_NUMBER} % 25 AS account_id", "lower(p_brand) AS slug"
     )
 
 
 def _collections(raw) -> DataFrame:
-    links = F.array_distinct(F.array(_brand_number(), F.col("p_partkey") % 25 + 1))
-    return raw("part").select(
-        F.col("p_partkey").alias("product_id"), F.explode(links).alias("category_id")
+    return raw("part").selectExpr(
+        "p_partkey AS product_id",
+        f"explode(array_distinct(array({BRAND_NUMBER}, p_partkey % 25 + 1))) AS category_id",
     )
 
 
-def _first(n: int, count: Column, build) -> Column:
-    """A list of ``count`` (at most ``n``) structs, one per index."""
-    indexes = F.filter(F.array(*[F.lit(i) for i in range(n)]), lambda i: i < count)
-    return F.transform(indexes, build)
+def _items(n: int, count: str, item: str) -> str:
+    """A list of ``count`` items, at most ``n``, each built from its index ``i``."""
+    indexes = ", ".join(str(i) for i in range(n))
+    return f"transform(filter(array({indexes}), i -> i < {count}), i -> {item})"
 
 
-def _feed(raw, part_filter: Column | None = None, revised: bool = False) -> DataFrame:
+def _feed(parts: DataFrame, title: str, n_images: str) -> DataFrame:
     """Product feed as it arrives: a product id and one JSON text per product."""
-    part = raw("part")
-    if part_filter is not None:
-        part = part.filter(part_filter)
-    key = F.col("p_partkey").cast("string")
-    size = F.col("p_size")
-    n_images = F.pmod(size + (1 if revised else 0), F.lit(4))
-    title = F.when(size > 25, F.upper("p_name")).otherwise(F.col("p_name"))
-    option = F.when(F.col("p_partkey") % 10 == 0, "colour").otherwise("size")
-    payload = F.struct(
-        F.concat(F.lit("biz-"), _div("p_partkey", 20).cast("string")).alias("business_uid"),
-        (F.col("p_partkey") % 25).alias("account_id"),
-        (title if revised else F.col("p_name")).alias("title"),
-        F.col("p_type").alias("description"),
-        F.col("p_retailprice").cast("decimal(18,2)").alias("price"),
-        size.alias("inventory_quantity"),
-        _first(
-            4,
-            n_images,
-            lambda i: F.struct(
-                i.alias("position"),
-                F.concat(F.lit("view "), i.cast("string")).alias("alt"),
-                F.concat(F.lit("img/"), key, F.lit("/"), i.cast("string")).alias("src"),
-                F.lit(640).alias("width"),
-            ),
-        ).alias("images"),
-        F.array(F.lower("p_brand"), F.lit("unknown")).alias("categories"),
-        _first(
-            1,
-            size % 2,
-            lambda i: F.struct(
-                F.col("p_name").alias("title"),
-                F.concat(F.lit("https://video.example.test/"), key).alias("url"),
-            ),
-        ).alias("videos"),
-        F.array(
-            F.struct(
-                F.concat(F.lit("Sheet "), key).alias("title"),
-                F.concat(F.lit("doc/"), key).alias("src"),
-                F.lit("pdf").alias("kind"),
-                F.lit(0).alias("position"),
-            )
-        ).alias("documents"),
-        F.array(
-            F.struct(
-                F.lit(1).alias("metafield_id"),
-                F.array(F.col("p_type"), F.col("p_brand")).alias("name"),
-                F.lit("tags").alias("label"),
-                F.lit(7).alias("kind"),
-            ),
-            F.struct(
-                F.lit(2).alias("metafield_id"),
-                F.array(F.col("p_brand")).alias("name"),
-                F.lit(None).cast("string").alias("label"),
-                F.lit(1).alias("kind"),
-            ),
-        ).alias("metadata"),
-        F.array(
-            F.struct(
-                F.lit("size").alias("name"),
-                F.array(F.lit("S"), F.lit("M")).alias("value"),
-                F.lit(0).alias("position"),
-            ),
-            F.struct(
-                F.lit("type").alias("name"),
-                F.array(F.col("p_type")).alias("value"),
-                F.lit(1).alias("position"),
-            ),
-        ).alias("options"),
-        _first(
-            3,
-            F.col("p_partkey") % 3 + 1,
-            lambda i: F.struct(
-                F.concat(F.col("p_name"), F.lit(" v"), i.cast("string")).alias("title"),
-                (F.col("p_retailprice").cast("decimal(18,2)") + i).alias("price"),
-                F.concat(F.lit("sku-"), key, F.lit("-"), i.cast("string")).alias("sku"),
-                i.alias("position"),
-                F.array(
-                    F.struct(
-                        option.alias("option"),
-                        F.when(i % 2 == 0, "S").otherwise("M").alias("value"),
-                    )
-                ).alias("options"),
-            ),
-        ).alias("variants"),
+    price = "CAST(p_retailprice AS DECIMAL(18,2))"
+    images = (
+        "named_struct('position', i, 'alt', concat('view ', i), "
+        "'src', concat('img/', p_partkey, '/', i), 'width', 640)"
+    )
+    videos = (
+        "named_struct('title', p_name, "
+        "'url', concat('https://video.example.test/', p_partkey))"
     )
-    return part.select(
-        F.col("p_partkey").alias("product_id"), F.to_json(payload).alias("payload")
+    documents = (
+        "array(named_struct('title', concat('Sheet ', p_partkey), "
+        "'src', concat('doc/', p_partkey), 'kind', 'pdf', 'position', 0))"
+    )
+    metadata = (
+        "array(named_struct('metafield_id', 1, 'name', array(p_type, p_brand), "
+        "'label', 'tags', 'kind', 7), "
+        "named_struct('metafield_id', 2, 'name', array(p_brand), "
+        "'label', CAST(NULL AS STRING), 'kind', 1))"
+    )
+    options = (
+        "array(named_struct('name', 'size', 'value', array('S', 'M'), 'position', 0), "
+        "named_struct('name', 'type', 'value', array(p_type), 'position', 1))"
+    )
+    variants = (
+        f"named_struct('title', concat(p_name, ' v', i), 'price', {price} + i, "
+        "'sku', concat('sku-', p_partkey, '-', i), 'position', i, "
+        "'options', array(named_struct("
+        "'option', if(p_partkey % 10 = 0, 'colour', 'size'), "
+        "'value', if(i % 2 = 0, 'S', 'M'))))"
+    )
+    fields = {
+        "business_uid": "concat('biz-', p_partkey div 20)",
+        "account_id": "p_partkey % 25",
+        "title": title,
+        "description": "p_type",
+        "price": price,
+        "inventory_quantity": "p_size",
+        "images": _items(4, n_images, images),
+        "categories": "array(lower(p_brand), 'unknown')",
+        "videos": _items(1, "p_size % 2", videos),
+        "documents": documents,
+        "metadata": metadata,
+        "options": options,
+        "variants": _items(3, "p_partkey % 3 + 1", variants),
+    }
+    payload = ", ".join(f"'{name}', {value}" for name, value in fields.items())
+    return parts.selectExpr(
+        "p_partkey AS product_id", f"to_json(named_struct({payload})) AS payload"
     )
 
 
 def _product_feed(raw) -> DataFrame:
-    return _feed(raw)
+    return _feed(raw("part"), "p_name", "p_size % 4")
 
 
 def _revised_feed(raw) -> DataFrame:
     """A second delivery: one product type only, other image counts, some titles changed."""
-    return _feed(raw, F.col("p_type") == "PROMO", revised=True)
+    return _feed(
+        raw("part").filter("p_type = 'PROMO'"),
+        "if(p_size > 25, upper(p_name), p_name)",
+        "(p_size + 1) % 4",
+    )
 
 
 # --- requests ---------------------------------------------------------------------------------
 
 
 def _avatars(raw) -> DataFrame:
-    return raw("supplier").select(
-        F.col("s_suppkey").alias("id"),
-        _text("actor-", "s_suppkey").alias("actor_id"),
-        F.when(F.col("s_suppkey") % 2 == 0, "female").otherwise("male").alias("gender"),
+    return raw("supplier").selectExpr(
+        "s_suppkey AS id",
+        "concat('actor-', s_suppkey) AS actor_id",
+        "if(s_suppkey % 2 = 0, 'female', 'male') AS gender",
     )
 
 
 def _voices(raw) -> DataFrame:
-    return raw("customer").select(
-        _text("voice-", "c_custkey").alias("voice_id"),
-        _text("Language ", "c_nationkey").alias("language"),
-        F.col("c_name").alias("name"),
-        F.when(F.col("c_custkey") % 2 == 0, "female").otherwise("male").alias("gender"),
+    return raw("customer").selectExpr(
+        "concat('voice-', c_custkey) AS voice_id",
+        "concat('Language ', c_nationkey) AS language",
+        "c_name AS name",
+        "if(c_custkey % 2 = 0, 'female', 'male') AS gender",
     )
 
 
 def _video_requests(raw) -> DataFrame:
     """One request per document: the whole text is read out, title and link come from its page."""
-    doc = F.col("doc_id")
-    pages = raw("pages").select(
+    pages = raw("pages").selectExpr(
         "page_id",
         "url",
-        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("page_title"),
-        F.regexp_extract("html", '<div class="ad">([^<]*)</div>', 1).alias("page_note"),
+        "regexp_extract(html, '<title>([^<]*)</title>', 1) AS page_title",
+        "regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1) AS page_note",
     )
-    docs = raw("documents").select("doc_id", "text", "source")
-
-    def missing(n: int, value: Column) -> Column:
-        return F.when(doc % n != 0, value)
-
-    return docs.join(pages, F.col("page_id") == _div("doc_id", 4), "left").select(
-        doc.alias("request_id"),
-        F.concat_ws(" ", "page_title", F.when(doc % 4 != 0, F.col("page_note"))).alias("title"),
-        F.concat_ws(" ", "source", "page_title", "page_note").alias("description"),
-        F.col("text").alias("transcript"),
-        missing(17, F.lit("Watch")).alias("cta_label"),
-        F.when(doc % 9 == 0, F.regexp_replace("url", "^https?://", ""))
-        .otherwise(F.col("url"))
-        .alias("cta_url"),
-        _pick(ALIGNMENTS, doc).alias("horizontal_align"),
-        _pick(STYLES, _div("doc_id", 4)).alias("style"),
-        missing(19, _text("voice-", "doc_id")).alias("voice"),
-        missing(23, F.lit("calm")).alias("sound_track"),
-        F.when(doc % 13 == 0, "none_such").otherwise(_pick(BACKGROUNDS, doc)).alias("background"),
-        _pick(SHORT_MATCH_MODES, doc).alias("short_content_match_mode"),
-        _pick(LONG_MATCH_MODES, doc).alias("long_content_match_mode"),
-        _div("doc_id", 9).alias("avatar_id"),
+    docs = raw("documents").selectExpr("doc_id", "text", "source", "doc_id div 4 AS page_id")
+    background = _pick(BACKGROUNDS, "doc_id")
+    return docs.join(pages, "page_id", "left").selectExpr(
+        "doc_id AS request_id",
+        "concat_ws(' ', page_title, if(doc_id % 4 != 0, page_note, NULL)) AS title",
+        "concat_ws(' ', source, page_title, page_note) AS description",
+        "text AS transcript",
+        "if(doc_id % 17 != 0, 'Watch', NULL) AS cta_label",
+        "if(doc_id % 9 = 0, regexp_replace(url, '^https?://', ''), url) AS cta_url",
+        f"{_pick(ALIGNMENTS, 'doc_id')} AS horizontal_align",
+        f"{_pick(STYLES, '(doc_id div 4)')} AS style",
+        "if(doc_id % 19 != 0, concat('voice-', doc_id), NULL) AS voice",
+        "if(doc_id % 23 != 0, 'calm', NULL) AS sound_track",
+        f"if(doc_id % 13 = 0, 'none_such', {background}) AS background",
+        f"{_pick(SHORT_MATCH_MODES, 'doc_id')} AS short_content_match_mode",
+        f"{_pick(LONG_MATCH_MODES, 'doc_id')} AS long_content_match_mode",
+        "doc_id div 9 AS avatar_id",
     )
 
 

@@ -2,29 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.sources.lazy import LazyTables
 from tallyloom.sources.schemas import TABLE_SCHEMAS
 
 
-class StoredTables(Mapping[str, DataFrame]):
-    """Reads a domain table the first time it is asked for."""
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{folder}/{name}")
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self._spark = spark
-        self._folder = folder
-
-    def __getitem__(self, name: str) -> DataFrame:
-        schema = TABLE_SCHEMAS[name]
-        return self._spark.read.schema(schema).parquet(f"{self._folder}/{name}")
 
-    def __iter__(self):
-        return iter(TABLE_SCHEMAS)
+class StoredTables(LazyTables):
+    """All domain tables of one snapshot folder."""
 
-    def __len__(self) -> int:
-        return len(TABLE_SCHEMAS)
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__(
+            {name: partial(read_table, spark, folder, name) for name in TABLE_SCHEMAS}
+        )
 
 
 def empty_table(spark: SparkSession, name: str) -> DataFrame:
