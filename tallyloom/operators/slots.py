@@ -16,136 +16,107 @@ minutes before (a window over at most the minutes of a date, already summed).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 
-# What a slot occupies: a name for the kind and the column that holds its key.
-HOLDERS = {"teacher": "teacher_id", "room": "room_id"}
+# The kinds of holder a slot occupies; the key of each is in the column ``<kind>_id``.
+KINDS = ("teacher", "room")
 
-_HOLDER_KEYS = ["kind", "holder", "date"]
 
-
-def holders() -> Column:
-    """What a slot occupies, as a list of (kind, holder)."""
-    return F.array(
-        *[
-            F.struct(F.lit(kind).alias("kind"), F.col(column).alias("holder"))
-            for kind, column in HOLDERS.items()
-        ]
-    )
-
-
-def _instants(slots: DataFrame, weight: int) -> DataFrame:
-    """Two rows per slot and holder: its start and its end, counted when ``weight`` is 1."""
-    edges = F.array(
-        F.struct(
-            F.col("start_ts").alias("at"), F.lit(weight).alias("starts"), F.lit(0).alias("ends")
-        ),
-        F.struct(
-            F.col("end_ts").alias("at"), F.lit(0).alias("starts"), F.lit(weight).alias("ends")
-        ),
-    )
-    held = slots.select("date", edges.alias("edges"), F.explode(holders()).alias("h"))
-    return held.filter(F.col("h.holder").isNotNull()).select(
-        "h.kind", "h.holder", "date", F.inline("edges")
-    )
+def _by_holder(kinds: tuple[str, ...]) -> str:
+    """Generator text: one row per kind of holder of a slot."""
+    pairs = ", ".join(f"'{kind}', {kind}_id" for kind in kinds)
+    return f"stack({len(kinds)}, {pairs}) AS kind, holder"
 
 
-def minute_of(at: str) -> Column:
+def _minute(at: str) -> str:
     """Whole minutes since 1970, straight from the wall clock."""
-    day = F.unix_date(F.to_date(at)).cast("bigint")
-    return day * 1440 + F.hour(at) * 60 + F.minute(at)
-
-
-def _running_counts(taken: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Per holder and instant: taken slots started / ended before it, and up to it."""
-    first_day, last_day = (
-        wanted.agg(bound("date").alias("day")).scalar() for bound in (F.min, F.max)
-    )
-    near = taken.filter(F.col("date").between(first_day, last_day)).filter(
-        F.col("start_ts") < F.col("end_ts")
-    )
-    instants = (
-        _instants(near, 1)
-        .unionByName(_instants(wanted, 0))
-        .groupBy(*_HOLDER_KEYS, "at")
-        .agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends"))
-        .withColumn("minute", minute_of("at"))
-    )
-    so_far = (
-        Window.partitionBy(*_HOLDER_KEYS, "minute")
-        .orderBy("at")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    inside = instants.select(
-        *_HOLDER_KEYS,
-        "minute",
-        "at",
-        "starts",
-        "ends",
-        F.sum("starts").over(so_far).alias("starts_in"),
-        F.sum("ends").over(so_far).alias("ends_in"),
-    )
-    minutes_before = (
-        Window.partitionBy(*_HOLDER_KEYS)
-        .orderBy("minute")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before = (
-        instants.groupBy(*_HOLDER_KEYS, "minute")
-        .agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends"))
-        .select(
-            *_HOLDER_KEYS,
-            "minute",
-            F.coalesce(F.sum("starts").over(minutes_before), F.lit(0)).alias("starts_carried"),
-            F.coalesce(F.sum("ends").over(minutes_before), F.lit(0)).alias("ends_carried"),
-        )
-    )
-    starts_upto = F.col("starts_carried") + F.col("starts_in")
-    ends_upto = F.col("ends_carried") + F.col("ends_in")
-    return inside.join(before, [*_HOLDER_KEYS, "minute"]).select(
-        *_HOLDER_KEYS,
-        "at",
-        starts_upto.alias("starts_upto"),
-        (starts_upto - F.col("starts")).alias("starts_before"),
-        ends_upto.alias("ends_upto"),
-        (ends_upto - F.col("ends")).alias("ends_before"),
-    )
-
-
-def clash_counts(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    return f"(unix_date(CAST({at} AS DATE)) * 1440L + hour({at}) * 60 + minute({at}))"
+
+
+def _running_counts(kinds: tuple[str, ...]) -> str:
+    """Per holder and instant: taken slots started / ended up to it (``_in`` within its minute,
+    ``_carried`` from the minutes before) and before it."""
+    return f"""
+    instants AS (
+        SELECT kind, holder, date, at, {_minute('at')} AS minute,
+               sum(starts) AS starts, sum(ends) AS ends
+        FROM (
+            SELECT *, 1 AS weight FROM taken
+            WHERE date BETWEEN (SELECT min(date) FROM wanted) AND (SELECT max(date) FROM wanted)
+            UNION ALL
+            SELECT *, 0 FROM wanted)
+        LATERAL VIEW {_by_holder(kinds)}
+        LATERAL VIEW stack(2, start_ts, weight, 0, end_ts, 0, weight) AS at, starts, ends
+        WHERE holder IS NOT NULL
+        GROUP BY kind, holder, date, at),
+    inside AS (
+        SELECT *, sum(starts) OVER so_far AS starts_in, sum(ends) OVER so_far AS ends_in
+        FROM instants
+        WINDOW so_far AS (PARTITION BY kind, holder, date, minute ORDER BY at
+                          ROWS UNBOUNDED PRECEDING)),
+    carried AS (
+        SELECT kind, holder, date, minute,
+               coalesce(sum(starts) OVER earlier, 0) AS starts_carried,
+               coalesce(sum(ends) OVER earlier, 0) AS ends_carried
+        FROM (SELECT kind, holder, date, minute, sum(starts) AS starts, sum(ends) AS ends
+              FROM instants GROUP BY kind, holder, date, minute)
+        WINDOW earlier AS (PARTITION BY kind, holder, date ORDER BY minute
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    counts AS (
+        SELECT kind, holder, date, at, starts_carried + starts_in AS starts_upto,
+               starts_carried + starts_in - starts AS starts_before,
+               ends_carried + ends_in AS ends_upto,
+               ends_carried + ends_in - ends AS ends_before
+        FROM inside JOIN carried USING (kind, holder, date, minute))"""
+
+
+def _clash_sql(kinds: tuple[str, ...]) -> str:
+    """Every wanted slot asks at its start and at its end, for each of its holders."""
+    holder_columns = ", ".join(f"{kind}_id" for kind in kinds)
+    slot = f"id, date, start_ts, end_ts, {holder_columns}"
+    sums = []
+    for kind in kinds:
+        overlap = "if(is_end, starts_before, -ends_upto)"
+        for name, value in (("clashes", overlap), ("endpoints", "starts_upto - ends_before")):
+            total = f"sum({value}) FILTER (WHERE kind = '{kind}')"
+            sums.append(f"coalesce({total}, 0) AS {kind}_{name}")
+    return f"""
+    WITH taken AS (SELECT {slot} FROM {{taken_slots}} WHERE start_ts < end_ts),
+    wanted AS (SELECT {slot} FROM {{wanted_slots}} WHERE start_ts < end_ts),
+    {_running_counts(kinds)},
+    probes AS (
+        SELECT id, kind, holder, date, is_end, at FROM wanted
+        LATERAL VIEW {_by_holder(kinds)}
+        LATERAL VIEW stack(2, false, start_ts, true, end_ts) AS is_end, at)
+    SELECT id, {", ".join(sums)}
+    FROM probes JOIN counts USING (kind, holder, date, at)
+    GROUP BY id"""
+
+
+def clash_counts(
+    wanted: DataFrame, taken: DataFrame, kinds: tuple[str, ...] = KINDS
+) -> DataFrame:
     """One row per wanted slot: ``id`` and, per kind of holder, how many taken slots
 
     * overlap it (``<kind>_clashes``; touching slots do not overlap),
     * hold its start or its end, both ends included (``<kind>_endpoints``).
 
-    ``wanted`` and ``taken`` carry ``id, date, start_ts, end_ts, teacher_id, room_id``; ids of
+    ``wanted`` and ``taken`` carry ``id, date, start_ts, end_ts`` and ``<kind>_id``; ids of
     ``wanted`` are unique. A slot that does not end after it starts occupies nothing.
     """
-    counts = _running_counts(taken, wanted)
-    ends = F.array(
-        F.struct(F.lit("start").alias("edge"), F.col("start_ts").alias("at")),
-        F.struct(F.lit("end").alias("edge"), F.col("end_ts").alias("at")),
-    )
-    probes = (
-        wanted.filter(F.col("start_ts") < F.col("end_ts"))
-        .select("id", "date", ends.alias("ends"), F.explode(holders()).alias("h"))
-        .select("id", "h.kind", "h.holder", "date", F.inline("ends"))
-    )
-    overlap = F.when(F.col("edge") == "end", F.col("starts_before")).otherwise(
-        -F.col("ends_upto")
+    return wanted.sparkSession.sql(_clash_sql(kinds), wanted_slots=wanted, taken_slots=taken)
+
+
+def claims(slots: DataFrame, minutes: int) -> DataFrame:
+    """One row per slot, kind of holder and stretch of ``minutes`` that the slot touches."""
+    touched = f"{_minute('start_ts')} div {minutes}, {_minute('end_ts')} div {minutes}"
+    return slots.sparkSession.sql(
+        f"""SELECT id, date, kind, holder, stretch, start_ts, end_ts FROM {{slots}}
+            LATERAL VIEW {_by_holder(KINDS)}
+            LATERAL VIEW explode(sequence({touched})) AS stretch
+            WHERE start_ts < end_ts AND holder IS NOT NULL""",
+        slots=slots,
     )
-    holding = F.col("starts_upto") - F.col("ends_before")
-    sums = []
-    for kind in HOLDERS:
-        of_kind = F.col("kind") == kind
-        sums.append(_sum_where(of_kind, overlap).alias(f"{kind}_clashes"))
-        sums.append(_sum_where(of_kind, holding).alias(f"{kind}_endpoints"))
-    return probes.join(counts, [*_HOLDER_KEYS, "at"]).groupBy("id").agg(*sums)
-
-
-def _sum_where(condition: Column, value: Column) -> Column:
-    return F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

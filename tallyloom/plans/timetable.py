@@ -20,7 +20,7 @@ from tallyloom.functions.fixed_values import (
     TEACHER_TEXT,
 )
 from tallyloom.operators.rows import first_per
-from tallyloom.operators.slots import HOLDERS, clash_counts, holders, minute_of, overlaps
+from tallyloom.operators.slots import KINDS, claims, clash_counts, overlaps
 from tallyloom.session import ensure_checkpoint_dir
 
 Tables = Mapping[str, DataFrame]
@@ -111,23 +111,30 @@ def with_teacher(tables: Tables, slots: DataFrame) -> DataFrame:
     return slots.join(lectures, "lecture_id", "left")
 
 
-def conflicts(tables: Tables, requests: DataFrame) -> DataFrame:
+def conflicts(
+    tables: Tables, requests: DataFrame, kinds: tuple[str, ...] = KINDS
+) -> DataFrame:
     """Per request: how many committed schedules of its teacher and of its room it clashes with."""
-    wanted = with_teacher(tables, requests)
-    return clash_counts(wanted, with_teacher(tables, tables["daily_schedules"]))
+    wanted, taken = requests, tables["daily_schedules"]
+    if "teacher" in kinds:
+        wanted, taken = with_teacher(tables, wanted), with_teacher(tables, taken)
+    return clash_counts(wanted, taken, kinds)
 
 
 def teacher_conflicts(tables: Tables, requests: DataFrame) -> DataFrame:
-    return _clashing(tables, requests, "teacher_clashes")
+    """Requests that overlap committed schedules of their teacher, with the number of those."""
+    return _clashing(tables, requests, "teacher")
 
 
 def room_conflicts(tables: Tables, requests: DataFrame) -> DataFrame:
-    return _clashing(tables, requests, "room_clashes")
+    """Requests that overlap committed schedules of their room, with the number of those."""
+    return _clashing(tables, requests, "room")
 
 
-def _clashing(tables: Tables, requests: DataFrame, column: str) -> DataFrame:
-    found = conflicts(tables, requests).filter(F.col(column) > 0)
-    return requests.join(found.select("id", F.col(column).alias("n_clashes")), "id")
+def _clashing(tables: Tables, requests: DataFrame, kind: str) -> DataFrame:
+    clashes = F.col(f"{kind}_clashes")
+    found = conflicts(tables, requests, (kind,)).filter(clashes > 0)
+    return requests.join(found.select("id", clashes.alias("n_clashes")), "id")
 
 
 def endpoint_conflicts(tables: Tables, requests: DataFrame) -> DataFrame:
@@ -178,7 +185,7 @@ def admit(tables: Tables, requests: DataFrame) -> DataFrame:
     checked = capacity(tables, with_lecture_teacher(tables, requests)).join(
         conflicts(tables, requests), "id", "left"
     )
-    clashes = {kind: F.coalesce(F.col(f"{kind}_clashes") > 0, F.lit(False)) for kind in HOLDERS}
+    clashes = {kind: F.coalesce(F.col(f"{kind}_clashes") > 0, F.lit(False)) for kind in KINDS}
     outcome, refusal = _verdict(clashes)
     return checked.select(
         *SLOT,
@@ -196,7 +203,7 @@ def admit(tables: Tables, requests: DataFrame) -> DataFrame:
 
 CLAIM_MINUTES = 30
 
-_PLACE = ["date", "kind", "holder", "half"]
+_PLACE = ["date", "kind", "holder", "stretch"]
 
 
 def admit_batch(tables: Tables, requests: DataFrame) -> DataFrame:
@@ -214,7 +221,7 @@ def admit_batch(tables: Tables, requests: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(requests.sparkSession)
     checked = admit(tables, requests).checkpoint()
-    candidates = _claims(checked.filter(F.col("outcome") == "ok"))
+    candidates = claims(checked.filter(F.col("outcome") == "ok"), CLAIM_MINUTES)
     waiting, admitted = candidates, []
     while not waiting.isEmpty():
         settled = _settle(waiting).checkpoint()
@@ -222,7 +229,9 @@ def admit_batch(tables: Tables, requests: DataFrame) -> DataFrame:
         waiting = settled.filter(~F.col("won") & ~F.col("lost")).select(candidates.columns)
     if not admitted:
         return checked
-    lost = _lost_to(candidates, reduce(DataFrame.unionByName, admitted))
+    # A teacher taken by the batch also comes before a room taken in the committed timetable.
+    open_to_batch = claims(checked.filter(F.col("outcome").isin("ok", "room")), CLAIM_MINUTES)
+    lost = _lost_to(open_to_batch, reduce(DataFrame.unionByName, admitted))
     text = F.when(F.col("lost") == "teacher", TEACHER_TEXT).when(
         F.col("lost") == "room", ROOM_TEXT
     )
@@ -234,26 +243,6 @@ def admit_batch(tables: Tables, requests: DataFrame) -> DataFrame:
     )
 
 
-def _claims(slots: DataFrame) -> DataFrame:
-    """One row per slot, kind of holder and half-hour touched."""
-    first, last = (
-        F.floor(minute_of(edge) / CLAIM_MINUTES).cast("bigint") for edge in ("start_ts", "end_ts")
-    )
-    halves = F.sequence(first, F.greatest(first, last))
-    return (
-        slots.filter(F.col("start_ts") < F.col("end_ts"))
-        .select(
-            "id", "date", "start_ts", "end_ts", F.explode(holders()).alias("h"),
-            halves.alias("halves"),
-        )
-        .filter(F.col("h.holder").isNotNull())
-        .select(
-            "id", "date", "h.kind", "h.holder", F.explode("halves").alias("half"),
-            "start_ts", "end_ts",
-        )
-    )
-
-
 def _settle(waiting: DataFrame) -> DataFrame:
     """Waiting claims with ``won`` (first in all its half-hours) and ``lost`` (overlaps a winner)."""
     earliest = waiting.groupBy(*_PLACE).agg(F.min("id").alias("earliest"))
@@ -268,7 +257,7 @@ def _settle(waiting: DataFrame) -> DataFrame:
     )
 
 
-def _rivals(claims: DataFrame, taken: DataFrame) -> DataFrame:
+def _rivals(waiting: DataFrame, taken: DataFrame) -> DataFrame:
     """Claims that overlap an earlier taken claim of the same half-hour and holder."""
     other = taken.select(
         *_PLACE,
@@ -279,8 +268,8 @@ def _rivals(claims: DataFrame, taken: DataFrame) -> DataFrame:
     clash = (F.col("taken_id") < F.col("id")) & overlaps(
         F.col("start_ts"), F.col("end_ts"), F.col("taken_start"), F.col("taken_end")
     )
-    same_place = reduce(lambda a, b: a & b, [claims[c] == other[c] for c in _PLACE])
-    return claims.join(other, same_place & clash, "left_semi")
+    same_place = reduce(lambda a, b: a & b, [waiting[c] == other[c] for c in _PLACE])
+    return waiting.join(other, same_place & clash, "left_semi")
 
 
 def _lost_to(candidates: DataFrame, admitted: DataFrame) -> DataFrame:
@@ -322,7 +311,7 @@ def move(tables: Tables, changes: DataFrame, as_of: dt.date) -> DataFrame:
         kind: F.coalesce(
             F.col(f"{kind}_clashes") > F.when(own_of[kind], 1).otherwise(0), F.lit(False)
         )
-        for kind in HOLDERS
+        for kind in KINDS
     }
     outcome, refusal = _verdict(clashes)
     missing = F.col("status").isNull()

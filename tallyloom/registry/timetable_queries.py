@@ -116,10 +116,17 @@ BATCH_SQL = """
                         WHEN len(list_filter(p.held, lambda x: x.room_id = q.room_id
                                  AND x.s < q.end_ts AND q.start_ts < x.e)) > 0 THEN 'room'
                    END AS lost
-            FROM steps p JOIN queue q ON q.date = p.date AND q.n = p.n + 1) q)
+            FROM steps p JOIN queue q ON q.date = p.date AND q.n = p.n + 1) q),
+    taught AS (
+        SELECT DISTINCT s.id
+        FROM admitted s JOIN admitted a ON a.date = s.date AND a.teacher_id = s.teacher_id
+         AND a.id < s.id AND a.start_ts < s.end_ts AND s.start_ts < a.end_ts
+        JOIN steps w ON w.id = a.id AND w.lost IS NULL
+        WHERE s.outcome = 'room')
     SELECT s.id, s.room_id, s.teacher_id, strftime(s.date, '%Y-%m-%d') AS date,
-           coalesce(w.lost, s.outcome) AS outcome
-    FROM admitted s LEFT JOIN steps w ON w.id = s.id"""
+           CASE WHEN t.id IS NOT NULL THEN 'teacher' ELSE coalesce(w.lost, s.outcome) END
+           AS outcome
+    FROM admitted s LEFT JOIN steps w ON w.id = s.id LEFT JOIN taught t ON t.id = s.id"""
 
 
 def _with_prefix(**extra: str) -> str:

@@ -1,0 +1,160 @@
+from __future__ import annotations
+
+import datetime as dt
+import json
+from decimal import Decimal as D
+
+import pytest
+
+from tallyloom.operators.rows import page, page_with_total
+from tallyloom.plans import catalogue
+
+
+def product(key, title="Item", account=1, vendor=1, price="10.00", scope=1, code=9, day="2024-01-10"):
+    created = dt.datetime.fromisoformat(f"{day}T15:30:00")
+    return (
+        key, f"u{key}", account, vendor, title, title, "", "", scope, "", D(price), None, 1, None,
+        "", code, created, created,
+    )
+
+
+@pytest.fixture
+def tables(make):
+    return {
+        "products": make(
+            "products",
+            [
+                product(1, "Red 100% Cotton", vendor=1, price="5.00", day="2024-01-01"),
+                product(2, "red_hat", vendor=1, price="10.00", scope=0, day="2024-01-02"),
+                product(3, "Blue hat", vendor=1, price="20.00", code=1, day="2024-01-03"),
+                product(4, "Green", account=2, vendor=2, price="30.00", day="2024-01-04"),
+                product(5, "Grey", account=3, vendor=2, price="40.00", day="2024-01-05"),
+            ],
+        ),
+        "businesses": make("businesses", [(1, "biz-1"), (2, "biz-2")]),
+        "categories": make("categories", [(50, 1, "a"), (51, 1, "b"), (52, 2, "c")]),
+        "collections": make(
+            "collections", [(1, 50), (2, 50), (2, 51), (5, 51), (4, 52), (3, 52)]
+        ),
+    }
+
+
+def found(tables, live_only=False, **params):
+    return [r.id for r in catalogue.list_products(tables, params, live_only).collect()]
+
+
+def test_default_order_is_descending(tables):
+    assert found(tables) == [5, 4, 3, 2, 1]
+    assert found(tables, order_by="asc") == [1, 2, 3, 4, 5]
+    with pytest.raises(ValueError):
+        catalogue.list_products(tables, {"order_by": "sideways"})
+
+
+@pytest.mark.parametrize(
+    "q, ids",
+    [("RED", [2, 1]), ("100%25", [1]), ("d_h", [2]), ("%", [1]), ("blue+hat", [3]), ("", [5, 4, 3, 2, 1])],
+)
+def test_title_search_is_literal_and_ignores_case(tables, q, ids):
+    assert found(tables, q=q) == ids
+
+
+@pytest.mark.parametrize(
+    "params, ids",
+    [
+        ({"min_price": 10, "max_price": 30}, [4, 3, 2]),
+        ({"min_price": 30}, [5, 4]),
+        ({"max_price": "10"}, [2, 1]),
+        ({"min_price": "", "max_price": ""}, [5, 4, 3, 2, 1]),
+    ],
+)
+def test_price_bounds(tables, params, ids):
+    assert found(tables, **params) == ids
+
+
+@pytest.mark.parametrize(
+    "params, ids",
+    [
+        ({"start": "2024-01-04"}, [5, 4]),
+        ({"end": "2024-01-02"}, [2, 1]),
+        ({"start": "2024-01-02", "end": "2024-01-03"}, [3, 2]),
+        ({"start": "2024-01-04", "end": ""}, [5, 4]),
+    ],
+)
+def test_created_days_are_included(tables, params, ids):
+    assert found(tables, **params) == ids
+
+
+def test_other_predicates(tables):
+    assert found(tables, is_published=True) == [5, 4, 3, 1]
+    assert found(tables, is_published=False) == [5, 4, 3, 2, 1]
+    assert found(tables, account_id=1) == [3, 2, 1]
+    assert found(tables, business_uid="biz-2") == [5, 4]
+    assert found(tables, business_uid="nobody") == []
+    assert found(tables, live_only=True) == [5, 4, 2, 1]
+
+
+def test_a_product_in_two_wanted_categories_comes_once(tables):
+    assert found(tables, category="50,51") == [5, 2, 1]
+
+
+def test_combined(tables):
+    assert found(tables, q="red", category="50", max_price=9, live_only=True) == [1]
+
+
+def test_related_and_recommended(tables):
+    def related(*a, **k):
+        return [r.id for r in catalogue.related(tables, *a, **k).collect()]
+
+    def recommended(*a, **k):
+        return [r.id for r in catalogue.recommended(tables, *a, **k).collect()]
+
+    assert related("u1") == [2, 3]
+    assert related("u1", live_only=True) == [2]
+    # product 5 is of another account but linked to a category of account 1
+    assert recommended("u1") == [2, 5]
+    assert recommended("u4") == [3]
+    assert recommended("u4", live_only=True) == []
+    assert recommended("nobody") == []
+
+
+def test_look_ups(tables):
+    assert catalogue.by_id(tables, 3).first().title == "Blue hat"
+    assert catalogue.find_or_fail(tables, "u4").first().id == 4
+    with pytest.raises(LookupError):
+        catalogue.find_or_fail(tables, "nobody")
+
+
+def test_pages(spark):
+    rows = spark.range(1, 26)
+    assert [r.id for r in page(rows, 3).collect()] == [21, 22, 23, 24, 25]
+    assert [r.id for r in page(rows, 1, size=3, direction="desc").collect()] == [25, 24, 23]
+    assert [r.id for r in page(rows, size=3, after_id=7).collect()] == [8, 9, 10]
+    assert [r.id for r in page(rows, size=2, direction="desc", after_id=7).collect()] == [6, 5]
+    assert {r.total for r in page_with_total(rows, 2).collect()} == {25}
+    with pytest.raises(ValueError):
+        page(rows, 0)
+
+
+def test_children_come_in_parts_and_in_order(make, tables, monkeypatch):
+    monkeypatch.setattr(catalogue, "CHILDREN_PER_ROW", 2)
+    span = catalogue.CHILD_SPAN
+    children = {
+        "images": make(
+            "images",
+            [(span + i, 1, i, None, f"src{i}", 1, 1) for i in (4, 2, 0, 3, 1)],
+        ),
+        "options": make("options", [(2 * span, 2, "size", '["S"]', 0)]),
+        "documents": make("documents", []),
+        "metadata": make("metadata", []),
+        "variants": make("variants", []),
+    }
+    products = tables["products"].filter("id <= 3")
+    rows = {(r.id, r.part): r for r in catalogue.with_children(children, products).collect()}
+    assert set(rows) == {(1, 0), (1, 1), (1, 2), (2, 0), (3, 0)}
+    parts = [json.loads(rows[1, part].images) for part in range(3)]
+    assert [[i["src"] for i in part] for part in parts] == [
+        ["src0", "src1"], ["src2", "src3"], ["src4"],
+    ]
+    assert parts[0][0]["alt"] is None
+    assert json.loads(rows[2, 0].options) == [{"name": "size", "value": '["S"]', "position": 0}]
+    assert (rows[3, 0].images, rows[3, 0].variants) == ("[]", "[]")
