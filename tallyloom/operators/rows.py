@@ -63,7 +63,7 @@ def any_equal(df: DataFrame, value: str) -> DataFrame:
 
 def replace_by_key(old: DataFrame, keys: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Drop the old rows of every key given, add the new rows."""
-    return old.join(keys.select(key).distinct(), key, "left_anti").unionByName(new)
+    return old.join(keys.select(key), key, "left_anti").unionByName(new)
 
 
 def require_one(df: DataFrame, what: str) -> DataFrame:

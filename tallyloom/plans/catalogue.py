@@ -71,9 +71,7 @@ def created_between(start: str | None, end: str | None) -> Column:
 def in_categories(tables: Tables, products: DataFrame, ids: str) -> DataFrame:
     wanted = [int(part) for part in ids.split(",") if part.strip()]
     links = tables["collections"].filter(F.col("category_id").isin(wanted))
-    return products.join(
-        links.select(F.col("product_id").alias("id")).distinct(), "id", "left_semi"
-    )
+    return products.join(links.select(F.col("product_id").alias("id")), "id", "left_semi")
 
 
 def live(products: DataFrame) -> DataFrame:

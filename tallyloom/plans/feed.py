@@ -371,10 +371,9 @@ def replace(
 
 def delete(tables: Tables, children: Tables, product_ids: DataFrame) -> LazyTables:
     """All tables without the products of ``product_ids(id)`` and without their child rows."""
-    gone = product_ids.select(F.col("id").alias("product_id")).distinct()
-    gone_ids = gone.withColumnRenamed("product_id", "id")
+    gone = product_ids.select(F.col("id").alias("product_id"))
     return _with_products(
-        lambda: tables["products"].join(gone_ids, "id", "left_anti"),
+        lambda: tables["products"].join(product_ids.select("id"), "id", "left_anti"),
         lambda name: children[name].join(gone, "product_id", "left_anti"),
     )
 
