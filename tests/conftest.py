@@ -15,6 +15,7 @@ from tallyloom.session import local_session  # noqa: E402
 def spark():
     session = local_session(8, "tallyloom-tests")
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session
     session.stop()
 

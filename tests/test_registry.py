@@ -23,10 +23,30 @@ def test_every_query_has_its_sql():
     assert set(all_queries()) == set(all_oracle_sql())
 
 
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "string": "VARCHAR",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+}
+
+
 @pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_equals_sql(spark, connection, name):
-    columns, rows = spark_rows(all_queries()[name](spark, FOLDER))
-    expected_columns, expected_rows = duckdb_rows(connection, all_oracle_sql()[name])
+    result = all_queries()[name](spark, FOLDER)
+    sql = all_oracle_sql()[name]
+
+    types = {field.name: TYPES[field.dataType.simpleString()] for field in result.schema}
+    described = connection.execute(f"DESCRIBE {sql}").fetchall()
+    assert types == {row[0]: str(row[1]) for row in described}
+
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas"):
+        assert node not in plan
+
+    columns, rows = spark_rows(result)
+    expected_columns, expected_rows = duckdb_rows(connection, sql)
     assert columns == expected_columns
     assert rows == expected_rows
 
