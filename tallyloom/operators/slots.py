@@ -18,13 +18,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 
-# The kinds of holder a slot occupies; the key of each is in the column ``<kind>_id``.
+# The kinds of holder a slot occupies; the key of each is in the column ``<kind>_id``. Rows name a
+# kind by its number here, counted from 1, which is shorter to shuffle and to sort than its name.
 KINDS = ("teacher", "room")
 
 
+def kind_number(kind: str) -> int:
+    return KINDS.index(kind) + 1
+
+
 def _by_holder(kinds: tuple[str, ...]) -> str:
     """Generator text: one row per kind of holder of a slot."""
-    pairs = ", ".join(f"'{kind}', {kind}_id" for kind in kinds)
+    pairs = ", ".join(f"{kind_number(kind)}, {kind}_id" for kind in kinds)
     return f"stack({len(kinds)}, {pairs}) AS kind, holder"
 
 
@@ -35,10 +40,14 @@ def _minute(at: str) -> str:
 
 def _running_counts(kinds: tuple[str, ...]) -> str:
     """Per holder and instant: taken slots started / ended up to it (``_in`` within its minute,
-    ``_carried`` from the minutes before) and before it."""
+    ``_carried`` from the minutes before) and before it.
+
+    ``minute`` is never null and says so (``coalesce``). Otherwise a null test is put below one of
+    the two readers of ``instants`` only, and the two no longer share its shuffles.
+    """
     return f"""
     instants AS (
-        SELECT kind, holder, date, at, {_minute('at')} AS minute,
+        SELECT kind, holder, date, at, coalesce({_minute('at')}, 0) AS minute,
                sum(starts) AS starts, sum(ends) AS ends
         FROM (
             SELECT *, 1 AS weight FROM taken
@@ -50,16 +59,17 @@ def _running_counts(kinds: tuple[str, ...]) -> str:
         WHERE holder IS NOT NULL
         GROUP BY kind, holder, date, at),
     inside AS (
-        SELECT *, sum(starts) OVER so_far AS starts_in, sum(ends) OVER so_far AS ends_in
+        SELECT *, sum(starts) OVER so_far AS starts_in, sum(ends) OVER so_far AS ends_in,
+               lead(at) OVER (PARTITION BY kind, holder, date, minute ORDER BY at) IS NULL
+               AS closes_minute
         FROM instants
         WINDOW so_far AS (PARTITION BY kind, holder, date, minute ORDER BY at
                           ROWS UNBOUNDED PRECEDING)),
     carried AS (
         SELECT kind, holder, date, minute,
-               coalesce(sum(starts) OVER earlier, 0) AS starts_carried,
-               coalesce(sum(ends) OVER earlier, 0) AS ends_carried
-        FROM (SELECT kind, holder, date, minute, sum(starts) AS starts, sum(ends) AS ends
-              FROM instants GROUP BY kind, holder, date, minute)
+               coalesce(sum(starts_in) OVER earlier, 0) AS starts_carried,
+               coalesce(sum(ends_in) OVER earlier, 0) AS ends_carried
+        FROM inside WHERE closes_minute
         WINDOW earlier AS (PARTITION BY kind, holder, date ORDER BY minute
                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     counts AS (
@@ -78,7 +88,7 @@ def _clash_sql(kinds: tuple[str, ...]) -> str:
     for kind in kinds:
         overlap = "if(is_end, starts_before, -ends_upto)"
         for name, value in (("clashes", overlap), ("endpoints", "starts_upto - ends_before")):
-            total = f"sum({value}) FILTER (WHERE kind = '{kind}')"
+            total = f"sum({value}) FILTER (WHERE kind = {kind_number(kind)})"
             sums.append(f"coalesce({total}, 0) AS {kind}_{name}")
     return f"""
     WITH taken AS (SELECT {slot} FROM {{taken_slots}} WHERE start_ts < end_ts),

@@ -20,7 +20,7 @@ from tallyloom.functions.fixed_values import (
     TEACHER_TEXT,
 )
 from tallyloom.operators.rows import first_per
-from tallyloom.operators.slots import KINDS, claims, clash_counts, overlaps
+from tallyloom.operators.slots import KINDS, claims, clash_counts, kind_number, overlaps
 from tallyloom.session import ensure_checkpoint_dir
 
 Tables = Mapping[str, DataFrame]
@@ -274,7 +274,7 @@ def _rivals(waiting: DataFrame, taken: DataFrame) -> DataFrame:
 
 def _lost_to(candidates: DataFrame, admitted: DataFrame) -> DataFrame:
     """Ids refused by an earlier admitted request, with the first failing check."""
-    teacher = F.bool_or(F.col("kind") == "teacher")
+    teacher = F.bool_or(F.col("kind") == kind_number("teacher"))
     return (
         _rivals(candidates, admitted)
         .groupBy("id")
