@@ -15,11 +15,27 @@ def clock_24(ts: Column | str) -> Column:
     return F.date_format(ts, "HH:mm:ss")
 
 
+# Written forms of a day besides ISO: slashes put the year or the month first, dashes and dots the day.
+DAY_FORMS = (
+    "yyyy/M/d",
+    "M/d/yyyy",
+    "d-M-yyyy",
+    "d.M.yyyy",
+    "d MMMM yyyy",
+    "d MMM yyyy",
+    "MMMM d, yyyy",
+    "MMM d, yyyy",
+)
+
+
 def day_of(text: str) -> Column:
-    """The day a date text names; unreadable text gives NULL, which matches no row."""
-    return F.coalesce(
-        F.try_to_date(F.lit(text)), F.to_date(F.try_to_timestamp(F.lit(text)))
-    )
+    """The day a date text names; unreadable text gives NULL, which matches no row.
+
+    The text is a parameter, so all of this folds to one date before the plan is made.
+    """
+    given = F.lit(text.strip())
+    forms = [F.try_to_date(given, form) for form in DAY_FORMS]
+    return F.coalesce(F.try_to_date(given), F.to_date(F.try_to_timestamp(given)), *forms)
 
 
 def url_decoded(text: str) -> Column:

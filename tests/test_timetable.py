@@ -73,9 +73,17 @@ def test_midnight_clock(make, tables):
     assert (found.start_time_12, found.end_time_12) == ("12:05 AM ", "12:00 PM ")
 
 
-@pytest.mark.parametrize("text", ["2024-05-01", "2024-05-01 18:30:00", "2024-05-01T00:00:00"])
+@pytest.mark.parametrize(
+    "text",
+    ["2024-05-01", "2024-05-01 18:30:00", "2024-05-01T00:00:00", "2024/5/1", "5/1/2024",
+     "01-05-2024", "1.5.2024", "1 May 2024", "May 1, 2024"],
+)
 def test_date_texts(tables, text):
-    assert timetable.by_room(tables, text, 1).count() == 1
+    assert [r.id for r in timetable.by_room(tables, text, 1).collect()] == [100]
+
+
+def test_unreadable_date_matches_nothing(tables):
+    assert timetable.by_room(tables, "some day", 1).collect() == []
 
 
 def test_by_student(tables):
