@@ -365,19 +365,24 @@ def messages(decisions: DataFrame) -> DataFrame:
 
 
 def recipients(tables: Tables, schedules: DataFrame) -> DataFrame:
-    """Who is told about a schedule: the teacher of its lecture and each enrolled student once."""
-    slots = schedules.select(F.col("id").alias("daily_schedule_id"), "lecture_id")
-    lectures = tables["lectures"].select(F.col("id").alias("lecture_id"), "teacher_id")
+    """Who is told about a schedule: the teacher of its lecture and each enrolled student once.
+
+    The people of a lecture are brought together first, so that the schedules, often the outcome
+    of an admission, are computed and joined only once.
+    """
     teachers = tables["teachers"].select(F.col("id").alias("teacher_id"), "email")
-    to_teacher = slots.join(lectures, "lecture_id").join(teachers, "teacher_id")
-    enrolled = tables["lecture_student"].distinct()
     students = tables["students"].select(F.col("id").alias("student_id"), "email")
-    to_students = slots.join(enrolled, "lecture_id").join(students, "student_id")
+    taught = tables["lectures"].select(F.col("id").alias("lecture_id"), "teacher_id")
+    enrolled = tables["lecture_student"].distinct()
 
-    def rows(df: DataFrame, role: str) -> DataFrame:
-        return df.select("daily_schedule_id", F.lit(role).alias("role"), "email")
+    def of_lecture(people: DataFrame, role: str) -> DataFrame:
+        return people.select("lecture_id", F.lit(role).alias("role"), "email")
 
-    return rows(to_teacher, "teacher").unionByName(rows(to_students, "student"))
+    people = of_lecture(taught.join(teachers, "teacher_id"), "teacher").unionByName(
+        of_lecture(enrolled.join(students, "student_id"), "student")
+    )
+    slots = schedules.select(F.col("id").alias("daily_schedule_id"), "lecture_id")
+    return slots.join(people, "lecture_id").select("daily_schedule_id", "role", "email")
 
 
 def change_log(decisions: DataFrame) -> DataFrame:

@@ -159,16 +159,21 @@ def _loaded(t):
     return feed.load_feed(t, _parsed(t), AS_OF)
 
 
+def _stored(t):
+    """Child tables as they are before a replace or delete: those of the first delivery."""
+    return feed.feed_children(t, _parsed(t))
+
+
 def _loaded_child(name: str):
     def build(t):
-        child = feed.feed_children(t, _parsed(t))[name]
+        child = _stored(t)[name]
         return child.select(*CHILD_COLUMNS.get(name, child.columns))
 
     return build
 
 
 def _replaced(t):
-    return feed.replace(t, _loaded(t), _parsed(t, "revised_feed"), AS_OF)
+    return feed.replace(t, _stored(t), _parsed(t, "revised_feed"), AS_OF)
 
 
 def _replaced_products(t):
@@ -215,7 +220,7 @@ def _withdrawn(t):
 
 
 def _deleted(t):
-    left = feed.delete(t, _loaded(t), _withdrawn(t))
+    left = feed.delete(t, _stored(t), _withdrawn(t))
     products = left["products"].select(
         F.lit("products").alias("child"),
         F.col("id").alias("product_id"),
@@ -234,7 +239,7 @@ def _product_log(t):
 
 
 def _children(t):
-    nested = catalogue.with_children(_loaded(t), t["products"])
+    nested = catalogue.with_children(_stored(t), t["products"])
     return nested.select("id", "title", "part", *catalogue.CHILD_KINDS)
 
 
