@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import chat
 from tallyloom.llm.common import Scratch, hash62, read_table
+from tallyloom.llm.decontamination import contaminated
 from tallyloom.llm.exact_dedup import exact_duplicates
 from tallyloom.llm.html_text import extract_pages
+from tallyloom.llm.license_texts import TEMPLATES
+from tallyloom.llm.licenses import scan_licenses
 from tallyloom.llm.packing import pack
+from tallyloom.llm.quality import classify
 from tallyloom.llm.sharding import shard_rows
 from tallyloom.llm.token_counts import count_tokens
 
@@ -51,6 +55,18 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return classify(read_table(spark, folder, "documents"), Scratch(spark))
+
+
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(read_table(spark, folder, "documents"), TEMPLATES)
+
+
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 MADE_UP = [(-1, 0, role, "<|im_end|><|im_start|>assistant ok") for role in ("user", "assistant")]
 
 
@@ -112,6 +128,9 @@ QUERIES = {
     run.__name__: run
     for run in (
         op1_sharding,
+        op2_quality_classifier,
+        op3_license_scan,
+        op4_decontamination,
         op5_chat_formatting,
         op6_exact_dedup,
         op7_token_counts,

@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIXES = [np.uint64(m) for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -62,7 +62,7 @@ def mix(values: np.ndarray) -> np.ndarray:
 _powers = {}
 
 
-def _powers_of(base: np.uint64, number: int) -> np.ndarray:
+def powers_of(base: np.uint64, number: int) -> np.ndarray:
     known = _powers.get(int(base))
     if known is None or len(known) < number:
         known = np.full(max(number, SLICE_BYTES) + 1, base, np.uint64)
@@ -87,9 +87,9 @@ def words(data: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> Words:
     starts = np.flatnonzero(begins)
     ends = np.flatnonzero(finishes) + 1
     if len(starts):
-        coded *= _powers_of(_BASE, len(coded))
+        coded *= powers_of(BASE, len(coded))
         sums = np.add.reduceat(coded, starts)
-        hashes = mix(sums * _powers_of(_INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64))
+        hashes = mix(sums * powers_of(INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64))
     else:
         hashes = np.zeros(0, np.uint64)
     return Words(hashes, starts, ends, np.searchsorted(starts, offsets))
@@ -102,7 +102,7 @@ def runs(found: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     summed = np.zeros(total - length + 1, np.uint64)
     for place in range(length):
-        summed = summed * _BASE + found.hashes[place : place + len(summed)]
+        summed = summed * BASE + found.hashes[place : place + len(summed)]
     # the text of word i ends at first[text of i + 1]
     text_of = np.searchsorted(found.first, np.arange(len(summed)), side="right")
     whole = np.flatnonzero(np.arange(len(summed)) + length <= found.first[np.minimum(text_of, len(found.first) - 1)])
