@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,10 +11,22 @@ from pyspark.sql import functions as F
 from tallyloom.session import ensure_checkpoint_dir
 
 
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    find_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def find_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package wherever the driver was started from."""
+    known = spark.sparkContext.environment
+    paths = [path for path in known.get("PYTHONPATH", "").split(os.pathsep) if path]
+    if PACKAGE_ROOT not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([*paths, PACKAGE_ROOT])
+
+
 class Scratch:
     """Intermediate tables in the shared checkpoint folder.
 
@@ -24,6 +37,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         ensure_checkpoint_dir(spark)
+        find_package(spark)
         self.spark = spark
         self.folder = f"{spark.sparkContext.getCheckpointDir()}/llm-{uuid.uuid4().hex}"
         self._count = 0

@@ -11,6 +11,7 @@ from tallyloom.llm.common import Scratch, hash62, read_table
 from tallyloom.llm.decontamination import contaminated
 from tallyloom.llm.exact_dedup import exact_duplicates
 from tallyloom.llm.html_text import extract_pages
+from tallyloom.llm.jaccard_join import similar_components
 from tallyloom.llm.license_texts import TEMPLATES
 from tallyloom.llm.licenses import scan_licenses
 from tallyloom.llm.packing import pack
@@ -124,6 +125,10 @@ def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract_pages(read_table(spark, folder, "pages"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_components(read_table(spark, folder, "documents"), Scratch(spark))
+
+
 QUERIES = {
     run.__name__: run
     for run in (
@@ -136,6 +141,7 @@ QUERIES = {
         op7_token_counts,
         op8_best_fit_packing,
         op9_html_extraction,
+        op10_ngram_jaccard_join,
     )
 }
 
