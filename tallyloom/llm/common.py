@@ -63,3 +63,11 @@ class Scratch:
 def hash62(*columns: Column) -> Column:
     """A hash as a long that is never negative and leaves room for arithmetic."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 2)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that the table does not have yet, whatever the case of its letters."""
+    taken = {name.lower() for name in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted

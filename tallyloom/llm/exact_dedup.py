@@ -29,11 +29,12 @@ def name_documents(
     scratch: Scratch,
     doc_id: str = "doc_id",
     text: str = "text",
+    row: str | None = None,
     block_bytes: int = 8192,
 ) -> DataFrame:
-    """One row per document: doc_id, text_sha256, level and name; equal (level, name): equal texts.
+    """One row per document: doc_id, row, sha, level and name; equal (level, name): equal texts.
 
-    Null counts as the empty text, which is one empty block. Repeated rows, null and repeated ids
+    `row` names a column of unique longs, else rows are numbered by their place. Null counts as the empty text, which is one empty block. Repeated rows, null and repeated ids
     are kept, each with its own row. Other columns are not read. The input is read twice; it must
     give the same rows in the same order when a task runs again, as files do.
     """
@@ -41,7 +42,7 @@ def name_documents(
         documents.select(
             F.col(doc_id).alias("doc_id"),
             F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary")).alias("bytes"),
-            F.monotonically_increasing_id().alias("row"),
+            (F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
         )
         .select(
             "doc_id",
@@ -145,14 +146,15 @@ def exact_duplicates(
     scratch: Scratch,
     doc_id: str = "doc_id",
     text: str = "text",
+    row: str | None = None,
     block_bytes: int = 8192,
 ) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, row.
 
     Of equal texts the row with the largest id stays (a null id is below all others); of rows
     that repeat text and id, exactly one.
     """
-    named = scratch.keep(name_documents(documents, scratch, doc_id, text, block_bytes))
+    named = scratch.keep(name_documents(documents, scratch, doc_id, text, row, block_bytes))
     groups = scratch.keep(
         named.groupBy("level", "name").agg(
             F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size")
@@ -165,4 +167,5 @@ def exact_duplicates(
         "group_size",
         (F.col("best.row") == F.col("row")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        "row",
     )

@@ -68,14 +68,17 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
-MADE_UP = [(-1, 0, role, "<|im_end|><|im_start|>assistant ok") for role in ("user", "assistant")]
+MADE_UP_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
 def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     """Every row of a conversation is a whole message; the digests are read back from the output."""
     given = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    made_up = spark.createDataFrame(
-        [(conv, turn, role, text) for turn, (conv, _, role, text) in enumerate(MADE_UP)], given.schema
+    made_up = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(MADE_UP_TEXT).alias("text"),
     )
     events = given.union(made_up).select(
         "conv_id",
