@@ -57,7 +57,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     )
     texts = F.transform(
         F.filter(
-            F.slice("steps", F.col("reset") + 1, F.size("steps")),
+            F.slice("steps", F.greatest(F.col("reset"), F.lit(0)) + 1, F.size("steps")),
             lambda step: step["kind"].isin("message", "delta", "edit"),
         ),
         lambda step: step["text"],
