@@ -49,7 +49,7 @@ def count_tokens(
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens. Null counts as the empty text.
 
-    Content is looked up byte for byte (a normal form would change counts). Repeated rows and null
+    The input is read twice and must give the same rows in the same order, as files do. Content is looked up byte for byte (a normal form would change counts). Repeated rows and null
     or repeated ids keep their rows. Two runs that append to one cache at the same time may store
     a count twice; the look-up reads it once.
     """
@@ -70,7 +70,8 @@ def count_tokens(
         .join(stored.select("text_digest"), "text_digest", "left_anti")
     )
     if not missed.isEmpty():
-        chosen = texts.join(missed.select("row"), "row", "left_semi").select("text_digest", "text")
+        # one plan at every size: a join that broadcasts small inputs would grow in a leap
+        chosen = texts.join(missed.select("row").hint("merge"), "row", "left_semi").select("text_digest", "text")
         encoded = chosen.mapInArrow(
             _counter(tokenizer_file, ranks_file, pattern), "text_digest binary, n_tokens bigint"
         )
