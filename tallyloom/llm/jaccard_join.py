@@ -9,12 +9,13 @@ groups of the smaller count. That bound is used twice:
   that order, because the counts of what comes later cannot add up to a link. So the classes that have
   such a shingle in common form a list, and all links lie inside lists.
 * Inside a list, with as many groups as its sets need, the points are packed into an R-tree. A box
-  whose summed minima with a point stay below what a link needs is passed over with all its points;
-  pairs that survive are verified on the sets themselves.
+  whose summed minima with a point stay below what a link needs is passed over with all its points.
+  Only pairs that survive have their sets fetched and compared.
 
-Only components are asked for, so a pair is not looked at any more once its sets are known to be
-connected: first every class looks into one list, then those lists are opened that still hold more
-than one component. Large groups of near copies never come to all their pairs.
+Only components are asked for, so large groups of near copies never come to all their pairs: first
+every class takes its best survivor of each list; then one class of every component of a list is
+held against the others; and then lists that still hold more than one component give all surviving
+pairs between components. What is not looked at is connected already.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ PIECE = 1 << 12
 LIST_ROWS = 2000
 MOST_SENT = 4_000_000
 FANOUT = 16
+MOST_GROUPS = 1 << 16
+MOST_COUNT = (1 << 16) - 1
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray):
@@ -172,6 +175,7 @@ def _entries(counted, seed: int, part_rows: int):
                 hashes, texts = hashes[kept], texts[kept]
                 of_group = frequency[(hashes & np.uint64((1 << GROUP_BITS) - 1)).astype(np.int64)]
                 parts = mix(classes[texts].view(np.uint64)) % (of_group // part_rows + 1).astype(np.uint64)
+                parts = np.where(of_group < part_rows, -1, parts.astype(np.int64))  # -1: all in one
                 yield _batch(
                     [
                         pa.array(hashes.view(np.int64)),
@@ -185,10 +189,10 @@ def _entries(counted, seed: int, part_rows: int):
     return entries
 
 
-def _wanted_sets(wanted, seed: int):
-    """The sorted sets of the wanted classes (all if None), once per task."""
+def _of_classes(wanted, seed: int, make):
+    """`make` of the sorted set of each wanted class (all if None), once per task."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = wanted.value if wanted is not None else None
         seen: set[int] = set()
         for batch in batches:
@@ -206,12 +210,25 @@ def _wanted_sets(wanted, seed: int):
                 yield _batch(
                     [
                         pa.array(classes[chosen], pa.int64()),
-                        pa.array([hashes[begins[t] : begins[t + 1]].tobytes() for t in chosen], pa.binary()),
+                        pa.array([make(hashes[begins[t] : begins[t + 1]]) for t in chosen], pa.binary()),
                     ],
-                    "class bigint, hashes binary",
+                    "class bigint, made binary",
                 )
 
-    return sets
+    return rows
+
+
+def count_vector(hashes: np.ndarray) -> bytes:
+    """Counts by group, about as many groups as hashes; a power of two, so that vectors can be folded."""
+    width = min(MOST_GROUPS, max(16, 1 << (len(hashes) - 1).bit_length()))
+    groups = (hashes >> np.uint64(GROUP_BITS) & np.uint64(width - 1)).astype(np.int64)
+    return np.minimum(np.bincount(groups, minlength=width), MOST_COUNT).astype(np.uint16).tobytes()
+
+
+def folded(vector: bytes, width: int) -> np.ndarray:
+    counts = np.frombuffer(vector, np.uint16).astype(np.int32)
+    counts[counts == MOST_COUNT] = 1 << 24  # not known any more, so no bound
+    return counts.reshape(-1, width).sum(0)
 
 
 class RTree:
@@ -242,56 +259,95 @@ class RTree:
         return at
 
 
-def links_in_list(sets: list[np.ndarray], groups: list, sides: list) -> list[tuple[int, int]]:
-    """Enough links (numbers of sets) to connect all that link, given groups known to be connected.
+def survivors(vectors, sizes, roots, sides, best: bool) -> list[tuple[int, int]]:
+    """Pairs of a list that the bound lets through, of different roots.
 
-    Sets are sorted arrays. `sides` are 0, or 1 and 2 where only pairs across the two are wanted.
+    `sides` are 0, or 1 and 2 where only pairs across the two are wanted. With `best`, each member
+    gives only the pair of the largest bound.
     """
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    sets = [sets[i] for i in order]
-    sizes = np.array([len(s) for s in sets])
-    label = np.unique([groups[i] for i in order], return_inverse=True)[1]
-    side = np.array([sides[i] for i in order])
-    width = max(16, 1 << int(np.ceil(np.log2(max(1, np.median(sizes)) / 4))))
-    points = np.zeros((len(sets), width), np.int32)
-    for number, own in enumerate(sets):
-        points[number] = np.bincount((own >> np.uint64(GROUP_BITS) & np.uint64(width - 1)).astype(np.int64), minlength=width)
-    tree = RTree(points, sizes)
+    order = np.argsort(sizes, kind="stable")
+    ordered = np.asarray(sizes)[order]
+    # no pair across a gap of more than a quarter can link
+    gaps = np.flatnonzero(4 * ordered[:-1] < 3 * ordered[1:]) + 1
     found = []
-    for number in range(len(sets)):
-        if (label == label[0]).all():
-            break
-        near = tree.reach(points[number], sizes[number])
-        near = near[(near < number) & ((side[near] == 0) | (side[near] != side[number]))]
-        for other in near[::-1]:
-            if label[other] == label[number]:
-                continue
-            shared = len(np.intersect1d(sets[number], sets[other], assume_unique=True))
-            if 100 * shared >= 75 * (sizes[number] + sizes[other] - shared):
-                found.append((int(order[number]), int(order[other])))
-                label[label == label[number]] = label[other]
+    for own in np.split(order, gaps):
+        if len(own) < 2:
+            continue
+        least = sizes[own[0]]
+        width = min(MOST_GROUPS, max(16, 1 << (int(least) - 1).bit_length()))
+        points = np.stack([folded(vectors[i], width) for i in own])
+        own_sizes = np.array([sizes[i] for i in own])
+        own_roots = np.array([roots[i] for i in own])
+        own_sides = np.array([sides[i] for i in own])
+        tree = RTree(points, own_sizes)
+        for number in range(len(own)):
+            near = tree.reach(points[number], own_sizes[number])
+            near = near[(own_sides[near] == 0) | (own_sides[near] != own_sides[number])]
+            near = near[own_roots[near] != own_roots[number]]
+            if best:
+                near = near[near != number]
+                if len(near):
+                    shared = np.minimum(points[near], points[number]).sum(1)
+                    found.append((int(own[number]), int(own[near[shared.argmax()]])))
+            else:
+                found += [(int(own[number]), int(own[other])) for other in near[near < number]]
     return found
 
 
-def _open_lists(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links found in lists. members: list, cell, side, class, root."""
+def _surviving(members: DataFrame, points: DataFrame, best: bool) -> DataFrame:
+    """Distinct pairs (a, b) of classes. members: list, cell, side, class, n, root."""
 
-    def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("class").reset_index(drop=True)
-        own = [np.frombuffer(b, np.uint64) for b in rows["hashes"]]
-        links = links_in_list(own, rows["root"].tolist(), rows["side"].tolist())
-        names = rows["class"].to_numpy()
-        return pd.DataFrame(
-            {"a": [names[a] for a, _ in links], "b": [names[b] for _, b in links]}, dtype="int64"
+    def open_list(rows: pd.DataFrame) -> pd.DataFrame:
+        pairs = survivors(
+            rows["made"].tolist(), rows["n"].tolist(), rows["root"].tolist(), rows["side"].tolist(), best
         )
+        names = rows["class"].to_numpy()
+        first, second = (np.array([names[p[k]] for p in pairs], np.int64) for k in (0, 1))
+        return pd.DataFrame({"a": np.minimum(first, second), "b": np.maximum(first, second)})
 
-    return scratch.keep(
-        members.join(sets, "class")
+    return (
+        members.join(points, "class")
         .groupBy("list", "cell")
-        .applyInPandas(verify, "a bigint, b bigint")
+        .applyInPandas(open_list, "a bigint, b bigint")
+        .distinct()
     )
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs whose sets link."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for one, two in zip(batch.column("one"), batch.column("two"), strict=True):
+                first = np.frombuffer(one.as_py(), np.uint64)
+                second = np.frombuffer(two.as_py(), np.uint64)
+                shared = len(np.intersect1d(first, second, assume_unique=True))
+                kept.append(100 * shared >= 75 * (len(first) + len(second) - shared))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).filter(pa.array(kept, pa.bool_())) for c in ("a", "b")], names=["a", "b"]
+            )
+
+    ones = sets.select(F.col("class").alias("a"), F.col("made").alias("one"))
+    twos = sets.select(F.col("class").alias("b"), F.col("made").alias("two"))
+    both = pairs.join(ones, "a").join(twos, "b").select("a", "b", "one", "two")
+    return scratch.keep(both.mapInArrow(compare, "a bigint, b bigint"))
+
+
+def _made(texts: DataFrame, classes: DataFrame, seed: int, make, scratch: Scratch) -> DataFrame:
+    """class and made, for the given classes; they are sent to the tasks if they are few enough."""
+    narrow = texts.select("text")
+    out = "class bigint, made binary"
+    if classes.count() <= MOST_SENT:
+        asked = np.sort(np.array([r[0] for r in classes.toLocalIterator()], np.int64))
+        shared = texts.sparkSession.sparkContext.broadcast(asked)
+        found = narrow.mapInArrow(_of_classes(shared, seed, make), out)
+    else:
+        found = narrow.mapInArrow(_of_classes(None, seed, make), out)
+        found = found.join(classes, "class", "left_semi")
+    return scratch.keep(found.groupBy("class").agg(F.first("made").alias("made")))
+
+
 def similar_components(
     documents: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -300,7 +356,7 @@ def similar_components(
     Words are separated by ASCII white space, A-Z count as a-z. Fewer than five words are one
     shingle; null, empty and blank texts have none and link with nothing. Two documents link at a
     Jaccard similarity of 0.75 or more; a component has the smallest id of its documents, nulls
-    aside. Repeated rows and ids keep their rows. The input is read three times.
+    aside. Repeated rows and ids keep their rows. The input is read four times.
     """
     spark = documents.sparkSession
     texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -326,39 +382,27 @@ def similar_components(
         .mapInArrow(_entries(counted, seed, 5 * LIST_ROWS), ENTRIES)
         .withColumn("low", F.expr(f"min(class) OVER ({in_list})"))
         .withColumn("high", F.expr(f"max(class) OVER ({in_list})"))
-        .filter("low <> high OR part > 0")
+        .filter("low <> high OR part >= 0")
         .select(F.col("shingle").alias("list"), "class", "n")
         .distinct()
     )
-    lists = scratch.keep(
-        shared.groupBy("list").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    )
-    members = scratch.keep(shared.join(lists, "list"))
-    involved = members.select("class").distinct()
-    number = involved.count()
-    if number <= MOST_SENT:
-        asked = np.sort(np.array([r[0] for r in involved.toLocalIterator()], np.int64))
-        sets = texts.select("text").mapInArrow(
-            _wanted_sets(spark.sparkContext.broadcast(asked), seed), "class bigint, hashes binary"
-        )
-    else:
-        sets = texts.select("text").mapInArrow(_wanted_sets(None, seed), "class bigint, hashes binary")
-        sets = sets.join(scratch.keep(involved), "class", "left_semi")
-    sets = scratch.keep(sets.groupBy("class").agg(F.first("hashes").alias("hashes")))
-
-    # every class looks into its longest list, cut into cells
-    first = members.groupBy("class").agg(F.max(F.struct("rows", "list")).alias("at"))
-    first = first.select(
-        F.col("at.list").alias("list"),
-        F.pmod(F.xxhash64("class"), F.ceil(F.col("at.rows") / LIST_ROWS)).alias("cell"),
-        F.lit(0).alias("side"),
-        "class",
-        F.col("class").alias("root"),
+    lists = shared.groupBy("list").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"), F.max("n").alias("most")
     )
-    links = _open_lists(first, sets, scratch)
-    roots = connected_components(links, scratch)
-    # then one class of every component of a list, and then all classes of lists with several
+    # two sets of which one is much smaller do not link
+    lists = lists.filter("rows > 2 OR rows = 2 AND 4 * least >= 3 * most").select("list")
+    members = scratch.keep(shared.join(scratch.keep(lists), "list"))
+    points = _made(texts, members.select("class").distinct(), seed, count_vector, scratch)
+
+    opened = _cells(members.withColumn("root", F.col("class")), scratch)
+    pairs = scratch.keep(_surviving(opened, points, True))
+    either = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    sets = _made(texts, either, seed, np.ndarray.tobytes, scratch)
+    links = _verified(pairs, sets, scratch)
+    # a class without any survivor is done
+    members = scratch.keep(members.join(sets.select("class"), "class", "left_semi"))
     for whole in (False, True):
+        roots = connected_components(links, scratch)
         rooted = scratch.keep(
             members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn(
                 "root", F.coalesce("root", "class")
@@ -372,20 +416,15 @@ def similar_components(
         )
         left = rooted.join(scratch.keep(several), "list")
         if not whole:
-            left = left.groupBy("list", "root").agg(F.min("class").alias("class"))
-        left = scratch.keep(left.select("list", "class", "root"))
-        # lists of the same classes are one
-        sizes = left.groupBy("list").agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.bit_xor(F.xxhash64("class")).alias("mark"),
-            F.bit_xor(F.xxhash64("class", F.lit(1))).alias("other_mark"),
-        )
-        chosen = scratch.keep(
-            sizes.groupBy("rows", "mark", "other_mark").agg(F.min("list").alias("list")).select("list", "rows")
-        )
-        opened = _cells(left.join(chosen, "list"))
-        links = links.union(_open_lists(opened, sets, scratch))
-        roots = connected_components(links, scratch)
+            left = (
+                left.groupBy("list", "root")
+                .agg(F.min(F.struct("class", "n")).alias("one"))
+                .select("list", "one.class", "one.n", "root")
+            )
+        opened = _cells(scratch.keep(left.select("list", "class", "n", "root")), scratch)
+        pairs = scratch.keep(_surviving(opened, points, False))
+        links = links.union(_verified(pairs, sets, scratch))
+    roots = connected_components(links, scratch)
 
     rooted = scratch.keep(
         named.join(roots.withColumnRenamed("node", "class"), "class", "left").select(
@@ -402,20 +441,30 @@ def similar_components(
     )
 
 
-def _cells(members: DataFrame) -> DataFrame:
-    """Cuts longer lists into blocks, and makes a cell of every two blocks; no pair is lost."""
-    blocks = F.ceil(F.col("rows") / LIST_ROWS)
-    cut = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), "blocks"))
+def _cells(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Lists as cells of bounded size: list, cell, side, class, n, root.
+
+    Lists of the same classes are one. Longer ones are cut into blocks, and every two blocks make a
+    cell, so no pair is lost.
+    """
+    sizes = members.groupBy("list").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.bit_xor(F.xxhash64("class")).alias("mark"),
+        F.bit_xor(F.xxhash64("class", F.lit(1))).alias("other_mark"),
+    )
+    chosen = sizes.groupBy("rows", "mark", "other_mark").agg(F.min("list").alias("list"))
+    chosen = scratch.keep(chosen.select("list", F.ceil(F.col("rows") / LIST_ROWS).alias("blocks")))
+    block = F.pmod(F.xxhash64("class"), F.col("blocks"))
     pairs = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
         lambda other: F.struct(
             (F.least("block", other) * F.col("blocks") + F.greatest("block", other)).alias("cell"),
-            F.when(F.col("block") == other, 0)
-            .when(F.col("block") < other, 1)
-            .otherwise(2)
-            .alias("side"),
+            F.when(F.col("block") == other, 0).when(F.col("block") < other, 1).otherwise(2).alias("side"),
         ),
     )
-    return cut.select("list", "class", "root", F.explode(pairs).alias("at")).select(
-        "list", "at.cell", "at.side", "class", "root"
+    return (
+        members.join(chosen, "list")
+        .withColumn("block", block)
+        .select("list", "class", "n", "root", F.explode(pairs).alias("at"))
+        .select("list", "at.cell", "at.side", "class", "n", "root")
     )
