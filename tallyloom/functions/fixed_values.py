@@ -37,17 +37,18 @@ REVENUE_HEADING = (
 
 # Schedule states and refusal texts.
 COMPLETED = "completed"
-CAPACITY_TEXT = "This %s with capacity %d Cannot Allocate %d Students"
+CAPACITY_TEXT = "This %s with capacity %s Cannot Allocate %s Students"
 TEACHER_TEXT = "This Teacher Has Another Lecture at this Schedule Slot"
+MOVE_TEACHER_TEXT = "This teacher Has Another lecture at this schedule slot"
 ROOM_TEXT = "This Schedule Time Slot Is Already Occupied"
 COMPLETED_TEXT = "Cannot Update Completed Schedule"
 
 # Message templates (line breaks of the original layout become single blanks).
 CREATED_MESSAGE = (
-    "A new lecture schedule was created for %s Room - %s. Date - %s. From - %s. To - %s."
+    "A new lecture schedule was created for %s Room - %s. Date - %s. From - %s. To   - %s."
 )
 MOVED_MESSAGE = (
-    "The %s lecture on %s, was updated to Room - %s. Date - %s. From - %s. To - %s."
+    "The %s lecture on %s, was updated to Room - %s. Date - %s. From - %s. To   - %s."
 )
 
 # Closed lists of a video request.

@@ -36,21 +36,29 @@ def page(
         raise ValueError("page number and size start at 1")
     ordering = id_order(direction)
     if after_id is not None:
-        beyond = F.col("id") > after_id if direction == "asc" else F.col("id") < after_id
+        beyond = F.col("id") > after_id if direction.lower() == "asc" else F.col("id") < after_id
         return df.filter(beyond).orderBy(ordering).limit(size)
     return df.orderBy(ordering).offset(size * (number - 1)).limit(size)
 
 
 def page_with_total(df: DataFrame, number: int = 1, size: int = PAGE_SIZE, **kw) -> DataFrame:
-    """A page with the number of all matching rows beside each row."""
-    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
-    return page(df, number, size, **kw).withColumn("total", total)
+    """A page with the number of all matching rows beside each row.
+
+    An empty page is one row that has the total only, its other columns being NULL.
+    """
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    found = page(df, number, size, **kw)
+    on_page = found.agg(F.count(F.lit(1)).alias("n")).scalar()
+    nothing = total.filter(on_page == 0).select(
+        *[F.lit(None).cast(field.dataType).alias(field.name) for field in df.schema], "total"
+    )
+    return found.withColumn("total", total.scalar()).unionByName(nothing)
 
 
 def id_order(direction: str) -> Column:
-    if direction not in ("asc", "desc"):
+    if direction.lower() not in ("asc", "desc"):
         raise ValueError("direction is 'asc' or 'desc'")
-    return F.col("id").asc() if direction == "asc" else F.col("id").desc()
+    return F.col("id").asc() if direction.lower() == "asc" else F.col("id").desc()
 
 
 def any_equal(df: DataFrame, value: str) -> DataFrame:

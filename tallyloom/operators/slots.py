@@ -16,6 +16,10 @@ minutes before (a window over at most the minutes of a date, already summed).
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 
 # The kinds of holder a slot occupies; the key of each is in the column ``<kind>_id``. Rows name a
@@ -118,8 +122,10 @@ def clash_counts(
 
 
 def claims(slots: DataFrame, minutes: int) -> DataFrame:
-    """One row per slot, kind of holder and stretch of ``minutes`` that the slot touches."""
-    touched = f"{_minute('start_ts')} div {minutes}, {_minute('end_ts')} div {minutes}"
+    """One row per slot, kind of holder and stretch of ``minutes`` that the slot touches; a stretch
+    at whose start the slot ends is not touched."""
+    last = _minute("(end_ts - INTERVAL '0.000001' SECOND)")
+    touched = f"{_minute('start_ts')} div {minutes}, {last} div {minutes}"
     return slots.sparkSession.sql(
         f"""SELECT id, date, kind, holder, stretch, start_ts, end_ts FROM {{slots}}
             LATERAL VIEW {_by_holder(KINDS)}
@@ -129,5 +135,48 @@ def claims(slots: DataFrame, minutes: int) -> DataFrame:
     )
 
 
+class _Held:
+    """The disjoint slots that one holder has taken, in order."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def busy(self, start: int, end: int) -> bool:
+        place = bisect_left(self.starts, end) - 1
+        return place >= 0 and self.ends[place] > start
+
+    def take(self, start: int, end: int) -> None:
+        place = bisect_left(self.starts, start)
+        self.starts.insert(place, start)
+        self.ends.insert(place, end)
+
+
+def lost_in_turn(slots: pd.DataFrame) -> pd.DataFrame:
+    """Slots of one date, one after the other in id order: who finds a holder taken, and which.
+
+    Columns read: id, start_ts, end_ts, teacher_id, room_id, open. A slot that loses nothing takes its
+    holders, if it is ``open``; others only look.
+    """
+    slots = slots.sort_values("id", kind="stable")
+    times = [slots[c].to_numpy().astype("datetime64[us]").astype(np.int64).tolist() for c in ("start_ts", "end_ts")]
+    holders = [
+        [None if pd.isna(holder) else (kind, int(holder)) for holder in slots[f"{kind}_id"]]
+        for kind in KINDS
+    ]
+    taken: dict[tuple, _Held] = {}
+    lost: list[tuple[int, str]] = []
+    rows = zip(slots["id"].tolist(), *times, *holders, slots["open"].tolist(), strict=True)
+    for number, start, end, *own, is_open in rows:
+        own = [holder for holder in own if holder is not None]
+        busy = [h for h in own if h in taken and taken[h].busy(start, end)]
+        if busy:
+            lost.append((number, busy[0][0]))
+        elif is_open:
+            for holder in own:
+                taken.setdefault(holder, _Held()).take(start, end)
+    return pd.DataFrame(lost, columns=["id", "lost"]).astype({"id": "int64", "lost": "object"})
+
+
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     return (a_start < b_end) & (b_start < a_end)

@@ -10,24 +10,22 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import day_of, url_decoded
 from tallyloom.functions.fixed_values import LIVE
-from tallyloom.operators.rows import id_order, require_one
+from tallyloom.operators.rows import id_order, page_with_total, require_one
 
 Tables = Mapping[str, DataFrame]
 
 # Children of a product that a product listing carries along.
 CHILD_KINDS = ("images", "documents", "metadata", "options", "variants")
 
-# Children of one kind that one nested row holds at most; further ones go to further rows.
-CHILDREN_PER_ROW = 1000
-
 
 def search(tables: Tables, products: DataFrame, params: Mapping[str, object]) -> DataFrame:
-    """Keep products that meet every predicate whose parameter is given and not empty.
+    """Keep products that meet every predicate whose parameter is given and not empty; zero is
+    empty, as a number and as the text "0" that a request carries.
 
     Parameters: ``q``, ``min_price``, ``max_price``, ``start``, ``end``, ``is_published``,
     ``category`` (ids separated by commas).
     """
-    given = {name: value for name, value in params.items() if value not in (None, "", False)}
+    given = {name: value for name, value in params.items() if not _empty(value)}
     if "q" in given:
         products = products.filter(title_contains(str(given["q"])))
     products = products.filter(price_between(given.get("min_price"), given.get("max_price")))
@@ -39,6 +37,10 @@ def search(tables: Tables, products: DataFrame, params: Mapping[str, object]) ->
     return products
 
 
+def _empty(value: object) -> bool:
+    return not value or value == "0"
+
+
 def title_contains(q: str) -> Column:
     """Literal, case-insensitive containment of the URL-decoded text."""
     return F.contains(F.lower("title"), F.lower(url_decoded(q)))
@@ -46,6 +48,7 @@ def title_contains(q: str) -> Column:
 
 def price_between(low, high) -> Column:
     """An empty lower bound is 0 once an upper one is given; an empty upper bound is open."""
+    low, high = (None if _empty(bound) else bound for bound in (low, high))
     if not low and not high:
         return F.lit(True)
     at_least = F.col("price") >= F.lit(str(low or 0)).cast("decimal(18,2)")
@@ -117,6 +120,10 @@ def by_id(tables: Tables, product_id: int) -> DataFrame:
     return tables["products"].filter(F.col("id") == product_id)
 
 
+def by_id_or_fail(tables: Tables, product_id: int) -> DataFrame:
+    return require_one(by_id(tables, product_id), f"product: {product_id}")
+
+
 def by_uid(tables: Tables, uid: str) -> DataFrame:
     return _first(tables["products"].filter(F.col("uid") == uid))
 
@@ -152,57 +159,83 @@ def recommended(tables: Tables, uid: str, live_only: bool = False) -> DataFrame:
     return (live(found) if live_only else found).orderBy("id")
 
 
-def with_children(tables: Tables, products: DataFrame) -> DataFrame:
-    """Products with one list per kind of child, each list as JSON text in child order.
+def get_all(
+    tables: Tables,
+    params: Mapping[str, object] | None = None,
+    live_only: bool = False,
+    number: int = 1,
+    children_per_row: int | None = None,
+) -> DataFrame:
+    """The product listing: the matching page with its total and the children of its products."""
+    direction = str((params or {}).get("order_by") or "desc")
+    found = page_with_total(list_products(tables, params, live_only), number, direction=direction)
+    return with_children(tables, found, children_per_row)
+
+
+def children_of(tables: Tables, products: DataFrame) -> DataFrame:
+    """The long form of a nested load, one row per child: product_id, kind, place and the child's
+    columns, with its id, as JSON text. Only children of the given products are read on; nothing
+    grows with the number of children of a product."""
+    ids = products.select(F.col("id").alias("product_id")).filter("product_id IS NOT NULL")
+    return reduce(
+        DataFrame.unionByName,
+        [
+            _child_rows(tables[kind].join(ids, "product_id", "left_semi"), kind)
+            for kind in CHILD_KINDS
+        ],
+    )
+
+
+def with_children(
+    tables: Tables, products: DataFrame, children_per_row: int | None = None
+) -> DataFrame:
+    """Products with one list per kind of child, each list as JSON text in the order of the
+    children's places.
 
-    Lists are cut into parts of a fixed number of children: ``part`` 0 is on every product, a
-    product with more children of a kind than fit has further rows. So no list grows with the
-    data, and nothing is left out. All kinds share one grouping instead of one each.
+    All children of a product are in one row, as in the nested load that this stands for. Give
+    ``children_per_row`` to cut the lists: ``part`` 0 is then on every product, and places from
+    ``children_per_row`` on go to further rows. :func:`children_of` has no lists at all.
     """
-    children = reduce(
-        DataFrame.unionByName, [_child_rows(tables[kind], kind) for kind in CHILD_KINDS]
-    )
+    part = F.lit(0)
+    if children_per_row:
+        part = F.floor(F.col("place") / children_per_row).cast("int")
+    children = children_of(tables, products).withColumn("part", part)
     lists = []
     for kind in CHILD_KINDS:
-        mine = F.when(F.col("kind") == kind, F.struct("position", "child"))
+        mine = F.when(F.col("kind") == kind, F.struct("place", "id", "child"))
         ordered = F.transform(F.array_sort(F.collect_list(mine)), lambda c: c["child"])
         text = F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]"))
         lists.append(text.alias(kind))
     every_product = products.select(
         F.col("id").alias("product_id"),
-        F.lit(0).alias("part"),
         F.lit(None).cast("string").alias("kind"),
-        F.lit(None).cast("bigint").alias("position"),
+        F.lit(None).cast("bigint").alias("place"),
+        F.lit(None).cast("bigint").alias("id"),
         F.lit(None).cast("string").alias("child"),
+        F.lit(0).alias("part"),
     )
     parts = children.unionByName(every_product).groupBy("product_id", "part").agg(*lists)
-    return products.join(parts.withColumnRenamed("product_id", "id"), "id")
+    parts = parts.withColumnRenamed("product_id", "id")
+    return products.join(parts, products["id"].eqNullSafe(parts["id"])).drop(parts["id"])
 
 
 def _child_rows(children: DataFrame, kind: str) -> DataFrame:
-    """One row per child: its place in the product's list and its fields as JSON text."""
-    fields = [c for c in children.columns if c not in ("id", "product_id")]
-    place = child_place()
+    """One row per child: its place in the product's list and its columns as JSON text."""
+    fields = [c for c in children.columns if c not in ("product_id", "place")]
     return children.select(
         "product_id",
-        F.floor(place / CHILDREN_PER_ROW).cast("int").alias("part"),
         F.lit(kind).alias("kind"),
-        place.alias("position"),
+        F.col("place").cast("bigint").alias("place"),
+        "id",
         F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("child"),
     )
 
 
-# Ids of child rows: the product id and the child's place in the payload that delivered it.
-CHILD_SPAN = 1_000_000
-
-
 def child_id(product_id: Column, place: Column) -> Column:
-    """A repeatable child id; a payload list too long for the span is an error, not a collision."""
-    in_span = F.when(place < CHILD_SPAN, place).otherwise(
-        F.raise_error(F.lit("payload list is longer than the child id span"))
-    )
-    return product_id * CHILD_SPAN + in_span.cast("bigint")
+    """A repeatable id for a child that a payload delivers: 60 bits of a digest of both values.
 
-
-def child_place() -> Column:
-    return F.col("id") % CHILD_SPAN
+    Nothing is read back from it; order and part come from the column ``place``. Children are
+    always looked up together with their product, so equal ids of two products do no harm.
+    """
+    digest = F.md5(F.concat_ws("/", product_id.cast("string"), place.cast("string")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")

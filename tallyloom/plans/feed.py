@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Mapping
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ from tallyloom.functions.fixed_values import (
 from tallyloom.operators.rows import first_per, replace_by_key
 from tallyloom.plans.catalogue import child_id
 from tallyloom.sources.lazy import LazyTables
-from tallyloom.sources.schemas import FEED_PAYLOAD
+from tallyloom.sources.schemas import FEED_NUMBERS, FEED_PAYLOAD
 
 Tables = Mapping[str, DataFrame]
 
@@ -56,13 +56,87 @@ HEADER = [
 def parse_feed(feed: DataFrame) -> DataFrame:
     """``product_id`` and one column per payload field. Text that is no JSON object gives NULLs.
 
-    To load all tables from one delivery, write this frame once and pass what is read back: each
-    child table then reads its own column only.
+    Numbers that cannot be read are NULL; :func:`field_rejects` lists them. If the feed has a column
+    ``sequence``, the last delivery of a product counts; otherwise a product delivered twice is
+    refused by the jobs and listed by :func:`repeated_deliveries`. To load all tables from one
+    delivery, write this frame once and pass what is read back: each child table then reads its own
+    column only.
     """
+    parsed = _as_text(feed)
+    names = [name for name in parsed.columns if name != "product_id"]
+    return parsed.select("product_id", *[_typed(parsed, name) for name in names])
+
+
+def _as_text(feed: DataFrame) -> DataFrame:
+    if "sequence" in feed.columns:
+        # a maximum over a struct combines before the shuffle
+        last = F.max(F.struct("sequence", "payload")).alias("last")
+        feed = feed.groupBy("product_id").agg(last).select("product_id", "last.payload")
     parsed = feed.select("product_id", F.from_json("payload", FEED_PAYLOAD).alias("p"))
     return parsed.select("product_id", "p.*")
 
 
+def _number(text: Column, kind: str) -> Column:
+    """Whole numbers may be written with decimals that are zero."""
+    if kind in ("int", "bigint"):
+        exact = text.try_cast("decimal(38,6)")
+        return F.when(exact == F.floor(exact), F.floor(exact)).try_cast(kind)
+    return text.try_cast(kind)
+
+
+def _typed(parsed: DataFrame, name: str) -> Column:
+    if name in FEED_NUMBERS[""]:
+        return _number(F.col(name), FEED_NUMBERS[""][name]).alias(name)
+    numbers = FEED_NUMBERS.get(name)
+    if not numbers:
+        return F.col(f"`{name}`")
+    fields = parsed.schema[name].dataType.elementType.names
+
+    def item(given: Column) -> Column:
+        return F.struct(
+            *[
+                (_number(given[f], numbers[f]) if f in numbers else given[f]).alias(f)
+                for f in fields
+            ]
+        )
+
+    return F.transform(name, item).alias(name)
+
+
+def field_rejects(feed: DataFrame) -> DataFrame:
+    """Given numbers that cannot be read: product_id, field (with its list), place and text."""
+    texts = _as_text(feed)
+
+    def of_list(listed: str, numbers: Mapping[str, str]) -> DataFrame:
+        if listed:
+            rows = _items(texts, listed)
+        else:
+            rows = texts.select("product_id", F.lit(0).alias("place"), F.struct(*numbers).alias("item"))
+        checks = []
+        for name, kind in numbers.items():
+            text = F.col(f"item.{name}")
+            unread = F.when((text != "") & _number(text, kind).isNull(), text)
+            field = F.lit(f"{listed}.{name}" if listed else name)
+            checks.append(F.struct(field.alias("field"), unread.alias("text")))
+        place = F.col("place").cast("bigint").alias("place")
+        return rows.select("product_id", place, F.inline(F.array(*checks)))
+
+    found = [of_list(listed, numbers) for listed, numbers in FEED_NUMBERS.items()]
+    rejected = reduce(DataFrame.unionByName, found).filter("text IS NOT NULL")
+    return rejected.select("product_id", "field", "place", "text")
+
+
+def repeated_deliveries(parsed: DataFrame) -> DataFrame:
+    """Products that a feed without a sequence delivers more than once, with how often."""
+    return (
+        parsed.groupBy("product_id").agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
+    )
+
+
+def _single(parsed: DataFrame) -> DataFrame:
+    return parsed.join(repeated_deliveries(parsed), "product_id", "left_anti")
+
+
 # --- headers ----------------------------------------------------------------------------------
 
 
@@ -146,10 +220,15 @@ def _own_id() -> Column:
     return child_id(F.col("product_id"), F.col("place")).alias("id")
 
 
+def _own_place() -> Column:
+    return F.col("place").cast("bigint").alias("place")
+
+
 def images_of(parsed: DataFrame) -> DataFrame:
     return _items(parsed, "images").select(
         _own_id(),
         "product_id",
+        _own_place(),
         "item.position",
         "item.alt",
         "item.src",
@@ -162,6 +241,7 @@ def videos_of(parsed: DataFrame) -> DataFrame:
     return _items(parsed, "videos").select(
         _own_id(),
         "product_id",
+        _own_place(),
         *[or_blank(f"item.{f}").alias(f) for f in ("title", "url", "description")],
     )
 
@@ -170,6 +250,7 @@ def documents_of(parsed: DataFrame) -> DataFrame:
     return _items(parsed, "documents").select(
         _own_id(),
         "product_id",
+        _own_place(),
         "item.title",
         or_blank("item.description").alias("description"),
         "item.src",
@@ -179,13 +260,16 @@ def documents_of(parsed: DataFrame) -> DataFrame:
 
 
 def metadata_of(parsed: DataFrame) -> DataFrame:
-    """A list attribute keeps its name list as JSON text, any other its single name."""
-    listed = F.to_json("item.name")
-    single = F.get("item.name", F.lit(0))
-    name = F.when(F.col("item.kind") == LIST_KIND, listed).otherwise(single)
+    """A list attribute keeps its name as JSON text, any other its single name as plain text; a
+    list given for such a one counts by its first name."""
+    single = F.coalesce(
+        F.try_variant_get("item.name", "$[0]", "string"), F.try_variant_get("item.name", "$", "string")
+    )
+    name = F.when(F.col("item.kind") == LIST_KIND, F.to_json("item.name")).otherwise(single)
     return _items(parsed, "metadata").select(
         _own_id(),
         "product_id",
+        _own_place(),
         "item.metafield_id",
         or_blank(name).alias("name"),
         or_blank("item.label").alias("label"),
@@ -197,6 +281,7 @@ def options_of(parsed: DataFrame) -> DataFrame:
     return _items(parsed, "options").select(
         _own_id(),
         "product_id",
+        _own_place(),
         "item.name",
         F.to_json("item.value").alias("value"),
         "item.position",
@@ -227,6 +312,7 @@ def variants_of(parsed: DataFrame) -> DataFrame:
     return _items(parsed, "variants").select(
         _own_id(),
         "product_id",
+        _own_place(),
         "item.title",
         *[or_blank(f"item.{f}").alias(f) for f in VARIANT_TEXT],
         *[F.col(f"item.{f}") for f in VARIANT_NUMBERS],
@@ -307,9 +393,9 @@ def feed_rejects(tables: Tables, parsed: DataFrame) -> DataFrame:
 
 
 def load_feed(tables: Tables, parsed: DataFrame, as_of: dt.datetime) -> LazyTables:
-    """Products and all child tables of a feed of new products."""
+    """Products and all child tables of a feed of new products, each delivered once."""
     known = tables["businesses"].select(F.col("uid").alias("business_uid"))
-    loadable = parsed.join(known, "business_uid", "left_semi")
+    loadable = _single(parsed).join(known, "business_uid", "left_semi")
     return _with_products(
         lambda: new_products(tables, loadable, as_of),
         feed_children(tables, loadable).__getitem__,
@@ -335,6 +421,9 @@ def replaced_products(products: DataFrame, parsed: DataFrame, as_of: dt.datetime
     joined = products.join(new, "id", "left")
     delivered = F.col("delivered").isNotNull()
     images = F.when(F.col("with_images"), F.array(F.lit(1)))
+    same_status = F.col("action_type").eqNullSafe(
+        next_status(F.col("action_type"), images)
+    )
     status = F.when(delivered, next_status(F.col("action_type"), images)).otherwise(
         F.col("action_type")
     )
@@ -344,7 +433,7 @@ def replaced_products(products: DataFrame, parsed: DataFrame, as_of: dt.datetime
         ).otherwise(F.col("slug")),
         "action_type": status,
         "action_date": F.when(
-            status == F.col("action_type"), F.col("action_date")
+            ~delivered | same_status, F.col("action_date")
         ).otherwise(F.lit(as_of.isoformat()).cast("timestamp_ntz")),
     }
     for name in HEADER:
@@ -361,7 +450,7 @@ def replace(
     ``children`` the child tables. Children of delivered products are replaced as a whole; feed
     rows of unknown products change nothing. Write the result to a new snapshot folder."""
     ids = tables["products"].select(F.col("id").alias("product_id"))
-    known = parsed.join(ids, "product_id", "left_semi")
+    known = _single(parsed).join(ids, "product_id", "left_semi")
     fresh = feed_children(tables, known)
     return _with_products(
         lambda: replaced_products(tables["products"], known, as_of),

@@ -176,21 +176,13 @@ def payment_totals(
 ) -> DataFrame:
     """One row per payment name with its sums: the small table below summary and counts.
 
-    Names of students and teachers are not needed here, only that they exist, and share rows are
-    summed per payment before they are shuffled to it. A fee counts once per share row, as in the
-    record listing; the ``once`` sums count it once per payment.
+    Names of students and teachers are not needed here, only that they exist. A fee counts once per
+    share row, as in the record listing; the ``once`` sums count it once per payment. Without a
+    scope and a span every share is wanted, so shares are summed per payment before they are
+    shuffled to it. A narrower report joins first: only shares of its own payments are summed.
     """
-    shares = (
-        tables["teacher_institute_shares"]
-        .join(
-            tables["teachers"].select(F.col("id").alias("teacher_id")), "teacher_id", "left_semi"
-        )
-        .groupBy("monthly_payment_id")
-        .agg(
-            F.sum("teacher_amount").alias("teacher_amount"),
-            F.sum("institute_amount").alias("institute_amount"),
-            F.count(F.lit(1)).alias("n_shares"),
-        )
+    shares = tables["teacher_institute_shares"].join(
+        tables["teachers"].select(F.col("id").alias("teacher_id")), "teacher_id", "left_semi"
     )
     fees = (
         _fees(tables, scope, scope_id, span)
@@ -200,11 +192,23 @@ def payment_totals(
         .join(
             tables["students"].select(F.col("id").alias("student_id")), "student_id", "left_semi"
         )
+        .drop("student_id")
     )
+    sums = [
+        F.sum("teacher_amount").alias("teacher_amount"),
+        F.sum("institute_amount").alias("institute_amount"),
+        F.count(F.lit(1)).alias("n_shares"),
+    ]
+    if scope == "all" and span is None:
+        per_payment = fees.join(
+            shares.groupBy("monthly_payment_id").agg(*sums), "monthly_payment_id"
+        )
+    else:
+        joined = fees.join(shares, "monthly_payment_id")
+        per_payment = joined.groupBy(*fees.columns).agg(*sums)
     times = F.col("n_shares").cast("decimal(18,0)")
     return (
-        fees.join(shares, "monthly_payment_id")
-        .groupBy("payment_name")
+        per_payment.groupBy("payment_name")
         .agg(
             _money(F.sum("teacher_amount"), 4).alias("total_teacher_amount"),
             _money(F.sum("institute_amount"), 4).alias("total_institute_amount"),

@@ -16,11 +16,19 @@ from tallyloom.functions.fixed_values import (
     COMPLETED_TEXT,
     CREATED_MESSAGE,
     MOVED_MESSAGE,
+    MOVE_TEACHER_TEXT,
     ROOM_TEXT,
     TEACHER_TEXT,
 )
 from tallyloom.operators.rows import first_per
-from tallyloom.operators.slots import KINDS, claims, clash_counts, kind_number, overlaps
+from tallyloom.operators.slots import (
+    KINDS,
+    claims,
+    clash_counts,
+    kind_number,
+    lost_in_turn,
+    overlaps,
+)
 from tallyloom.session import ensure_checkpoint_dir
 
 Tables = Mapping[str, DataFrame]
@@ -149,27 +157,40 @@ def endpoint_conflicts(tables: Tables, requests: DataFrame) -> DataFrame:
 
 def capacity(tables: Tables, slots: DataFrame) -> DataFrame:
     """Slots with room name, seats and enrolled students; ``fits`` is false when the room is too
-    small. As many students as seats still fit."""
+    small. As many students as seats still fit; a room without a number of seats takes nobody."""
     students = enrolment(tables["lecture_student"])
     return (
         with_room(tables, slots)
         .join(students, "lecture_id", "left")
         .withColumn("n_students", F.coalesce("n_students", F.lit(0)))
-        .withColumn("fits", F.col("n_students") <= F.col("no_of_seats"))
+        .withColumn(
+            "fits",
+            F.when(
+                F.col("room_name").isNotNull(),
+                F.coalesce(F.col("n_students") <= F.col("no_of_seats"), F.col("n_students") == 0),
+            ),
+        )
     )
 
 
-def _verdict(clashes: dict[str, Column]) -> tuple[Column, Column]:
+def _verdict(clashes: dict[str, Column], teacher_text: str) -> tuple[Column, Column]:
     """The first failing check, in order, and its text."""
+
+    def number(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
     checks = [
         ("room_missing", F.col("room_name").isNull(), F.lit("No such room")),
         (
             "capacity",
             ~F.col("fits"),
-            F.format_string(CAPACITY_TEXT, "room_name", "no_of_seats", "n_students"),
+            F.format_string(
+                CAPACITY_TEXT, "room_name", number("no_of_seats"), number("n_students")
+            ),
         ),
         ("lecture_missing", F.col("lecture_name").isNull(), F.lit("No such lecture")),
-        ("teacher", clashes["teacher"], F.lit(TEACHER_TEXT)),
+        ("teacher_missing", F.col("teacher_name").isNull(), F.lit("No such teacher")),
+        ("teacher", clashes["teacher"], F.lit(teacher_text)),
         ("room", clashes["room"], F.lit(ROOM_TEXT)),
     ]
     outcome = reduce(lambda w, c: w.when(c[1], c[0]), checks, F).otherwise("ok")
@@ -186,7 +207,7 @@ def admit(tables: Tables, requests: DataFrame) -> DataFrame:
         conflicts(tables, requests), "id", "left"
     )
     clashes = {kind: F.coalesce(F.col(f"{kind}_clashes") > 0, F.lit(False)) for kind in KINDS}
-    outcome, refusal = _verdict(clashes)
+    outcome, refusal = _verdict(clashes, TEACHER_TEXT)
     return checked.select(
         *SLOT,
         "lecture_name",
@@ -201,48 +222,87 @@ def admit(tables: Tables, requests: DataFrame) -> DataFrame:
 
 # --- batch admission --------------------------------------------------------------------------
 
-CLAIM_MINUTES = 30
+CLAIM_MINUTES = 5
+
+# Requests of one date that one task settles in turn; a date with more is thinned in rounds first.
+ROWS_PER_DATE = 100_000
 
 _PLACE = ["date", "kind", "holder", "stretch"]
 
 
-def admit_batch(tables: Tables, requests: DataFrame) -> DataFrame:
+def admit_batch(
+    tables: Tables, requests: DataFrame, rows_per_date: int = ROWS_PER_DATE
+) -> DataFrame:
     """Admit a batch as if its requests came one by one in id order: an admitted request takes
-    its slot, so a later one that overlaps it is refused.
-
-    Works in rounds over claims, one row per half-hour a request touches of its room and of its
-    teacher. A request that comes first in every half-hour it claims has no earlier rival left and
-    is admitted; the waiting requests that overlap it are then out. The earliest waiting request
-    settles in every round, so the rounds end, and their number follows the longest chain of
-    overlapping requests, not the size of the batch. First claims are minima, combined before the
-    shuffle, and admitted slots of one holder never overlap, so a half-hour is only ever joined to
-    the few slots admitted in it, however many requests crowd there. Each round is checkpointed,
-    which keeps the plan short and survives lost executors.
+    its slot, so a later one that overlaps it is refused. Ids of requests are unique.
+
+    Requests of different dates never meet, so a date with at most ``rows_per_date`` open requests
+    is settled in turn by one task. A larger date is thinned first, in rounds over claims, one row
+    per stretch of minutes a request touches of its room and of its teacher. A request that comes
+    first in every stretch it claims has no earlier rival left and is admitted; the waiting requests
+    that overlap it are then out. Admitted slots of one holder never overlap, so a stretch is only
+    ever joined to the few slots admitted in it, however many requests crowd there. Rounds end when
+    what waits on the date fits one task. The outcome is the same by either way.
     """
     ensure_checkpoint_dir(requests.sparkSession)
     checked = admit(tables, requests).checkpoint()
-    candidates = claims(checked.filter(F.col("outcome") == "ok"), CLAIM_MINUTES)
-    waiting, admitted = candidates, []
-    while not waiting.isEmpty():
-        settled = _settle(waiting).checkpoint()
-        admitted.append(settled.filter(F.col("won")).select(candidates.columns))
-        waiting = settled.filter(~F.col("won") & ~F.col("lost")).select(candidates.columns)
-    if not admitted:
-        return checked
     # A teacher taken by the batch also comes before a room taken in the committed timetable.
-    open_to_batch = claims(checked.filter(F.col("outcome").isin("ok", "room")), CLAIM_MINUTES)
-    lost = _lost_to(open_to_batch, reduce(DataFrame.unionByName, admitted))
+    candidates = checked.filter(
+        F.col("outcome").isin("ok", "room") & (F.col("start_ts") < F.col("end_ts"))
+    ).withColumn("open", F.col("outcome") == "ok")
+    crowded = _crowded_dates(candidates, rows_per_date)
+    if crowded.isEmpty():
+        lost = _lost_in_turn(candidates)
+    else:
+        crowd = candidates.join(crowded, "date", "left_semi")
+        lost = _lost_in_turn(candidates.join(crowded, "date", "left_anti")).unionByName(
+            _lost_in_rounds(crowd, rows_per_date)
+        )
     text = F.when(F.col("lost") == "teacher", TEACHER_TEXT).when(
         F.col("lost") == "room", ROOM_TEXT
     )
+    # A request whose room was already taken stays refused for it unless its teacher is taken too.
+    lost = lost.withColumnRenamed("id", "lost_id")
+    applies = (F.col("lost") == "teacher") | (F.col("outcome") == "ok")
     kept = [c for c in checked.columns if c not in ("outcome", "refusal")]
-    return checked.join(lost, "id", "left").select(
+    return checked.join(lost, (F.col("id") == F.col("lost_id")) & applies, "left").select(
         *kept,
         F.coalesce("lost", "outcome").alias("outcome"),
         F.coalesce(text, F.col("refusal")).alias("refusal"),
     )
 
 
+def _crowded_dates(candidates: DataFrame, rows_per_date: int) -> DataFrame:
+    sizes = candidates.groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
+    return sizes.filter(F.col("rows") > rows_per_date).select("date").checkpoint()
+
+
+def _lost_in_turn(candidates: DataFrame) -> DataFrame:
+    narrow = candidates.select(
+        "id", "date", "start_ts", "end_ts", *[f"{kind}_id" for kind in KINDS], "open"
+    )
+    return narrow.groupBy("date").applyInPandas(lost_in_turn, "id bigint, lost string")
+
+
+def _lost_in_rounds(crowd: DataFrame, rows_per_date: int) -> DataFrame:
+    opened = claims(crowd.filter("open"), CLAIM_MINUTES)
+    waiting, admitted = opened, []
+    while not waiting.isEmpty():
+        settled = _settle(waiting).checkpoint()
+        admitted.append(settled.filter(F.col("won")).select(opened.columns))
+        waiting = settled.filter(~F.col("won") & ~F.col("lost")).select(opened.columns)
+        ids = waiting.select("date", "id").distinct()
+        if _crowded_dates(ids, rows_per_date).isEmpty():
+            # nobody who waits overlaps an admitted slot any more
+            tail = crowd.join(ids.select("id"), "id", "left_semi")
+            out = _lost_in_turn(tail).checkpoint()
+            admitted.append(waiting.join(out, "id", "left_anti"))
+            break
+    return _lost_to(
+        claims(crowd, CLAIM_MINUTES), reduce(DataFrame.unionByName, admitted)
+    ) if admitted else _lost_in_turn(crowd)
+
+
 def _settle(waiting: DataFrame) -> DataFrame:
     """Waiting claims with ``won`` (first in all its half-hours) and ``lost`` (overlaps a winner)."""
     earliest = waiting.groupBy(*_PLACE).agg(F.min("id").alias("earliest"))
@@ -313,7 +373,7 @@ def move(tables: Tables, changes: DataFrame, as_of: dt.date) -> DataFrame:
         )
         for kind in KINDS
     }
-    outcome, refusal = _verdict(clashes)
+    outcome, refusal = _verdict(clashes, MOVE_TEACHER_TEXT)
     missing = F.col("status").isNull()
     done = F.col("status") == COMPLETED
     return checked.select(
@@ -367,13 +427,17 @@ def messages(decisions: DataFrame) -> DataFrame:
 def recipients(tables: Tables, schedules: DataFrame) -> DataFrame:
     """Who is told about a schedule: the teacher of its lecture and each enrolled student once.
 
-    The people of a lecture are brought together first, so that the schedules, often the outcome
-    of an admission, are computed and joined only once.
+    The schedules, often the outcome of an admission, are computed once and stored; only students of
+    their lectures are looked up.
     """
+    ensure_checkpoint_dir(schedules.sparkSession)
+    slots = schedules.select(F.col("id").alias("daily_schedule_id"), "lecture_id").checkpoint()
+    wanted = slots.select("lecture_id").distinct()
     teachers = tables["teachers"].select(F.col("id").alias("teacher_id"), "email")
     students = tables["students"].select(F.col("id").alias("student_id"), "email")
     taught = tables["lectures"].select(F.col("id").alias("lecture_id"), "teacher_id")
-    enrolled = tables["lecture_student"].distinct()
+    taught = taught.join(wanted, "lecture_id", "left_semi")
+    enrolled = tables["lecture_student"].join(wanted, "lecture_id", "left_semi").distinct()
 
     def of_lecture(people: DataFrame, role: str) -> DataFrame:
         return people.select("lecture_id", F.lit(role).alias("role"), "email")
@@ -381,7 +445,6 @@ def recipients(tables: Tables, schedules: DataFrame) -> DataFrame:
     people = of_lecture(taught.join(teachers, "teacher_id"), "teacher").unionByName(
         of_lecture(enrolled.join(students, "student_id"), "student")
     )
-    slots = schedules.select(F.col("id").alias("daily_schedule_id"), "lecture_id")
     return slots.join(people, "lecture_id").select("daily_schedule_id", "role", "email")
 
 

@@ -91,47 +91,52 @@ RECOMMENDED_SQL = f"""p.uid <> 'prd-7' AND p.id IN (
 
 # --- feed ---------------------------------------------------------------------------------------
 
-SPAN = catalogue.CHILD_SPAN
+def _child_id(place: str) -> str:
+    """The id of a child: 60 bits of a digest of its product and place."""
+    return f"CAST('0x' || substr(md5(product_id || '/' || {place}), 1, 15) AS BIGINT)"
+
+
+OWN = f"{_child_id('i')} AS id, product_id, i AS place"
+FIRST = f"{_child_id('0')} AS id, product_id, CAST(0 AS BIGINT) AS place"
 
 
 def _child_sql(source: str) -> dict[str, str]:
     """Child rows of a feed table (``feed`` or ``revised``), written from its source columns."""
     return {
         "images": f"""
-            SELECT product_id * {SPAN} + i AS id, product_id, CAST(i AS INTEGER) AS position,
+            SELECT {OWN}, CAST(i AS INTEGER) AS position,
                    'view ' || i AS alt, 'img/' || product_id || '/' || i AS src,
                    CAST(640 AS INTEGER) AS width, CAST(0 AS INTEGER) AS height
             FROM {source}, range(4) AS r(i) WHERE i < n_images""",
         "videos": f"""
-            SELECT product_id * {SPAN} AS id, product_id, p_name AS title,
+            SELECT {FIRST}, p_name AS title,
                    'https://video.example.test/' || product_id AS url, '' AS description
             FROM {source} WHERE p_size % 2 = 1""",
         "documents": f"""
-            SELECT product_id * {SPAN} AS id, product_id, 'Sheet ' || product_id AS title,
+            SELECT {FIRST}, 'Sheet ' || product_id AS title,
                    '' AS description, 'doc/' || product_id AS src, 'pdf' AS kind,
                    CAST(0 AS INTEGER) AS position
             FROM {source}""",
         "metadata": f"""
-            SELECT product_id * {SPAN} + i AS id, product_id, i + 1 AS metafield_id,
+            SELECT {OWN}, i + 1 AS metafield_id,
                    CASE i WHEN 0 THEN '["' || p_type || '","' || p_brand || '"]'
                           ELSE p_brand END AS name,
                    CASE i WHEN 0 THEN 'tags' ELSE '' END AS label,
                    CAST(CASE i WHEN 0 THEN 7 ELSE 1 END AS INTEGER) AS kind
             FROM {source}, range(2) AS r(i)""",
         "options": f"""
-            SELECT product_id * {SPAN} + i AS id, product_id,
+            SELECT {OWN},
                    CASE i WHEN 0 THEN 'size' ELSE 'type' END AS name,
-                   CASE i WHEN 0 THEN '["S","M"]' ELSE '["' || p_type || '"]' END AS value,
+                   CASE i WHEN 0 THEN '["S","M"]' ELSE '"' || p_type || '"' END AS value,
                    CAST(i AS INTEGER) AS position
             FROM {source}, range(2) AS r(i)""",
         "variants": f"""
-            SELECT product_id * {SPAN} + i AS id, product_id, p_name || ' v' || i AS title,
+            SELECT {OWN}, p_name || ' v' || i AS title,
                    price + i AS price, 'sku-' || product_id || '-' || i AS sku,
                    CAST(i AS INTEGER) AS position
             FROM {source}, range(3) AS r(i) WHERE i < product_id % 3 + 1""",
         "option_variants": f"""
-            SELECT product_id, product_id * {SPAN} AS option_id,
-                   product_id * {SPAN} + i AS variant_id,
+            SELECT product_id, {_child_id('0')} AS option_id, {_child_id('i')} AS variant_id,
                    CASE WHEN i % 2 = 0 THEN 'S' ELSE 'M' END AS value
             FROM {source}, range(3) AS r(i) WHERE i < product_id % 3 + 1 AND product_id % 10 <> 0""",
         "collections": f"""
@@ -140,14 +145,25 @@ def _child_sql(source: str) -> dict[str, str]:
     }
 
 
-CHILD_COLUMNS = {"variants": ["id", "product_id", "title", "price", "sku", "position"]}
+CHILD_COLUMNS = {"variants": ["id", "product_id", "place", "title", "price", "sku", "position"]}
+
+ALL_COLUMNS = [
+    *COLUMNS, "except", "currency", "compare_at_price", "min_purchase_quantity", "metric",
+    "action_date",
+]
 
-FEED_PRODUCTS_SQL = """
+# Texts and numbers that no payload carries.
+UNSET_SQL = """'' AS "except", '' AS currency, CAST(NULL AS DOUBLE) AS compare_at_price,
+    CAST(NULL AS INTEGER) AS min_purchase_quantity, '' AS metric"""
+
+QUANTITY_SQL = "CASE WHEN product_id % 50 <> 0 THEN p_size END"
+
+FEED_PRODUCTS_SQL = f"""
     SELECT product_id AS id, 'prd-' || product_id AS uid, account_id, vendor_id, title,
            title AS slug, p_type AS description, CAST(1 AS INTEGER) AS published_scope,
-           CAST(price AS DOUBLE) AS price, p_size AS inventory_quantity,
-           CASE WHEN n_images > 0 THEN 9 ELSE 1 END AS action_type,
-           '2024-01-10 08:30:00' AS created_at
+           CAST(price AS DOUBLE) AS price, {QUANTITY_SQL} AS inventory_quantity,
+           CASE WHEN n_images > 0 THEN 9 ELSE 1 END AS action_type, {UNSET_SQL},
+           '2024-01-10 08:30:00' AS action_date, '2024-01-10 08:30:00' AS created_at
     FROM feed"""
 
 
@@ -166,18 +182,29 @@ def _stored(t):
 
 def _loaded_child(name: str):
     def build(t):
-        child = _stored(t)[name]
-        return child.select(*CHILD_COLUMNS.get(name, child.columns))
+        return _shown(name, _loaded(t)[name])
 
     return build
 
 
+def _shown(name: str, child):
+    return child.select(*CHILD_COLUMNS.get(name, child.columns))
+
+
+def _replaced_child(name: str):
+    return lambda t: _shown(name, _replaced(t)[name])
+
+
+def _left_child(name: str):
+    return lambda t: _shown(name, feed.delete(t, _stored(t), _withdrawn(t))[name])
+
+
 def _replaced(t):
     return feed.replace(t, _stored(t), _parsed(t, "revised_feed"), AS_OF)
 
 
 def _replaced_products(t):
-    return _replaced(t)["products"].select(*COLUMNS)
+    return _replaced(t)["products"].select(*[F.col(f"`{c}`") for c in ALL_COLUMNS])
 
 
 def _child_counts(tables):
@@ -199,10 +226,6 @@ def _replaced_children(t):
     return _child_counts(_replaced(t))
 
 
-def _replaced_images(t):
-    return _replaced(t)["images"]
-
-
 def _status_transition(t):
     old = t["products"].select("id", F.col("action_type").alias("old_code"))
     new = _parsed(t, "revised_feed").select(F.col("product_id").alias("id"), "images")
@@ -243,6 +266,17 @@ def _children(t):
     return nested.select("id", "title", "part", *catalogue.CHILD_KINDS)
 
 
+def _listing(t):
+    params = {"account_id": 5, "min_price": 905, "max_price": "0"}
+    listed = catalogue.get_all({**_stored(t), **t}, params, number=2)
+    return listed.select("id", "title", "total", "part", *catalogue.CHILD_KINDS)
+
+
+def _past_the_end(t):
+    found = catalogue.list_products(t, {"account_id": 5})
+    return page_with_total(found, 1_000_000, direction="DESC").select(*COLUMNS, "total")
+
+
 def _page(t):
     found = catalogue.list_products(t, {"account_id": 5})
     return page_with_total(found, 2, direction="desc").select(*COLUMNS, "total")
@@ -250,17 +284,21 @@ def _page(t):
 
 _QUERIES = {
     "product_page": _page,
+    "product_page_past_the_end": _past_the_end,
+    "product_listing": _listing,
     "product_by_id": lambda t: catalogue.by_id(t, 42).select(*COLUMNS),
     "product_by_uid": lambda t: catalogue.by_uid(t, ANCHOR).select(*COLUMNS),
     "product_related": lambda t: catalogue.related(t, ANCHOR, live_only=True).select(*COLUMNS),
     "product_recommended": lambda t: catalogue.recommended(t, ANCHOR).select(*COLUMNS),
     "product_with_children": _children,
-    "feed_products": lambda t: _loaded(t)["products"].select(*COLUMNS),
+    "feed_products": lambda t: _loaded(t)["products"].select(*[F.col(f"`{c}`") for c in ALL_COLUMNS]),
     **{f"feed_{name}": _loaded_child(name) for name in feed.CHILD_TABLES},
+    "feed_field_rejects": lambda t: feed.field_rejects(t["product_feed"]),
     "feed_option_rejects": lambda t: feed.option_rejects(_parsed(t)),
     "product_replace": _replaced_products,
     "product_replace_children": _replaced_children,
-    "product_replace_images": _replaced_images,
+    **{f"product_replace_{name}": _replaced_child(name) for name in feed.CHILD_TABLES},
+    **{f"product_delete_{name}": _left_child(name) for name in feed.CHILD_TABLES},
     "product_status_transition": _status_transition,
     "product_delete_cascade": _deleted,
     "product_change_log": _product_log,
@@ -281,7 +319,7 @@ def queries() -> dict:
     return {**searches, **{name: bind(build) for name, build in _QUERIES.items()}}
 
 
-def _nested_sql() -> str:
+def _nested_sql(products: str = "products", columns: str = "") -> str:
     texts = {
         "images": ["position", "alt", "src", "width", "height"],
         "documents": ["title", "description", "src", "kind", "position"],
@@ -290,23 +328,24 @@ def _nested_sql() -> str:
     }
     parts = []
     for kind, fields in texts.items():
-        struct = ", ".join(f"'{f}': c.{f}" for f in fields)
+        struct = ", ".join(f"'{f}': c.{f}" for f in ["id", *fields])
         parts.append(
-            f"""(SELECT coalesce(CAST(to_json(list({{{struct}}} ORDER BY c.id)) AS VARCHAR), '[]')
+            f"""(SELECT coalesce(CAST(to_json(list({{{struct}}} ORDER BY c.place)) AS VARCHAR), '[]')
                  FROM f_{kind} c WHERE c.product_id = p.id) AS {kind}"""
         )
     # Text fields of a variant that its payload leaves out are blank, numbers are null.
     parts.append(
         """(SELECT coalesce('[' || string_agg(
-               '{"title":"' || c.title || '","sku":"' || c.sku || '","inventory_policy":"",'
+               '{"id":' || c.id || ',"title":"' || c.title || '","sku":"' || c.sku || '","inventory_policy":"",'
                || '"fulfillment_service":"","inventory_management":"","taxable":"",'
                || '"barcode":"","weight_unit":"","requires_shipping":"","price":'
                || CAST(CAST(c.price AS DECIMAL(18,2)) AS VARCHAR) || ',"position":' || c.position
                || ',"compare_at_price":null,"grams":null,"weight":null,'
-               || '"inventory_quantity":null}', ',' ORDER BY c.id) || ']', '[]')
+               || '"inventory_quantity":null}', ',' ORDER BY c.place) || ']', '[]')
             FROM f_variants c WHERE c.product_id = p.id) AS variants"""
     )
-    return "SELECT p.id, p.title, CAST(0 AS INTEGER) AS part, " + ", ".join(parts) + " FROM products p"
+    shown = ", ".join([f"p.id, p.title{columns}, CAST(0 AS INTEGER) AS part", *parts])
+    return f"SELECT {shown} FROM {products} p"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -322,6 +361,20 @@ def oracle_sql() -> dict[str, str]:
     found["product_by_uid"] = _products_sql("p.uid = 'prd-7'")
     found["product_related"] = _products_sql(f"{RELATED_SQL} AND p.action_type = 9")
     found["product_recommended"] = _products_sql(RECOMMENDED_SQL)
+    found["product_page_past_the_end"] = sql_with(
+        f"""SELECT {', '.join(f'p.{c}' for c in COLUMNS)}, n.total
+            FROM (SELECT count(*) AS total FROM products WHERE account_id = 5) n
+            LEFT JOIN (SELECT {PRODUCT_SQL} FROM products p WHERE false) p ON true"""
+    )
+    found["product_listing"] = sql_with(
+        _nested_sql("listed", ", p.total"),
+        **fresh,
+        listed="""SELECT *, count(*) OVER () AS total FROM products
+            WHERE account_id = 5 AND price >= 905 ORDER BY id DESC LIMIT 10 OFFSET 10""",
+    )
+    found["feed_field_rejects"] = sql_with("""
+        SELECT product_id, 'inventory_quantity' AS field, CAST(0 AS BIGINT) AS place,
+               'many' AS text FROM feed WHERE product_id % 50 = 0""")
     found["product_with_children"] = sql_with(_nested_sql(), **fresh)
     found["feed_products"] = sql_with(FEED_PRODUCTS_SQL)
     for name, sql in _child_sql("feed").items():
@@ -330,7 +383,7 @@ def oracle_sql() -> dict[str, str]:
         ) else "SELECT * FROM f"
         found[f"feed_{name}"] = sql_with(shown, f=sql)
     found["feed_option_rejects"] = sql_with(f"""
-        SELECT product_id, product_id * {SPAN} + i AS variant_id, 'colour' AS option,
+        SELECT product_id, {_child_id('i')} AS variant_id, 'colour' AS option,
                CASE WHEN i % 2 = 0 THEN 'S' ELSE 'M' END AS value
         FROM feed, range(3) AS r(i) WHERE i < product_id % 3 + 1 AND product_id % 10 = 0""")
     found["product_replace"] = sql_with("""
@@ -339,10 +392,16 @@ def oracle_sql() -> dict[str, str]:
                coalesce(r.p_type, p.description) AS description,
                CASE WHEN r.product_id IS NULL THEN p.published_scope ELSE 1 END AS published_scope,
                CAST(coalesce(r.price, p.price) AS DOUBLE) AS price,
-               coalesce(r.p_size, p.inventory_quantity) AS inventory_quantity,
+               CASE WHEN r.product_id IS NULL THEN p.inventory_quantity
+                    WHEN r.product_id % 50 <> 0 THEN r.p_size END AS inventory_quantity,
                CASE WHEN p.action_type = 9 AND r.n_images = 0 THEN 1
                     WHEN p.action_type = 1 AND r.n_images > 0 THEN 9
-                    ELSE p.action_type END AS action_type,
+                    ELSE p.action_type END AS action_type, """
+        + UNSET_SQL
+        + """,
+               CASE WHEN p.action_type = 9 AND r.n_images = 0 OR
+                         p.action_type = 1 AND r.n_images > 0 THEN '2024-01-10 08:30:00'
+                    ELSE strftime(p.created_at, '%Y-%m-%d %H:%M:%S') END AS action_date,
                strftime(p.created_at, '%Y-%m-%d %H:%M:%S') AS created_at
         FROM products p LEFT JOIN revised r ON r.product_id = p.id""")
     found["product_status_transition"] = sql_with("""
@@ -350,11 +409,20 @@ def oracle_sql() -> dict[str, str]:
                CASE WHEN r.n_images = 0 THEN 1 ELSE 9 END AS new_code
         FROM products p JOIN revised r ON r.product_id = p.id""")
     kept = "SELECT * FROM f_{name} WHERE product_id NOT IN (SELECT product_id FROM revised)"
-    found["product_replace_images"] = sql_with(
-        kept.format(name="images") + " UNION ALL SELECT * FROM r_images",
-        f_images=fresh["f_images"],
-        r_images=revised["r_images"],
-    )
+    for name in feed.CHILD_TABLES:
+        columns = ", ".join(
+            "CAST(price AS DOUBLE) AS price" if c == "price" else c
+            for c in CHILD_COLUMNS.get(name, ["*"])
+        )
+        found[f"product_replace_{name}"] = sql_with(
+            f"SELECT {columns} FROM ({kept.format(name=name)} UNION ALL SELECT * FROM r_{name})",
+            **{f"f_{name}": fresh[f"f_{name}"], f"r_{name}": revised[f"r_{name}"]},
+        )
+        found[f"product_delete_{name}"] = sql_with(
+            f"""SELECT {columns} FROM f_{name} WHERE product_id IN (
+                SELECT id FROM products WHERE inventory_quantity > 10)""",
+            **{f"f_{name}": fresh[f"f_{name}"]},
+        )
     found["product_replace_children"] = sql_with(
         " UNION ALL ".join(
             f"""SELECT '{name}' AS child, product_id, count(*) AS n_rows FROM (

@@ -15,6 +15,7 @@ DAY = "2024-01-12"
 AS_OF = dt.date(2024, 1, 10)
 ROOM_ID = 9
 STUDENT_ID = 5
+LECTURE_ID = 122
 
 SLOT_SQL = """s.id, s.lecture_id, s.room_id, strftime(s.date, '%Y-%m-%d') AS date,
     strftime(s.start_ts, '%Y-%m-%d %H:%M:%S') AS start_ts,
@@ -45,21 +46,30 @@ ADMITTED_SQL = """
            CASE WHEN o.id IS NULL THEN 'room_missing'
                 WHEN coalesce(e.n_students, 0) > o.no_of_seats THEN 'capacity'
                 WHEN l.id IS NULL THEN 'lecture_missing'
+                WHEN t.id IS NULL THEN 'teacher_missing'
                 WHEN b.n_teacher > 0 THEN 'teacher'
                 WHEN b.n_room > 0 THEN 'room'
                 ELSE 'ok' END AS outcome
     FROM schedule_requests s
-    LEFT JOIN lectures l ON l.id = s.lecture_id LEFT JOIN rooms o ON o.id = s.room_id
-    LEFT JOIN enrolment e ON e.lecture_id = s.lecture_id LEFT JOIN busy b ON b.id = s.id"""
+    LEFT JOIN lectures l ON l.id = s.lecture_id LEFT JOIN teachers t ON t.id = l.teacher_id
+    LEFT JOIN rooms o ON o.id = s.room_id LEFT JOIN enrolment e ON e.lecture_id = s.lecture_id LEFT JOIN busy b ON b.id = s.id"""
 
 REFUSAL_SQL = """CASE outcome
     WHEN 'room_missing' THEN 'No such room'
     WHEN 'capacity' THEN 'This ' || room_name || ' with capacity ' || no_of_seats
         || ' Cannot Allocate ' || n_students || ' Students'
     WHEN 'lecture_missing' THEN 'No such lecture'
+    WHEN 'teacher_missing' THEN 'No such teacher'
     WHEN 'teacher' THEN 'This Teacher Has Another Lecture at this Schedule Slot'
     WHEN 'room' THEN 'This Schedule Time Slot Is Already Occupied' END AS refusal"""
 
+MOVE_REFUSAL_SQL = REFUSAL_SQL.replace(
+    "WHEN 'teacher' THEN 'This Teacher Has Another Lecture at this Schedule Slot'",
+    """WHEN 'not_found' THEN 'No such schedule'
+    WHEN 'completed' THEN 'Cannot Update Completed Schedule'
+    WHEN 'teacher' THEN 'This teacher Has Another lecture at this schedule slot'""",
+)
+
 WANTED_MOVES_SQL = """
     SELECT c.id, d.lecture_id, c.room_id, c.date, c.start_ts, c.end_ts, d.teacher_id,
            d.date AS old_date,
@@ -84,12 +94,13 @@ MOVED_SQL = """
                 WHEN o.id IS NULL THEN 'room_missing'
                 WHEN coalesce(e.n_students, 0) > o.no_of_seats THEN 'capacity'
                 WHEN l.id IS NULL THEN 'lecture_missing'
+                WHEN t.id IS NULL THEN 'teacher_missing'
                 WHEN b.n_teacher > 0 THEN 'teacher'
                 WHEN b.n_room > 0 THEN 'room'
                 ELSE 'ok' END AS outcome
     FROM wanted s
-    LEFT JOIN lectures l ON l.id = s.lecture_id LEFT JOIN rooms o ON o.id = s.room_id
-    LEFT JOIN enrolment e ON e.lecture_id = s.lecture_id LEFT JOIN busy_moves b ON b.id = s.id"""
+    LEFT JOIN lectures l ON l.id = s.lecture_id LEFT JOIN teachers t ON t.id = l.teacher_id
+    LEFT JOIN rooms o ON o.id = s.room_id LEFT JOIN enrolment e ON e.lecture_id = s.lecture_id LEFT JOIN busy_moves b ON b.id = s.id"""
 
 ADMISSION = {"busy": BUSY_SQL, "admitted": ADMITTED_SQL}
 MOVES = {"wanted": WANTED_MOVES_SQL, "busy_moves": MOVE_BUSY_SQL, "moved": MOVED_SQL}
@@ -122,25 +133,30 @@ BATCH_SQL = """
         FROM admitted s JOIN admitted a ON a.date = s.date AND a.teacher_id = s.teacher_id
          AND a.id < s.id AND a.start_ts < s.end_ts AND s.start_ts < a.end_ts
         JOIN steps w ON w.id = a.id AND w.lost IS NULL
-        WHERE s.outcome = 'room')
-    SELECT s.id, s.room_id, s.teacher_id, strftime(s.date, '%Y-%m-%d') AS date,
-           CASE WHEN t.id IS NOT NULL THEN 'teacher' ELSE coalesce(w.lost, s.outcome) END
-           AS outcome
-    FROM admitted s LEFT JOIN steps w ON w.id = s.id LEFT JOIN taught t ON t.id = s.id"""
-
-
-def _with_prefix(**extra: str) -> str:
-    """The table list of a WITH clause, to be put into a recursive one."""
-    return sql_with("SELECT 1 FROM admitted", **extra)[len("WITH ") :].rsplit("SELECT 1", 1)[0]
+        WHERE s.outcome = 'room'),
+    batch AS (
+        SELECT s.* REPLACE (
+            CASE WHEN t.id IS NOT NULL THEN 'teacher' ELSE coalesce(w.lost, s.outcome) END
+            AS outcome)
+        FROM admitted s LEFT JOIN steps w ON w.id = s.id LEFT JOIN taught t ON t.id = s.id)
+    {select}"""
+
+
+def _with_batch(select: str, **extra: str) -> str:
+    """``select`` over ``batch`` and the given tables, behind the recursive WITH of the batch."""
+    tables = sql_with(f"SELECT 1 FROM admitted /* {select} */", **extra)
+    return BATCH_SQL.format(
+        tables=tables[len("WITH ") :].rsplit("SELECT 1", 1)[0], select=select
+    )
 
 
 CREATED_TEXT = """'A new lecture schedule was created for ' || lecture_name || ' Room - '
     || room_name || '. Date - ' || strftime(date, '%Y-%m-%d') || '. From - '
-    || strftime(start_ts, '%H:%M:%S') || '. To - ' || strftime(end_ts, '%H:%M:%S') || '.'"""
+    || strftime(start_ts, '%H:%M:%S') || '. To   - ' || strftime(end_ts, '%H:%M:%S') || '.'"""
 
 MOVED_TEXT = """'The ' || lecture_name || ' lecture on ' || strftime(old_date, '%Y-%m-%d')
     || ', was updated to Room - ' || room_name || '. Date - ' || strftime(date, '%Y-%m-%d')
-    || '. From - ' || strftime(start_ts, '%H:%M:%S') || '. To - '
+    || '. From - ' || strftime(start_ts, '%H:%M:%S') || '. To   - '
     || strftime(end_ts, '%H:%M:%S') || '.'"""
 
 
@@ -165,6 +181,16 @@ ENDPOINT_SQL = f"""
         GROUP BY r.id) b ON b.id = s.id"""
 
 
+ATTENDANCE_SQL = f"""
+    SELECT {SLOT_SQL}, s.status, o.name AS room_name, o.no_of_seats,
+           coalesce(a.attendance_status, 'none') AS attendance
+    FROM daily_schedules s LEFT JOIN rooms o ON o.id = s.room_id
+    LEFT JOIN (
+        SELECT *, row_number() OVER (PARTITION BY daily_schedule_id ORDER BY id) AS n
+        FROM attendances WHERE student_id = {STUDENT_ID}) a
+      ON a.daily_schedule_id = s.id AND a.n = 1"""
+
+
 # --- queries ------------------------------------------------------------------------------------
 
 
@@ -181,7 +207,13 @@ def _by_room(t):
 
 
 def _attendance(t):
-    """The attendance job over the whole timetable instead of one day and lecture."""
+    """Schedules of a day and lecture with room and attendance."""
+    marked = timetable.attendance(t, DAY, LECTURE_ID, STUDENT_ID)
+    return marked.withColumn("attendance", F.coalesce("attendance", F.lit("none")))
+
+
+def _attendance_all(t):
+    """The same over the whole timetable."""
     marked = timetable.with_attendance(
         t, timetable.with_room(t, t["daily_schedules"]), STUDENT_ID
     )
@@ -196,10 +228,13 @@ def _admission(t):
     return _admit(t).withColumn("refusal", F.coalesce("refusal", F.lit("")))
 
 
+def _admit_batch(t):
+    return timetable.admit_batch(t, t["schedule_requests"])
+
+
 def _batch(t):
-    return timetable.admit_batch(t, t["schedule_requests"]).select(
-        "id", "room_id", "teacher_id", "date", "outcome"
-    )
+    admitted = _admit_batch(t).select("id", "room_id", "teacher_id", "date", "outcome", "refusal")
+    return admitted.withColumn("refusal", F.coalesce("refusal", F.lit("")))
 
 
 def _moves(t):
@@ -207,7 +242,8 @@ def _moves(t):
 
 
 def _move(t):
-    return _moves(t).select("id", "room_id", "date", "start_ts", "end_ts", "outcome")
+    moves = _moves(t).select("id", "room_id", "date", "start_ts", "end_ts", "outcome", "refusal")
+    return moves.withColumn("refusal", F.coalesce("refusal", F.lit("")))
 
 
 def _moved_timetable(t):
@@ -215,16 +251,16 @@ def _moved_timetable(t):
 
 
 def _messages(t):
-    return timetable.messages(_admit(t)).unionByName(timetable.messages(_moves(t)))
+    return timetable.messages(_admit_batch(t)).unionByName(timetable.messages(_moves(t)))
 
 
 def _recipients(t):
-    admitted = _admit(t).filter(F.col("outcome") == "ok")
+    admitted = _admit_batch(t).filter(F.col("outcome") == "ok")
     return timetable.recipients(t, admitted)
 
 
 def _change_log(t):
-    log = timetable.change_log(_admit(t)).unionByName(timetable.change_log(_moves(t)))
+    log = timetable.change_log(_admit_batch(t)).unionByName(timetable.change_log(_moves(t)))
     return log.withColumn("old_date", F.coalesce(F.date_format("old_date", "yyyy-MM-dd"), F.lit("")))
 
 
@@ -237,6 +273,7 @@ _QUERIES = {
     "schedule_by_student": _by_student,
     "schedule_by_room": _by_room,
     "schedule_attendance": _attendance,
+    "schedule_attendance_all": _attendance_all,
     "lecture_enrolment": lambda t: timetable.enrolment(t["lecture_student"]),
     "schedule_capacity": _capacity,
     "schedule_teacher_conflict": lambda t: timetable.teacher_conflicts(t, t["schedule_requests"]),
@@ -277,14 +314,10 @@ def oracle_sql() -> dict[str, str]:
         "schedule_by_room": sql_with(f"""
             SELECT {SLOT_SQL}, s.status FROM daily_schedules s
             WHERE s.date = DATE '{DAY}' AND s.room_id = {ROOM_ID}"""),
-        "schedule_attendance": sql_with(f"""
-            SELECT {SLOT_SQL}, s.status, o.name AS room_name, o.no_of_seats,
-                   coalesce(a.attendance_status, 'none') AS attendance
-            FROM daily_schedules s LEFT JOIN rooms o ON o.id = s.room_id
-            LEFT JOIN (
-                SELECT *, row_number() OVER (PARTITION BY daily_schedule_id ORDER BY id) AS n
-                FROM attendances WHERE student_id = {STUDENT_ID}) a
-              ON a.daily_schedule_id = s.id AND a.n = 1"""),
+        "schedule_attendance": sql_with(
+            f"{ATTENDANCE_SQL} WHERE s.date = DATE '{DAY}' AND s.lecture_id = {LECTURE_ID}"
+        ),
+        "schedule_attendance_all": sql_with(ATTENDANCE_SQL),
         "lecture_enrolment": sql_with("SELECT lecture_id, n_students FROM enrolment"),
         "schedule_capacity": sql_with(f"""
             SELECT {SLOT_SQL}, o.name AS room_name, o.no_of_seats,
@@ -301,11 +334,20 @@ def oracle_sql() -> dict[str, str]:
                 FROM (SELECT *, {REFUSAL_SQL} FROM admitted) s""",
             **ADMISSION,
         ),
-        "schedule_admission_batch": BATCH_SQL.format(tables=_with_prefix(**ADMISSION)),
+        "schedule_admission_batch": _with_batch(
+            f"""SELECT id, room_id, teacher_id, strftime(date, '%Y-%m-%d') AS date, outcome,
+                       coalesce(refusal, '') AS refusal
+                FROM (SELECT *, {REFUSAL_SQL} FROM batch)""",
+            **ADMISSION,
+        ),
         "schedule_move": sql_with(
             """SELECT id, room_id, strftime(date, '%Y-%m-%d') AS date,
                       strftime(start_ts, '%Y-%m-%d %H:%M:%S') AS start_ts,
-                      strftime(end_ts, '%Y-%m-%d %H:%M:%S') AS end_ts, outcome FROM moved""",
+                      strftime(end_ts, '%Y-%m-%d %H:%M:%S') AS end_ts, outcome,
+                      coalesce(refusal, '') AS refusal
+               FROM (SELECT *, """
+            + MOVE_REFUSAL_SQL
+            + " FROM moved)",
             **MOVES,
         ),
         "schedule_moved_timetable": sql_with(
@@ -322,25 +364,25 @@ def oracle_sql() -> dict[str, str]:
         "schedule_complete_past": sql_with(
             f"SELECT {SLOT_SQL}, {STATUS_SQL} FROM daily_schedules s"
         ),
-        "schedule_messages": sql_with(
-            f"""SELECT id AS daily_schedule_id, {CREATED_TEXT} AS message FROM admitted
+        "schedule_messages": _with_batch(
+            f"""SELECT id AS daily_schedule_id, {CREATED_TEXT} AS message FROM batch
                 WHERE outcome = 'ok'
                 UNION ALL
                 SELECT id, {MOVED_TEXT} FROM moved WHERE outcome = 'ok'""",
             **both,
         ),
-        "schedule_recipients": sql_with(
+        "schedule_recipients": _with_batch(
             """SELECT a.id AS daily_schedule_id, 'teacher' AS role, t.email
-               FROM admitted a JOIN teachers t ON t.id = a.teacher_id WHERE outcome = 'ok'
+               FROM batch a JOIN teachers t ON t.id = a.teacher_id WHERE outcome = 'ok'
                UNION ALL
-               SELECT a.id, 'student', st.email FROM admitted a JOIN students st
+               SELECT a.id, 'student', st.email FROM batch a JOIN students st
                  ON st.id IN (SELECT student_id FROM lecture_student e
                               WHERE e.lecture_id = a.lecture_id)
                WHERE outcome = 'ok'""",
             **ADMISSION,
         ),
-        "schedule_change_log": sql_with(
-            """SELECT id AS daily_schedule_id, 'create' AS action, '' AS old_date FROM admitted
+        "schedule_change_log": _with_batch(
+            """SELECT id AS daily_schedule_id, 'create' AS action, '' AS old_date FROM batch
                WHERE outcome = 'ok'
                UNION ALL
                SELECT id, 'update', strftime(old_date, '%Y-%m-%d') FROM moved

@@ -218,8 +218,8 @@ def _items(n: int, count: str, item: str) -> str:
     return f"transform(filter(array({indexes}), i -> i < {count}), i -> {item})"
 
 
-def _feed(parts: DataFrame, title: str, n_images: str) -> DataFrame:
-    """Product feed as it arrives: a product id and one JSON text per product."""
+def _feed(parts: DataFrame, title: str, n_images: str, sequence: int = 1) -> DataFrame:
+    """Product feed as it arrives: a product id, a delivery number and one JSON text."""
     price = "CAST(p_retailprice AS DECIMAL(18,2))"
     images = (
         "named_struct('position', i, 'alt', concat('view ', i), "
@@ -234,14 +234,15 @@ def _feed(parts: DataFrame, title: str, n_images: str) -> DataFrame:
         "'src', concat('doc/', p_partkey), 'kind', 'pdf', 'position', 0))"
     )
     metadata = (
-        "array(named_struct('metafield_id', 1, 'name', array(p_type, p_brand), "
-        "'label', 'tags', 'kind', 7), "
-        "named_struct('metafield_id', 2, 'name', array(p_brand), "
+        "array(named_struct('metafield_id', 1, "
+        "'name', to_variant_object(array(p_type, p_brand)), 'label', 'tags', 'kind', 7), "
+        "named_struct('metafield_id', 2, 'name', CAST(p_brand AS VARIANT), "
         "'label', CAST(NULL AS STRING), 'kind', 1))"
     )
     options = (
-        "array(named_struct('name', 'size', 'value', array('S', 'M'), 'position', 0), "
-        "named_struct('name', 'type', 'value', array(p_type), 'position', 1))"
+        "array(named_struct('name', 'size', 'value', to_variant_object(array('S', 'M')), "
+        "'position', 0), "
+        "named_struct('name', 'type', 'value', CAST(p_type AS VARIANT), 'position', 1))"
     )
     variants = (
         f"named_struct('title', concat(p_name, ' v', i), 'price', {price} + i, "
@@ -256,7 +257,7 @@ def _feed(parts: DataFrame, title: str, n_images: str) -> DataFrame:
         "title": title,
         "description": "p_type",
         "price": price,
-        "inventory_quantity": "p_size",
+        "inventory_quantity": "if(p_partkey % 50 = 0, 'many', CAST(p_size AS STRING))",
         "images": _items(4, n_images, images),
         "categories": "array(lower(p_brand), 'unknown')",
         "videos": _items(1, "p_size % 2", videos),
@@ -267,12 +268,16 @@ def _feed(parts: DataFrame, title: str, n_images: str) -> DataFrame:
     }
     payload = ", ".join(f"'{name}', {value}" for name, value in fields.items())
     return parts.selectExpr(
-        "p_partkey AS product_id", f"to_json(named_struct({payload})) AS payload"
+        "p_partkey AS product_id",
+        f"{sequence} AS sequence",
+        f"to_json(named_struct({payload})) AS payload",
     )
 
 
 def _product_feed(raw) -> DataFrame:
-    return _feed(raw("part"), "p_name", "p_size % 4")
+    """Some products are delivered twice; the later delivery counts."""
+    stale = _feed(raw("part").filter("p_partkey % 7 = 0"), "'stale'", "0", 1)
+    return stale.unionByName(_feed(raw("part"), "p_name", "p_size % 4", 2))
 
 
 def _revised_feed(raw) -> DataFrame:

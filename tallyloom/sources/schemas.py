@@ -6,7 +6,8 @@ do not move with the session time zone. Money is decimal and stays decimal throu
 
 from __future__ import annotations
 
-_CHILD = "id bigint, product_id bigint"
+# ``place`` is the child's place in the list of its product.
+_CHILD = "id bigint, product_id bigint, place bigint"
 
 TABLE_SCHEMAS: dict[str, str] = {
     # fee report
@@ -60,21 +61,46 @@ TABLE_SCHEMAS: dict[str, str] = {
     "voices": "voice_id string, language string, name string, gender string",
 }
 
-# One row of the product feed: header fields and seven nested lists, variants two deep.
+# One row of the product feed: header fields and seven nested lists, variants two deep. Numbers come
+# as JSON numbers or as text, so they are read as text; names and option values may be lists or single
+# values, so they are read as they are.
 FEED_PAYLOAD = """
-    business_uid string, account_id bigint, title string, description string, except string,
-    published_scope string, currency string, price decimal(18,2), compare_at_price decimal(18,2),
-    inventory_quantity int, min_purchase_quantity int, metric string,
-    images array<struct<position:int, alt:string, src:string, width:int, height:int>>,
+    business_uid string, account_id string, title string, description string, except string,
+    published_scope string, currency string, price string, compare_at_price string,
+    inventory_quantity string, min_purchase_quantity string, metric string,
+    images array<struct<position:string, alt:string, src:string, width:string, height:string>>,
     categories array<string>,
     videos array<struct<title:string, url:string, description:string>>,
     documents array<struct<title:string, description:string, src:string, kind:string,
-                           position:int>>,
-    metadata array<struct<metafield_id:bigint, name:array<string>, label:string, kind:int>>,
-    options array<struct<name:string, value:array<string>, position:int>>,
-    variants array<struct<title:string, price:decimal(18,2), sku:string, position:int,
-        inventory_policy:string, compare_at_price:decimal(18,2), fulfillment_service:string,
-        inventory_management:string, taxable:string, barcode:string, grams:int, weight:double,
-        weight_unit:string, inventory_quantity:int, requires_shipping:string,
+                           position:string>>,
+    metadata array<struct<metafield_id:string, name:variant, label:string, kind:string>>,
+    options array<struct<name:string, value:variant, position:string>>,
+    variants array<struct<title:string, price:string, sku:string, position:string,
+        inventory_policy:string, compare_at_price:string, fulfillment_service:string,
+        inventory_management:string, taxable:string, barcode:string, grams:string, weight:string,
+        weight_unit:string, inventory_quantity:string, requires_shipping:string,
         options:array<struct<option:string, value:string>>>>
 """
+
+# The numbers among these fields: of the header (list "") and of the items of each list.
+FEED_NUMBERS = {
+    "": {
+        "account_id": "bigint",
+        "price": "decimal(18,2)",
+        "compare_at_price": "decimal(18,2)",
+        "inventory_quantity": "int",
+        "min_purchase_quantity": "int",
+    },
+    "images": {"position": "int", "width": "int", "height": "int"},
+    "documents": {"position": "int"},
+    "metadata": {"metafield_id": "bigint", "kind": "int"},
+    "options": {"position": "int"},
+    "variants": {
+        "price": "decimal(18,2)",
+        "position": "int",
+        "compare_at_price": "decimal(18,2)",
+        "grams": "int",
+        "weight": "double",
+        "inventory_quantity": "int",
+    },
+}

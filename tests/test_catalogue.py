@@ -135,26 +135,80 @@ def test_pages(spark):
         page(rows, 0)
 
 
-def test_children_come_in_parts_and_in_order(make, tables, monkeypatch):
-    monkeypatch.setattr(catalogue, "CHILDREN_PER_ROW", 2)
-    span = catalogue.CHILD_SPAN
-    children = {
+@pytest.fixture
+def children(make):
+    """Children with ids of any origin; their order is that of their places."""
+    return {
         "images": make(
             "images",
-            [(span + i, 1, i, None, f"src{i}", 1, 1) for i in (4, 2, 0, 3, 1)],
+            [(id_, 1, place, place, None, f"src{place}", 1, 1)
+             for id_, place in ((5123456, 4), (9, 2), (7000000, 0), (5123999, 3), (3, 1))],
         ),
-        "options": make("options", [(2 * span, 2, "size", '["S"]', 0)]),
+        "options": make("options", [(88, 2, 0, "size", '["S"]', 0)]),
         "documents": make("documents", []),
         "metadata": make("metadata", []),
         "variants": make("variants", []),
     }
+
+
+def test_children_come_in_order(children, tables):
+    products = tables["products"].filter("id <= 3")
+    rows = {r.id: r for r in catalogue.with_children(children, products).collect()}
+    assert set(rows) == {1, 2, 3}
+    images = json.loads(rows[1].images)
+    assert [i["src"] for i in images] == ["src0", "src1", "src2", "src3", "src4"]
+    assert [i["id"] for i in images] == [7000000, 3, 9, 5123999, 5123456]
+    assert images[0]["alt"] is None
+    assert json.loads(rows[2].options) == [
+        {"id": 88, "name": "size", "value": '["S"]', "position": 0}
+    ]
+    assert (rows[3].images, rows[3].variants) == ("[]", "[]")
+
+
+def test_children_in_parts_and_in_long_form(children, tables):
     products = tables["products"].filter("id <= 3")
-    rows = {(r.id, r.part): r for r in catalogue.with_children(children, products).collect()}
+    found = catalogue.with_children(children, products, children_per_row=2).collect()
+    rows = {(r.id, r.part): r for r in found}
     assert set(rows) == {(1, 0), (1, 1), (1, 2), (2, 0), (3, 0)}
-    parts = [json.loads(rows[1, part].images) for part in range(3)]
-    assert [[i["src"] for i in part] for part in parts] == [
-        ["src0", "src1"], ["src2", "src3"], ["src4"],
+    parts = [[i["src"] for i in json.loads(rows[1, part].images)] for part in range(3)]
+    assert parts == [["src0", "src1"], ["src2", "src3"], ["src4"]]
+    only = tables["products"].filter("id = 1")
+    long = sorted((r.kind, r.place, r.id) for r in catalogue.children_of(children, only).collect())
+    assert long == [
+        ("images", 0, 7000000), ("images", 1, 3), ("images", 2, 9), ("images", 3, 5123999),
+        ("images", 4, 5123456),
     ]
-    assert parts[0][0]["alt"] is None
-    assert json.loads(rows[2, 0].options) == [{"name": "size", "value": '["S"]', "position": 0}]
-    assert (rows[3, 0].images, rows[3, 0].variants) == ("[]", "[]")
+
+
+def test_children_are_pruned_below_the_shuffle(children, tables):
+    plan = catalogue.with_children(children, tables["products"].filter("id <= 3"))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("LeftSemi") == len(catalogue.CHILD_KINDS)
+
+
+def test_zero_is_empty(tables):
+    everything = found(tables)
+    assert found(tables, max_price="0") == everything
+    assert found(tables, min_price=0, max_price="0", is_published="0", q="0") == everything
+
+
+def test_empty_page_keeps_the_total(spark):
+    rows = spark.range(1, 26)
+    beyond = page_with_total(rows, 9).collect()
+    assert [(r.id, r.total) for r in beyond] == [(None, 25)]
+    assert [r.total for r in page_with_total(rows.filter("id > 99")).collect()] == [0]
+    assert [r.id for r in page(rows, 1, size=2, direction="DESC").collect()] == [25, 24]
+
+
+def test_listing_joins_page_total_and_children(children, tables):
+    listed = catalogue.get_all({**tables, **children}, {"order_by": "asc"}).collect()
+    assert {r.total for r in listed} == {tables["products"].count()}
+    assert len(json.loads(next(r for r in listed if r.id == 1).images)) == 5
+    past = catalogue.get_all({**tables, **children}, number=99).collect()
+    assert [(r.id, r.total) for r in past] == [(None, tables["products"].count())]
+
+
+def test_by_id_or_fail(tables):
+    assert catalogue.by_id_or_fail(tables, 3).first().id == 3
+    with pytest.raises(LookupError):
+        catalogue.by_id_or_fail(tables, 999)

@@ -7,7 +7,6 @@ from decimal import Decimal as D
 import pytest
 
 from tallyloom.plans import feed
-from tallyloom.plans.catalogue import CHILD_SPAN
 from tallyloom.sources.lazy import LazyTables
 from tallyloom.sources.sinks import append_change_log, write_export, write_snapshot
 from tallyloom.sources.stored import StoredTables, empty_table
@@ -82,9 +81,10 @@ def test_headers(loaded):
 
 
 def test_children(loaded):
-    assert rows(loaded["images"], "id", "src", "width", "height") == [
-        (CHILD_SPAN, "a.png", 10, 20), (CHILD_SPAN + 1, "b.png", 0, 0),
+    assert rows(loaded["images"], "place", "src", "width", "height") == [
+        (0, "a.png", 10, 20), (1, "b.png", 0, 0),
     ]
+    assert loaded["images"].select("id").distinct().count() == 2
     assert rows(loaded["videos"], "title", "url", "description") == [("", "v", "")]
     assert rows(loaded["documents"], "title", "description") == [("Care", "")]
     assert rows(loaded["metadata"], "metafield_id", "name", "label") == [
@@ -98,13 +98,15 @@ def test_children(loaded):
 
 
 def test_variant_options_and_rejects(make, loaded):
-    assert rows(loaded["option_variants"], "option_id", "variant_id", "value") == [
-        (CHILD_SPAN, CHILD_SPAN, "S")
-    ]
+    options = {(r.place, r.id) for r in loaded["options"].collect()}
+    variants = {(r.place, r.id) for r in loaded["variants"].collect()}
+    ((option, variant, value),) = rows(
+        loaded["option_variants"], "option_id", "variant_id", "value"
+    )
+    assert (0, option) in options and (0, variant) in variants and value == "S"
     rejects = feed.option_rejects(parsed(make, {1: FULL}))
-    assert rows(rejects, "product_id", "variant_id", "option") == [
-        (1, CHILD_SPAN + 1, "colour")
-    ]
+    ((product, variant, name),) = rows(rejects, "product_id", "variant_id", "option")
+    assert (product, name) == (1, "colour") and (1, variant) in variants
 
 
 def test_unknown_business_is_rejected(make, tables):
@@ -224,3 +226,59 @@ def test_tables_are_built_once_and_lazily(spark):
     assert calls == [] and list(tables) == ["rooms"]
     assert tables["rooms"] is tables["rooms"]
     assert calls == [1]
+
+
+def test_single_values_and_numbers_as_text(make):
+    payload = {
+        **BARE,
+        "inventory_quantity": "5",
+        "price": "9.50",
+        "min_purchase_quantity": "some",
+        "metadata": [
+            {"metafield_id": "1", "name": "Red", "kind": 1},
+            {"metafield_id": 2, "name": "Red", "kind": "7"},
+            {"metafield_id": 3, "name": ["a", "b"], "kind": 7},
+        ],
+        "options": [{"name": "size", "value": "S"}, {"name": "n", "value": 5}],
+        "variants": [{"title": "v", "inventory_quantity": "7", "grams": 5.0, "weight": "heavy"}],
+    }
+    delivered = make("feed", [(1, json.dumps(payload))], "product_id bigint, payload string")
+    read = feed.parse_feed(delivered)
+    assert rows(read, "inventory_quantity", "price", "account_id") == [(5, D("9.50"), 6)]
+    assert rows(feed.metadata_of(read), "metafield_id", "name") == [
+        (1, "Red"), (2, '"Red"'), (3, '["a","b"]'),
+    ]
+    assert rows(feed.options_of(read), "name", "value") == [("n", "5"), ("size", '"S"')]
+    assert rows(feed.variants_of(read), "inventory_quantity", "grams") == [(7, 5)]
+    assert rows(feed.field_rejects(delivered), "product_id", "field", "place", "text") == [
+        (1, "min_purchase_quantity", 0, "some"), (1, "variants.weight", 0, "heavy"),
+    ]
+
+
+def test_last_delivery_counts(make, tables):
+    deliveries = [
+        (1, 2, json.dumps({**BARE, "title": "late"})), (1, 1, json.dumps({**FULL, "title": "early"})),
+    ]
+    delivered = make("feed", deliveries, "product_id bigint, sequence int, payload string")
+    loaded = feed.load_feed(tables, feed.parse_feed(delivered), AS_OF)
+    assert rows(loaded["products"], "id", "title") == [(1, "late")]
+    assert loaded["images"].count() == 0
+
+
+def test_repeated_delivery_without_sequence_is_refused(make, tables, stored):
+    twice = [(1, json.dumps(UPDATE)), (1, json.dumps({**UPDATE, "title": "x"}))]
+    update = feed.parse_feed(make("feed", twice, "product_id bigint, payload string"))
+    assert rows(feed.repeated_deliveries(update), "product_id", "n_rows") == [(1, 2)]
+    assert feed.load_feed(tables, update, AS_OF)["products"].count() == 0
+    after = replaced(tables, stored, update)
+    assert rows(after["products"], "id", "title") == [(1, "Shirt"), (2, "Bare")]
+    assert after["images"].count() == 2
+
+
+def test_products_not_delivered_keep_their_date(make):
+    old = [(1, "u", 5, 1, "Bare", "s", "", "", 1, "", None, None, None, None, "", None, AS_OF, AS_OF)]
+    products = make("products", old)
+    untouched = feed.replaced_products(products, parsed(make, {2: BARE}), LATER).first()
+    assert untouched.action_date == AS_OF
+    delivered = feed.replaced_products(products, parsed(make, {1: BARE}), LATER).first()
+    assert delivered.action_date == AS_OF and delivered.action_type is None

