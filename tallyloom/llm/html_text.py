@@ -40,12 +40,12 @@ TAG = re.compile(
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
 
-def lines_of(page: str) -> tuple[list[str], list[int]]:
-    """The lines of a page and the length that each may add to the article.
+def lines_of(page: str) -> tuple[list[str], list[int], bool]:
+    """The lines of a page, the length that each may add to the article, and whether it has sections.
 
     An element that is left out is skipped to its end tag, or to the start of an article or main
-    section if it is never closed. If the page has such sections, text outside them has no length,
-    and each line inside has at least one. Text of links has none unless the line has other text.
+    section if it is never closed. If the page has such sections, text outside them has no length and
+    all text inside has. Without sections, lines that are mostly links have none.
     """
     lines: list[str] = []
     weights: list[int] = []
@@ -60,6 +60,9 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
     def finish() -> None:
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
+        if sections and not text:
+            parts, linked = [], 0  # no gap inside a section
+            return
         if has_sections:
             weight = len(text) if sections else 0
         else:
@@ -107,7 +110,7 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
             if name in SECTIONS:
                 sections = max(0, sections + (-1 if closing else 1))
     finish()
-    return lines, weights
+    return lines, weights, has_sections
 
 
 def _noisy(attributes: str) -> bool:
@@ -119,10 +122,10 @@ def _noisy(attributes: str) -> bool:
 def main_text(page: str | None, window: int = 3, threshold: int = 80) -> str:
     """The text between surge and dive points, its blocks joined by a line break; null is empty.
 
-    A region whose window sums stay below `threshold` is kept only where no region reaches it, the
-    largest one then.
+    On a page without article or main sections, a region whose window sums stay below `threshold` is
+    kept only where no region reaches it, the largest one then.
     """
-    lines, weights = lines_of(page or "")
+    lines, weights, has_sections = lines_of(page or "")
     sums = []
     running = 0
     for place, weight in enumerate(weights):
@@ -136,7 +139,7 @@ def main_text(page: str | None, window: int = 3, threshold: int = 80) -> str:
         elif not total and surge is not None:
             regions.append((max(sums[surge:place]), surge, place))
             surge = None
-    kept = [r for r in regions if r[0] >= threshold] or sorted(regions)[-1:]
+    kept = [r for r in regions if has_sections or r[0] >= threshold] or sorted(regions)[-1:]
     return "\n".join(
         lines[place] for _, first, end in kept for place in range(first, end) if lines[place]
     )

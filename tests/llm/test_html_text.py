@@ -1,0 +1,83 @@
+from __future__ import annotations
+
+import html
+import os
+import re
+
+import pytest
+
+from tallyloom.llm.common import read_table
+from tallyloom.llm.html_text import extract_pages, main_text
+
+FOLDER = "/root/testdata/sf0.001"
+
+PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style>
+<script>var a = "</p><p>not text</p>";</script></head><body><header><h1>Site</h1></header>
+<nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="cookie-notice">We use cookies.</div>
+<article><h1>Title</h1><p>First &lt;b&gt; para&shy;graph
+  with   <b>bold</b> text&nbsp;here.<p>Short.<p>Second<br>line <a href="x">linked</a>.
+<div class="ad">Buy this.</div><form><p>Name <input></p></form><ul><li>one</li><li>two</li></ul>
+<div class="comments"><p>A reader says something long enough to look like an article text.</p></div>
+<p>Last.</p></article><aside><p>Side bar text that is not short at all, really not short.</p></aside>
+<footer>&copy; somebody</footer></body></html>"""
+
+
+def test_article_of_a_page():
+    assert main_text(PAGE).split("\n") == [
+        "Title", "First <b> para\xadgraph with bold text here.", "Short.", "Second line linked.",
+        "one", "two", "Last.",
+    ]
+
+
+def test_page_without_article_element():
+    long = "Some sentences that make up the body of this page. " * 4
+    page = (
+        "<body><div id='menu'><a href='/'>Home</a></div><div><a href='/x'>One link</a></div>"
+        f"<div><a href='/y'>Two</a></div><br><div><p>{long}</p><p>tiny</p><p>{long}</p></div>"
+        "<div><a href='/z'>More</a></div><div></div><div></div><div></div><p>(c)</p></body>"
+    )
+    assert main_text(page) == f"{long.strip()}\ntiny\n{long.strip()}"
+
+
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        (None, ""),
+        ("", ""),
+        ("plain text", "plain text"),
+        ("<p>a<!-- <p>b</p> --><p>c", "a\nc"),
+        ("<p>a<!-- never closed <p>b", "a"),
+        ("<script>never closed <p>b", ""),
+        ("<nav>never closed <article><p>b</article>", "b"),
+        ("<p title='a > b'>x &amp y &am</p>", "x & y &am"),
+        ("<article></article>", ""),
+        ("a < b", "a < b"),
+        ("<P CLASS=AD>x</P><P>y</P>", "y"),
+    ],
+)
+def test_odd_pages(page, wanted):
+    assert main_text(page) == wanted
+
+
+def test_very_long_page():
+    assert len(main_text("<article>" + "<p>word word</p>" * 50_000)) == 50_000 * 10 - 1
+
+
+def test_rows(spark):
+    rows = [(1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "", "x"), (2, "v", "", "x")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
+    got = extract_pages(pages).collect()
+    assert len(got) == 4
+    assert all(r.n_chars == len(r.text) for r in got)
+    assert extract_pages(pages.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables are missing")
+def test_given_pages(spark):
+    """The given pages have one article element without anything foreign inside."""
+    pages = read_table(spark, FOLDER, "pages")
+    got = {r.page_id: r.text for r in extract_pages(pages).collect()}
+    for row in pages.collect():
+        article = re.search(r"<article>(.*?)</article>", row.html, re.DOTALL)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"</?b>|<br>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
+        assert got[row.page_id] == "\n".join(b for b in blocks if b)
