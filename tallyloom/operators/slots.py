@@ -54,13 +54,16 @@ def _running_counts(kinds: tuple[str, ...]) -> str:
         SELECT kind, holder, date, at, coalesce({_minute('at')}, 0) AS minute,
                sum(starts) AS starts, sum(ends) AS ends
         FROM (
-            SELECT *, 1 AS weight FROM taken
-            WHERE date BETWEEN (SELECT min(date) FROM wanted) AND (SELECT max(date) FROM wanted)
+            SELECT t.kind, t.holder, t.date, t.start_ts, t.end_ts, 1 AS weight
+            FROM (SELECT date, start_ts, end_ts, kind, holder FROM taken
+                  LATERAL VIEW {_by_holder(kinds)}
+                  WHERE date BETWEEN (SELECT min(date) FROM wanted)
+                                 AND (SELECT max(date) FROM wanted)) t
+            LEFT SEMI JOIN asked
+              ON t.kind = asked.kind AND t.holder = asked.holder AND t.date = asked.date
             UNION ALL
-            SELECT *, 0 FROM wanted)
-        LATERAL VIEW {_by_holder(kinds)}
+            SELECT kind, holder, date, start_ts, end_ts, 0 FROM asked)
         LATERAL VIEW stack(2, start_ts, weight, 0, end_ts, 0, weight) AS at, starts, ends
-        WHERE holder IS NOT NULL
         GROUP BY kind, holder, date, at),
     inside AS (
         SELECT *, sum(starts) OVER so_far AS starts_in, sum(ends) OVER so_far AS ends_in,
@@ -97,6 +100,9 @@ def _clash_sql(kinds: tuple[str, ...]) -> str:
     return f"""
     WITH taken AS (SELECT {slot} FROM {{taken_slots}} WHERE start_ts < end_ts),
     wanted AS (SELECT {slot} FROM {{wanted_slots}} WHERE start_ts < end_ts),
+    asked AS (
+        SELECT kind, holder, date, start_ts, end_ts FROM wanted
+        LATERAL VIEW {_by_holder(kinds)} WHERE holder IS NOT NULL),
     {_running_counts(kinds)},
     probes AS (
         SELECT id, kind, holder, date, is_end, at FROM wanted

@@ -360,7 +360,9 @@ def move(tables: Tables, changes: DataFrame, as_of: dt.date) -> DataFrame:
         F.col("start_ts").alias("old_start_ts"),
         F.col("end_ts").alias("old_end_ts"),
     )
-    wanted = changes.join(old, "id", "left")
+    # read by the checks, the counts and the probes: planned once
+    ensure_checkpoint_dir(changes.sparkSession)
+    wanted = changes.join(old, "id", "left").checkpoint()
     slots = capacity(tables, with_lecture_teacher(tables, wanted))
     checked = slots.join(conflicts(tables, wanted), "id", "left")
     own = (F.col("old_date") == F.col("date")) & overlaps(

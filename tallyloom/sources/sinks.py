@@ -4,13 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+# Columns by which reports and look-ups choose rows; their values are folders of a snapshot.
+PARTITIONED_BY = {"daily_schedules": ["date"], "monthly_payments": ["year", "month"]}
+
+MARKER = "_COMPLETE"
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def is_complete(spark: SparkSession, folder: str) -> bool:
+    path, files = _path(spark, f"{folder}/{MARKER}")
+    return files.exists(path)
 
 
 def write_snapshot(tables: Mapping[str, DataFrame], folder: str) -> None:
-    """Write every table below a new folder; an existing one is an error, so inputs stay whole."""
+    """Write every table below a new folder; an existing one is an error, so inputs stay whole.
+
+    A marker file is written last. Without it the folder is what a failed write left behind, and
+    readers refuse it.
+    """
+    spark = None
     for name, frame in tables.items():
-        frame.write.mode("errorifexists").parquet(f"{folder}/{name}")
+        spark = frame.sparkSession
+        writer = frame.write.mode("errorifexists")
+        if name in PARTITIONED_BY:
+            keys = PARTITIONED_BY[name]
+            # one task writes a few folders instead of every task all of them
+            writer = frame.repartition(*keys).write.mode("errorifexists").partitionBy(*keys)
+        writer.parquet(f"{folder}/{name}")
+    if spark is not None:
+        path, files = _path(spark, f"{folder}/{MARKER}")
+        files.create(path).close()
 
 
 def append_change_log(changes: DataFrame, path: str) -> None:
