@@ -13,9 +13,9 @@ groups of the smaller count. That bound is used twice:
   Only pairs that survive have their sets fetched and compared.
 
 Only components are asked for, so large groups of near copies never come to all their pairs: first
-every class takes its best survivor of each list; then one class of every component of a list is
-held against the others; and then lists that still hold more than one component give all surviving
-pairs between components. What is not looked at is connected already.
+every list gives a spanning forest of its surviving pairs, the largest bounds first. The components
+of the pairs that link are nearly complete; lists that still hold more than one of them give all
+surviving pairs between components. What is not looked at is connected already.
 """
 
 from __future__ import annotations
@@ -259,11 +259,11 @@ class RTree:
         return at
 
 
-def survivors(vectors, sizes, roots, sides, best: bool) -> list[tuple[int, int]]:
+def survivors(vectors, sizes, roots, sides, spanning: bool) -> list[tuple[int, int]]:
     """Pairs of a list that the bound lets through, of different roots.
 
-    `sides` are 0, or 1 and 2 where only pairs across the two are wanted. With `best`, each member
-    gives only the pair of the largest bound.
+    `sides` are 0, or 1 and 2 where only pairs across the two are wanted. With `spanning`, a forest
+    of them that connects all they connect, made of the largest bounds.
     """
     order = np.argsort(sizes, kind="stable")
     ordered = np.asarray(sizes)[order]
@@ -280,26 +280,38 @@ def survivors(vectors, sizes, roots, sides, best: bool) -> list[tuple[int, int]]
         own_roots = np.array([roots[i] for i in own])
         own_sides = np.array([sides[i] for i in own])
         tree = RTree(points, own_sizes)
-        for number in range(len(own)):
-            near = tree.reach(points[number], own_sizes[number])
-            near = near[(own_sides[near] == 0) | (own_sides[near] != own_sides[number])]
-            near = near[own_roots[near] != own_roots[number]]
-            if best:
-                near = near[near != number]
-                if len(near):
-                    shared = np.minimum(points[near], points[number]).sum(1)
-                    found.append((int(own[number]), int(own[near[shared.argmax()]])))
-            else:
-                found += [(int(own[number]), int(own[other])) for other in near[near < number]]
+
+        def partners(number, points=points, tree=tree, sizes=own_sizes, roots=own_roots, sides=own_sides):
+            near = tree.reach(points[number], sizes[number])
+            near = near[(sides[near] == 0) | (sides[near] != sides[number])]
+            return near[roots[near] != roots[number]]
+
+        if not spanning:
+            for number in range(len(own)):
+                found += [(int(own[number]), int(own[other])) for other in partners(number) if other < number]
+            continue
+        # the member with the largest bound to those taken comes next
+        bound, by = np.full(len(own), -1), np.zeros(len(own), np.int64)
+        waiting = np.ones(len(own), bool)
+        for _ in range(len(own)):
+            number = int(np.where(waiting, bound, -2).argmax())
+            if bound[number] >= 0:
+                found.append((int(own[number]), int(own[by[number]])))
+            waiting[number] = False
+            near = partners(number)
+            near = near[waiting[near]]
+            shared = np.minimum(points[near], points[number]).sum(1)
+            closer = shared > bound[near]
+            bound[near[closer]], by[near[closer]] = shared[closer], number
     return found
 
 
-def _surviving(members: DataFrame, points: DataFrame, best: bool) -> DataFrame:
+def _surviving(members: DataFrame, points: DataFrame, spanning: bool) -> DataFrame:
     """Distinct pairs (a, b) of classes. members: list, cell, side, class, n, root."""
 
     def open_list(rows: pd.DataFrame) -> pd.DataFrame:
         pairs = survivors(
-            rows["made"].tolist(), rows["n"].tolist(), rows["root"].tolist(), rows["side"].tolist(), best
+            rows["made"].tolist(), rows["n"].tolist(), rows["root"].tolist(), rows["side"].tolist(), spanning
         )
         names = rows["class"].to_numpy()
         first, second = (np.array([names[p[k]] for p in pairs], np.int64) for k in (0, 1))
@@ -401,29 +413,21 @@ def similar_components(
     links = _verified(pairs, sets, scratch)
     # a class without any survivor is done
     members = scratch.keep(members.join(sets.select("class"), "class", "left_semi"))
-    for whole in (False, True):
-        roots = connected_components(links, scratch)
-        rooted = scratch.keep(
-            members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn(
-                "root", F.coalesce("root", "class")
-            )
-        )
-        several = (
-            rooted.groupBy("list")
-            .agg(F.min("root").alias("low"), F.max("root").alias("high"))
-            .filter("low <> high")
-            .select("list")
+    roots = connected_components(links, scratch)
+    linked = scratch.keep(
+        members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn(
+            "root", F.coalesce("root", "class")
         )
-        left = rooted.join(scratch.keep(several), "list")
-        if not whole:
-            left = (
-                left.groupBy("list", "root")
-                .agg(F.min(F.struct("class", "n")).alias("one"))
-                .select("list", "one.class", "one.n", "root")
-            )
-        opened = _cells(scratch.keep(left.select("list", "class", "n", "root")), scratch)
-        pairs = scratch.keep(_surviving(opened, points, False))
-        links = links.union(_verified(pairs, sets, scratch))
+    )
+    several = (
+        linked.groupBy("list")
+        .agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        .filter("low <> high")
+        .select("list")
+    )
+    left = scratch.keep(linked.join(scratch.keep(several), "list").select("list", "class", "n", "root"))
+    pairs = scratch.keep(_surviving(_cells(left, scratch), points, False))
+    links = links.union(_verified(pairs, sets, scratch))
     roots = connected_components(links, scratch)
 
     rooted = scratch.keep(

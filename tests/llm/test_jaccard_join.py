@@ -107,10 +107,11 @@ def test_bound_never_loses_a_link():
     assert links > 20
 
 
-def test_components(spark, scratch):
+@pytest.mark.parametrize("per_task", [10, 200_000])
+def test_components(spark, scratch, per_task):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rnd.randrange(60), rnd.randrange(60)) for _ in range(40)]
-    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), scratch).collect()))
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), scratch, per_task).collect()))
     parent = {n: n for e in edges for n in e}
 
     def find(x):
