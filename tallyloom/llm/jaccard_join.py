@@ -41,7 +41,7 @@ LIST_ROWS = 2000
 MOST_SENT = 4_000_000
 FANOUT = 16
 MOST_GROUPS = 1 << 16
-MOST_COUNT = (1 << 16) - 1
+MOST_COUNT = 15  # counts are kept in four bits
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray):
@@ -222,11 +222,13 @@ def count_vector(hashes: np.ndarray) -> bytes:
     """Counts by group, about as many groups as hashes; a power of two, so that vectors can be folded."""
     width = min(MOST_GROUPS, max(16, 1 << (len(hashes) - 1).bit_length()))
     groups = (hashes >> np.uint64(GROUP_BITS) & np.uint64(width - 1)).astype(np.int64)
-    return np.minimum(np.bincount(groups, minlength=width), MOST_COUNT).astype(np.uint16).tobytes()
+    counts = np.minimum(np.bincount(groups, minlength=width), MOST_COUNT).astype(np.uint8)
+    return (counts[0::2] << 4 | counts[1::2]).tobytes()
 
 
 def folded(vector: bytes, width: int) -> np.ndarray:
-    counts = np.frombuffer(vector, np.uint16).astype(np.int32)
+    pairs = np.frombuffer(vector, np.uint8)
+    counts = np.stack([pairs >> 4, pairs & 15], axis=1).ravel().astype(np.int32)
     counts[counts == MOST_COUNT] = 1 << 24  # not known any more, so no bound
     return counts.reshape(-1, width).sum(0)
 
@@ -388,14 +390,26 @@ def similar_components(
         frequency[piece * PIECE : (piece + 1) * PIECE] = np.frombuffer(counts, np.int64)  # 8 MB in all
     counted = spark.sparkContext.broadcast(frequency)
 
-    in_list = "PARTITION BY shingle, part"
+    by_size = "(PARTITION BY shingle, part ORDER BY n, class)"
+    entries = texts.select("text").mapInArrow(_entries(counted, seed, 5 * LIST_ROWS), ENTRIES)
+    # a class stays in a list if its neighbours by size are of another class and not too far off;
+    # lists in parts keep all
     shared = scratch.keep(
-        texts.select("text")
-        .mapInArrow(_entries(counted, seed, 5 * LIST_ROWS), ENTRIES)
-        .withColumn("low", F.expr(f"min(class) OVER ({in_list})"))
-        .withColumn("high", F.expr(f"max(class) OVER ({in_list})"))
-        .filter("low <> high OR part >= 0")
-        .select(F.col("shingle").alias("list"), "class", "n")
+        entries.selectExpr(
+            "shingle AS list",
+            "part",
+            "class",
+            "n",
+            f"lag(class) OVER {by_size} AS smaller",
+            f"lag(n) OVER {by_size} AS smaller_n",
+            f"lead(class) OVER {by_size} AS larger",
+            f"lead(n) OVER {by_size} AS larger_n",
+        )
+        .filter(
+            "part >= 0 OR smaller <> class AND 4L * smaller_n >= 3L * n"
+            " OR larger <> class AND 4L * n >= 3L * larger_n"
+        )
+        .select("list", "class", "n")
         .distinct()
     )
     lists = shared.groupBy("list").agg(

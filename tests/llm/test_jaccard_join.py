@@ -123,3 +123,11 @@ def test_components(spark, scratch, per_task):
         a, b = sorted((find(a), find(b)))
         parent[b] = a
     assert got == {n: find(n) for n in parent}
+
+
+def test_vectors_bound_counts_they_cannot_hold():
+    same = np.arange(40, dtype=np.uint64) << np.uint64(26)  # one group of sixteen
+    few = np.unique(np.concatenate([same[:20], np.arange(1 << 21, 3 << 21, 1 << 20, dtype=np.uint64)]))
+    for width in (16, 32):
+        assert jaccard_join.folded(count_vector(np.sort(same))[:32], width).max() >= 40
+    assert jaccard_join.folded(count_vector(few), 16).sum() >= len(few)
