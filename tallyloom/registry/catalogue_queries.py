@@ -348,29 +348,32 @@ def _nested_sql(products: str = "products", columns: str = "") -> str:
     return f"SELECT {shown} FROM {products} p"
 
 
+def _page_sql(limits: str) -> str:
+    """A page of one account beside the total, which an empty page shows alone."""
+    columns = ", ".join(f"t.{column}" for column in COLUMNS)
+    return sql_with(f"""
+        SELECT {columns}, n.total
+        FROM (SELECT count(*) AS total FROM products WHERE account_id = 5) n
+        LEFT JOIN (SELECT {PRODUCT_SQL} FROM products p WHERE p.account_id = 5
+                   ORDER BY p.id DESC {limits}) t ON true""")
+
+
 def oracle_sql() -> dict[str, str]:
     fresh = {f"f_{name}": sql for name, sql in _child_sql("feed").items()}
     revised = {f"r_{name}": sql for name, sql in _child_sql("revised").items()}
     found = {name: _products_sql(where) for name, (_, _, where) in SEARCHES.items()}
-    found["product_page"] = _products_sql(
-        "p.account_id = 5",
-        "ORDER BY p.id DESC LIMIT 10 OFFSET 10",
-        ", (SELECT count(*) FROM products c WHERE c.account_id = 5) AS total",
-    )
+    found["product_page"] = _page_sql("LIMIT 10 OFFSET 10")
     found["product_by_id"] = _products_sql("p.id = 42")
     found["product_by_uid"] = _products_sql("p.uid = 'prd-7'")
     found["product_related"] = _products_sql(f"{RELATED_SQL} AND p.action_type = 9")
     found["product_recommended"] = _products_sql(RECOMMENDED_SQL)
-    found["product_page_past_the_end"] = sql_with(
-        f"""SELECT {', '.join(f'p.{c}' for c in COLUMNS)}, n.total
-            FROM (SELECT count(*) AS total FROM products WHERE account_id = 5) n
-            LEFT JOIN (SELECT {PRODUCT_SQL} FROM products p WHERE false) p ON true"""
-    )
+    found["product_page_past_the_end"] = _page_sql("LIMIT 0")
     found["product_listing"] = sql_with(
         _nested_sql("listed", ", p.total"),
         **fresh,
-        listed="""SELECT *, count(*) OVER () AS total FROM products
-            WHERE account_id = 5 AND price >= 905 ORDER BY id DESC LIMIT 10 OFFSET 10""",
+        matching="SELECT * FROM products WHERE account_id = 5 AND price >= 905",
+        listed="""SELECT t.*, n.total FROM (SELECT count(*) AS total FROM matching) n
+            LEFT JOIN (SELECT * FROM matching ORDER BY id DESC LIMIT 10 OFFSET 10) t ON true""",
     )
     found["feed_field_rejects"] = sql_with("""
         SELECT product_id, 'inventory_quantity' AS field, CAST(0 AS BIGINT) AS place,
