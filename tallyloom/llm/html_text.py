@@ -11,13 +11,15 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Elements and name parts of HTML pages.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object"}
+RAW = {"script", "style", "noscript", "textarea", "title", "iframe"}
+EMBEDDED = {"svg", "object", "template"}
 LEFT_OUT = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head", "button", "select"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn",
@@ -40,77 +42,123 @@ TAG = re.compile(
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
 
-def lines_of(page: str) -> tuple[list[str], list[int], bool]:
-    """The lines of a page, the length that each may add to the article, and whether it has sections.
+@dataclass
+class Tag:
+    """A tag, or with an empty name a comment or a raw element with its content."""
 
-    An element that is left out is skipped to its end tag, or to the start of an article or main
-    section if it is never closed. If the page has such sections, text outside them has no length and
-    all text inside has. Without sections, lines that are mostly links have none.
+    begin: int
+    end: int
+    name: str
+    closing: bool
+    attributes: str
+
+    @property
+    def closed(self) -> bool:
+        return self.attributes.rstrip().endswith("/")
+
+
+def tags_of(page: str) -> tuple[list[Tag], dict[int, int]]:
+    """The tags of a page, and for each opening one that may be left out the number of its end tag."""
+    tags: list[Tag] = []
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    at = 0
+    while found := TAG.search(page, at):
+        at = found.end()
+        tag = Tag(found.start(), at, (found[2] or "").lower(), found[1] == "/", found[3] or "")
+        if tag.name in RAW and not tag.closing and not (tag.closed and opened.get("svg")):
+            close = re.compile(rf"</{re.escape(tag.name)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
+            at = tag.end = close.end() if close else len(page)
+            tag.name = ""
+        elif tag.name in LEFT_OUT or tag.name in BOXES or tag.name in EMBEDDED:
+            same = opened.setdefault(tag.name, [])
+            if tag.closing and same:
+                ends[same.pop()] = len(tags)
+            elif not tag.closing and not tag.closed:
+                same.append(len(tags))
+        tags.append(tag)
+    return tags, ends
+
+
+def _after(page: str, tags: list[Tag], ends: dict[int, int], number: int) -> tuple[int, int]:
+    """The first tag behind a left-out element, and the place in the page from which text counts again.
+
+    A paragraph ends before the next block. An element that is never closed ends before an article or
+    main section or the body.
+    """
+    name = tags[number].name
+    if number in ends and name != "p":
+        return ends[number] + 1, tags[ends[number]].end
+    for place in range(number + 1, len(tags)):
+        tag = tags[place]
+        if name == "p" and tag.name == "p" and tag.closing:
+            return place + 1, tag.end
+        if name == "p":
+            ended = tag.name not in INLINE and tag.name not in EMBEDDED and tag.name != ""
+        else:
+            ended = not tag.closing and (tag.name in SECTIONS or tag.name == "body")
+        if ended:
+            return place, tag.begin
+    return len(tags), len(page)
+
+
+def lines_of(page: str) -> list[tuple[str, bool, bool]]:
+    """The lines of a page: text, whether it is mostly links, whether it lies in a section.
+
+    Tags that only wrap blocks make no lines; a block without text makes an empty one outside sections.
     """
-    lines: list[str] = []
-    weights: list[int] = []
+    lines: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
     linked = 0
     sections = 0
-    has_sections = bool(re.search(r"<(?:article|main)\b", page, re.IGNORECASE))
     in_link = False
-    skipped, depth = "", 0
-    at = 0
+    opened = ""  # the block that has begun with nothing in it so far
+    tags, ends = tags_of(page)
 
-    def finish() -> None:
+    def finish(empty_block: bool = False) -> None:
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
-        if sections and not text:
-            parts, linked = [], 0  # no gap inside a section
-            return
-        if has_sections:
-            weight = len(text) if sections else 0
-        else:
-            weight = len(text) if linked * 2 < len(text) else 0
-        lines.append(text if weight else "")
-        weights.append(weight)
+        if text or empty_block and not sections:
+            lines.append((text, linked * 2 >= len(text), sections > 0))
         parts, linked = [], 0
 
-    size = len(page)
-    while at < size:
-        found = TAG.search(page, at)
-        begin = found.start() if found else size
-        if not depth and begin > at:
-            parts.append(page[at:begin])
-            linked += (begin - at) * in_link
-        if not found:
-            break
-        at = found.end()
-        name = (found[2] or "").lower()
+    at, number = 0, 0
+    while number < len(tags):
+        tag = tags[number]
+        if tag.begin > at:
+            parts.append(page[at : tag.begin])
+            linked += (tag.begin - at) * in_link
+        at = tag.end
+        name = tag.name
         if not name:
+            number += 1
             continue
-        closing = found[1] == "/"
-        if name in RAW and not closing:
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-            at = close.end() if close else size
-            continue
-        if depth:
-            if name == skipped:
-                depth += -1 if closing else 1
-            elif name in SECTIONS and not closing:
-                depth = 0
-            if depth or name == skipped:
+        if not tag.closing and (
+            name in LEFT_OUT or name in EMBEDDED or name in BOXES and _noisy(tag.attributes)
+        ):
+            if tag.closed:
+                number += 1
                 continue
-        if not closing and (name in LEFT_OUT or name in BOXES and _noisy(found[3])):
-            if not found[3].rstrip().endswith("/"):
+            if name not in EMBEDDED:
                 finish()
-                skipped, depth = name, 1
+                opened = ""
+            number, at = _after(page, tags, ends, number)
             continue
         if name == "a":
-            in_link = not closing
+            in_link = not tag.closing
         if name == "br":
             parts.append(" ")
         elif name not in INLINE:
-            finish()
-            if name in SECTIONS:
-                sections = max(0, sections + (-1 if closing else 1))
+            finish(tag.closing and opened == name)
+            opened = "" if tag.closing or tag.closed else name
+            if name in SECTIONS and not (tag.closed and not tag.closing):
+                sections = max(0, sections + (-1 if tag.closing else 1))
+        number += 1
+    if at < len(page):
+        parts.append(page[at:])
+        linked += (len(page) - at) * in_link
     finish()
-    return lines, weights, has_sections
+    return lines
 
 
 def _noisy(attributes: str) -> bool:
@@ -125,7 +173,10 @@ def main_text(page: str | None, window: int = 3, threshold: int = 80) -> str:
     On a page without article or main sections, a region whose window sums stay below `threshold` is
     kept only where no region reaches it, the largest one then.
     """
-    lines, weights, has_sections = lines_of(page or "")
+    found = lines_of(page or "")
+    has_sections = any(text and inside for text, _, inside in found)
+    weights = [len(text) if inside or not has_sections and not links else 0 for text, links, inside in found]
+    lines = [text if weight else "" for (text, _, _), weight in zip(found, weights, strict=True)]
     sums = []
     running = 0
     for place, weight in enumerate(weights):

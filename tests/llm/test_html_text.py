@@ -59,6 +59,42 @@ def test_odd_pages(page, wanted):
     assert main_text(page) == wanted
 
 
+LONG = "Some sentences that make up the body of this page. " * 4
+
+
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        # a section named in a comment or a script only
+        (f"<!-- <main> --><body><p>{LONG}</p></body>", LONG.strip()),
+        (f"<script>var a = '<article>';</script><p>{LONG}</p>", LONG.strip()),
+        ("<article></article><p>hello</p>", "hello"),
+        # closed in its own tag, nested, inside a line, never closed
+        (f"<p>one <svg viewBox='0 0 1 1'/> two</p><p>{LONG}</p><p><svg></svg></p>", f"one two\n{LONG.strip()}"),
+        (f"<object data='x' /><template/><p>{LONG}</p>", LONG.strip()),
+        (f"<p>{LONG}<svg><title/><svg><text>in</text></svg><text>out</text></svg>.</p>", f"{LONG}."),
+        (f"<svg><text>in</text><article><p>{LONG}</p></article>", LONG.strip()),
+        # sections inside closed elements that are left out
+        (
+            f"<article><p>{LONG}</p></article><div id=comments><ol><li><article class='comment-body'><p>"
+            f"{LONG}</p></article></li></ol></div><aside><article><p>{LONG}</p></article></aside>",
+            LONG.strip(),
+        ),
+        (f"<nav><p>menu</p> x <nav></nav> y <article><p>{LONG}</p></article>", LONG.strip()),
+        (f"<p class=notice>We <b>use</b> cookies.<p>{LONG}</p>", LONG.strip()),
+        (f"<head><meta charset=utf-8><body><p>{LONG}</p>", LONG.strip()),
+        # wrappers are no distance, empty blocks are
+        (
+            f"<div><div><div><p>{LONG}</p></div></div></div><div><div><div><p>Last.</p></div></div></div>",
+            f"{LONG.strip()}\nLast.",
+        ),
+        (f"<p>{LONG}</p><div></div><div> </div><div><b></b></div><p>(c)</p>", LONG.strip()),
+    ],
+)
+def test_real_pages(page, wanted):
+    assert main_text(page) == wanted
+
+
 def test_very_long_page():
     assert len(main_text("<article>" + "<p>word word</p>" * 50_000)) == 50_000 * 10 - 1
 
