@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that every block of the page is one line. Each line has the length of its text
-that may be article text; menus, notices and the like have none. The lengths are summed over sliding
+Markup is stripped so that every block of the page is one line. Each line has a weight, the length of
+its text; menus, notices, link lists and the like have none. The weights are summed over sliding
 windows of lines. Where the sum rises from nothing is a surge point, where it falls back to nothing a
-dive point, and the text between is kept, provided that the sum in between reaches a threshold.
+dive point, and the text between is kept, provided that the sum in between reaches a threshold. An
+article or main section only changes the weights: text inside counts more, text beside it less.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -161,27 +163,46 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     return lines
 
 
+def weights_of(
+    lines: list[tuple[str, bool, bool]], window: int, section: float
+) -> tuple[list[str], list[float]]:
+    """The texts of lines and their weights.
+
+    A line that is mostly links has no weight and no text, except in a section where fewer than
+    `window` such lines follow each other. Text in a section counts `section` times; beside one it is
+    divided by that. Where a section with text begins or ends, there are `window` empty lines.
+    """
+    has_sections = any(text and inside for text, _, inside in lines)
+    texts: list[str] = []
+    weights: list[float] = []
+    before = None
+    for (links, inside), run in groupby(lines, key=lambda line: (line[1], line[2])):
+        own = [text for text, _, _ in run]
+        if before is not None and before != inside:
+            texts.extend([""] * window)
+            weights.extend([0] * window)
+        before = inside
+        counts = not links or inside and len(own) < window
+        factor = section if inside else 1 / section if has_sections else 1
+        texts.extend(own if counts else [""] * len(own))
+        weights.extend(len(text) * factor if counts else 0 for text in own)
+    return texts, weights
+
+
 def _noisy(attributes: str) -> bool:
     return bool(attributes) and any(
         NOISE.search(a or b or c or "") for a, b, c in NAMES.findall(attributes)
     )
 
 
-def main_text(page: str | None, window: int = 3, threshold: int = 80) -> str:
+def main_text(page: str | None, window: int = 3, threshold: int = 80, section: float = 4) -> str:
     """The text between surge and dive points, its blocks joined by a line break; null is empty.
 
-    On a page without article or main sections, a region whose window sums stay below `threshold` is
-    kept only where no region reaches it, the largest one then.
+    A region whose window sums stay below `threshold` is kept only where no region reaches it, the
+    largest one then.
     """
-    found = lines_of(page or "")
-    has_sections = any(text and inside for text, _, inside in found)
-    weights = [len(text) if inside or not has_sections and not links else 0 for text, links, inside in found]
-    lines = [text if weight else "" for (text, _, _), weight in zip(found, weights, strict=True)]
-    sums = []
-    running = 0
-    for place, weight in enumerate(weights):
-        running += weight - (weights[place - window] if place >= window else 0)
-        sums.append(running)
+    lines, weights = weights_of(lines_of(page or ""), window, section)
+    sums = [sum(weights[max(0, end - window) : end]) for end in range(1, len(weights) + 1)]
     regions = []  # (peak, surge, dive)
     surge = None
     for place, total in enumerate([*sums, 0]):
@@ -190,7 +211,7 @@ def main_text(page: str | None, window: int = 3, threshold: int = 80) -> str:
         elif not total and surge is not None:
             regions.append((max(sums[surge:place]), surge, place))
             surge = None
-    kept = [r for r in regions if has_sections or r[0] >= threshold] or sorted(regions)[-1:]
+    kept = [r for r in regions if r[0] >= threshold] or sorted(regions)[-1:]
     return "\n".join(
         lines[place] for _, first, end in kept for place in range(first, end) if lines[place]
     )

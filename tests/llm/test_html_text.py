@@ -95,6 +95,27 @@ def test_real_pages(page, wanted):
     assert main_text(page) == wanted
 
 
+LINKS = "<li><a href='/x'>A linked headline of some length</a></li>" * 5
+
+
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        # a list of links is a dive inside the section, few links are not
+        (f"<article><p>{LONG}</p><ul>{LINKS}</ul></article>", LONG.strip()),
+        (f"<article><p><a href='/'>Topic</a></p><p>{LONG}</p></article>", f"Topic\n{LONG.strip()}"),
+        # regions on both sides of a dive are joined
+        (f"<article><p>{LONG}</p><ul>{LINKS}</ul><p>{LONG}</p></article>", f"{LONG.strip()}\n{LONG.strip()}"),
+        # beside a section, dense text is kept, and a short line is not
+        (f"<div>Notes.</div><main><p>{LONG}</p></main><p>Terms.</p>", LONG.strip()),
+        (f"<div>{LONG * 3}</div><main><p>Short.</p><p>{LONG}</p></main>", f"{(LONG * 3).strip()}\nShort.\n{LONG.strip()}"),
+        (f"<article><p>A note of few words.</p></article><div>{LONG}</div>", "A note of few words."),
+    ],
+)
+def test_window_sums_decide_on_pages_with_sections(page, wanted):
+    assert main_text(page) == wanted
+
+
 def test_very_long_page():
     assert len(main_text("<article>" + "<p>word word</p>" * 50_000)) == 50_000 * 10 - 1
 
