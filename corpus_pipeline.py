@@ -32,10 +32,10 @@ def _rows_of(docs: DataFrame, numbered: DataFrame, row: str, kept: DataFrame) ->
     return numbered.join(kept.select(F.col("row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """Rows get a number by their place; documents come from files, so it is the same in every read."""
+def _numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """Rows get a number and are written with it: a place in the input may differ in every read."""
     row = free_name(docs, "row_number")
-    return docs.withColumn(row, F.monotonically_increasing_id()), row
+    return scratch.keep(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,15 +46,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (null counts as empty), the row with the largest id."""
-    numbered, row = _numbered(docs)
-    found = exact_dedup.exact_duplicates(numbered, _scratch(spark), row=row)
+    scratch = _scratch(spark)
+    numbered, row = _numbered(docs, scratch)
+    found = exact_dedup.exact_duplicates(numbered, scratch, row=row)
     return _rows_of(docs, numbered, row, found.filter("kept"))
 
 
 def keep_dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the row with the smallest id; what has no words stays."""
     scratch = _scratch(spark)
-    numbered, row = _numbered(docs)
+    numbered, row = _numbered(docs, scratch)
     found = jaccard_join.similar_components(numbered, scratch, doc_id=row)
     groups = scratch.keep(found.select(F.col("doc_id").alias(row), F.col("component_id").alias("group")))
     best = (

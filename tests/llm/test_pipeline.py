@@ -98,6 +98,22 @@ def test_repeated_rows_leave_one(spark):
     assert kept == ["3", "5", "6"]
 
 
+@pytest.mark.parametrize("stage", [corpus_pipeline.keep_distinct, corpus_pipeline.keep_dissimilar])
+def test_places_that_change_between_reads(spark, stage):
+    """Before the result is read, files are split and ordered otherwise."""
+    rows = [(i, " ".join(f"w{i % 20}x{n}" for n in range(i % 20 + 5))) for i in range(60)]
+    path = f"{Scratch(spark).folder}/given"
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6).write.parquet(path)
+    kept = stage(spark, spark.read.parquet(path), FOLDER)
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "1")
+    try:
+        got = kept.collect()
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    first = 40 if stage is corpus_pipeline.keep_distinct else 0
+    assert sorted((r.doc_id, r.text) for r in got) == rows[first : first + 20]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_equal_sql(spark, name):
     from compare import duckdb_over, duckdb_rows, spark_rows

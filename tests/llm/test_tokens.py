@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from tallyloom.llm.common import Scratch
 from tallyloom.llm.packing import best_fit_plan, pack
 from tallyloom.llm.queries import tokenizer
 from tallyloom.llm.token_counts import count_tokens, read_cache
@@ -53,6 +54,26 @@ def test_counts_and_cache(spark, documents, scratch, library):
     assert count_tokens(documents([]), folder, scratch, **tokenizer()).count() == 0
 
 
+def test_places_that_change_between_reads(spark, scratch, library):
+    """After the first written table, files are split and ordered otherwise."""
+
+    class Moving(Scratch):
+        def keep(self, df):
+            kept = super().keep(df)
+            self.spark.conf.set("spark.sql.leafNodeDefaultParallelism", "1")
+            return kept
+
+    rows = [(i, f"text number {i % 40} " * (i % 7 + 1)) for i in range(80)]
+    path = f"{scratch.folder}/given"
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6).write.parquet(path)
+    try:
+        got = count_tokens(spark.read.parquet(path), f"{path}-cache", Moving(spark), **tokenizer()).collect()
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert sorted(map(tuple, got)) == [(i, len(t), len(ids_of(library, t))) for i, t in rows]
+    assert read_cache(spark, f"{path}-cache").count() == len({t for _, t in rows})
+
+
 def test_packed_pieces(documents, scratch, library):
     rows = [(i, t) for i, t in enumerate(TEXTS * 4)] + [(99, None), (None, "a "), (1, "a "), (1, "a ")]
     got = pack(documents(rows), scratch, 16, 0, **tokenizer(), cell_rows=3).collect()
