@@ -70,6 +70,25 @@ def test_equals_exhaustive_search(documents):
         assert all(word in words for word in templates[name].split())
 
 
+def test_every_copy_has_a_row(documents):
+    notice = TEMPLATES["MIT notice"]
+    long = TEMPLATES["ISC"]
+    rows = [(1, f"{notice}\n" * 40), (2, f"{long}\n" * 7), (3, f"x {notice} {notice} y")]
+    got = found(documents(rows))
+    size = len(notice) + 1
+    assert [g for g in got if g[0] == 1] == [(1, "MIT notice", size * i, size * i + size - 2) for i in range(40)]
+    size = len(long) + 1
+    assert [g for g in got if g[0] == 2] == [(2, "ISC", size * i, size * i + size - 2) for i in range(7)]
+    assert len([g for g in got if g[0] == 3]) == 2
+
+
+def test_short_and_evenly_changed_copies(documents):
+    words = TEMPLATES["ISC"].split(" ")
+    changed = " ".join("other" if i % 5 == 4 else w for i, w in enumerate(words))
+    rows = [(1, "Released under MIT License"), (2, f"Released under MIT License\n{changed}")]
+    assert [g[:2] for g in found(documents(rows))] == [(1, "MIT notice"), (2, "ISC"), (2, "MIT notice")]
+
+
 def test_nulls_empty_and_repeats(documents):
     notice = TEMPLATES["MIT notice"]
     rows = [(1, None), (2, ""), (3, "the"), (None, notice), (5, notice), (5, notice)]
