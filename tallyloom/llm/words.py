@@ -25,10 +25,13 @@ class Words:
 
 
 def table(kept: bytes | range | list[int], lower: bool = True) -> np.ndarray:
-    """For each byte its value inside a word (A-Z as a-z if `lower`), or 0 for a separator."""
+    """For each byte its value inside a word (A-Z as a-z if `lower`), or 0 for a separator.
+
+    Byte 0 inside a word is 256.
+    """
     values = np.zeros(256, np.uint64)
     for byte in kept:
-        values[byte] = byte
+        values[byte] = byte or 256
     if lower:
         for byte in range(ord("A"), ord("Z") + 1):
             if values[byte]:

@@ -131,3 +131,9 @@ def test_vectors_bound_counts_they_cannot_hold():
     for width in (16, 32):
         assert jaccard_join.folded(count_vector(np.sort(same))[:32], width).max() >= 40
     assert jaccard_join.folded(count_vector(few), 16).sum() >= len(few)
+
+
+def test_nul_is_part_of_a_word(documents, scratch):
+    rows = [(1, "a b c d e f"), (2, "a\0b c d e f"), (3, "\0"), (4, "")]
+    got = {r.doc_id: r.n_shingles for r in similar_components(documents(rows), scratch).collect()}
+    assert got == {1: 2, 2: 1, 3: 1, 4: 0}
