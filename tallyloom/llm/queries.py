@@ -18,6 +18,7 @@ from tallyloom.llm.packing import pack
 from tallyloom.llm.quality import classify
 from tallyloom.llm.sharding import shard_rows
 from tallyloom.llm.token_counts import count_tokens
+from tallyloom.llm.whitening import whiten
 
 SHARDS = 24
 TOKEN_LIMIT = 1024
@@ -132,6 +133,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return similar_components(read_table(spark, folder, "documents"), Scratch(spark))
 
 
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    embeddings = read_table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return whiten(embeddings, Scratch(spark), components=4, scale=256)
+
+
 QUERIES = {
     run.__name__: run
     for run in (
@@ -145,6 +151,7 @@ QUERIES = {
         op8_best_fit_packing,
         op9_html_extraction,
         op10_ngram_jaccard_join,
+        op13_embedding_whitening,
     )
 }
 
