@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat
+from tallyloom.llm import chat, warc
 from tallyloom.llm.common import Scratch, hash62, read_table
 from tallyloom.llm.decontamination import contaminated
 from tallyloom.llm.exact_dedup import exact_duplicates
@@ -133,6 +133,14 @@ def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return similar_components(read_table(spark, folder, "documents"), Scratch(spark))
 
 
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Writes archives into the shared folder, then reads every record of the index back."""
+    scratch = Scratch(spark)
+    index = warc.write_archives(read_table(spark, folder, "pages"), f"{scratch.folder}/archives", least_bytes=0)
+    read = scratch.keep(warc.read_records(index, payloads=False))
+    return warc.resolve(read).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     embeddings = read_table(spark, folder, "embeddings").select("vec_id", "embedding")
     return whiten(embeddings, Scratch(spark), components=4, scale=256)
@@ -151,6 +159,7 @@ QUERIES = {
         op8_best_fit_packing,
         op9_html_extraction,
         op10_ngram_jaccard_join,
+        op12_warc,
         op13_embedding_whitening,
     )
 }
@@ -225,5 +234,21 @@ WITH RECURSIVE tokens AS (
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles,
   least(d.doc_id, (SELECT min(y) FROM reach WHERE x = d.doc_id)) AS component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id)
+""",
+    "op12_warc": """
+WITH payloads AS (
+  SELECT page_id, url, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), digits AS (
+  -- five hexadecimal digits are four of base 32
+  SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) % 32, 1)), '') AS digest,
+    row_number() OVER same_payload AS place, first_value(page_id) OVER same_payload AS response_id
+  FROM payloads
+  WINDOW same_payload AS (PARTITION BY payload ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST)
+)
+SELECT page_id, strlen(payload) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place > 1 THEN response_id END AS refers_to
+FROM digits
 """,
 }

@@ -1,0 +1,155 @@
+from __future__ import annotations
+
+import base64
+import glob
+import gzip
+import hashlib
+import random
+from collections import Counter
+
+import pytest
+from compare import duckdb_over, duckdb_rows, spark_rows
+
+from tallyloom.llm import warc
+from tallyloom.llm.queries import ORACLE_SQL, op12_warc
+
+SCHEMA = "page_id bigint, url string, html string, key string, sha1 int, copy string"
+
+
+@pytest.fixture
+def pages(spark):
+    def build(rows):
+        return spark.createDataFrame([(*r, "x", 1, None) for r in rows], SCHEMA)
+
+    return build
+
+
+def digest(payload: str) -> str:
+    return base64.b32encode(hashlib.sha1(payload.encode()).digest()).decode()
+
+
+def wanted(rows, least_bytes=0):
+    """Brute force: a row per page, its type and what it refers to."""
+
+    def order(row):
+        return (row[0] is not None, row[0], row[1] is not None, row[1])
+
+    found, top = [], {}
+    for row in sorted(rows, key=order, reverse=True):
+        payload = row[2] or ""
+        size = len(payload.encode())
+        is_first = size < least_bytes or payload not in top
+        top.setdefault(payload, row[0])
+        kind = ("response", None) if is_first else ("revisit", top[payload])
+        found.append((row[0], size, digest(payload), *kind))
+    return Counter(found)
+
+
+def result(pages_frame, scratch, **options):
+    index = warc.write_archives(pages_frame, f"{scratch.folder}/archives", **options)
+    read = scratch.keep(warc.read_records(index))
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = warc.resolve(read).select(*columns).collect()
+    return index, read, Counter(tuple(row) for row in rows)
+
+
+HARD = [
+    (1, "http://a/1", "<p>one</p>"),
+    (2, "http://a/2", "<p>one</p>"),
+    (3, "http://a/\r\nWARC-Type: x", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n"),
+    (4, None, None),
+    (5, "", ""),
+    (5, "", ""),
+    (None, None, "<p>one</p>"),
+    (None, "http://n", "no id"),
+    (None, "http://n", "no id"),
+    (6, "http://é ü", "é\x00퟿🙂" * 10),
+    (7, "u", "same id, other payload"),
+    (7, "u", "same id"),
+    (8, "long", "word " * 400_000),
+    (9, "long too", "word " * 400_000),
+]
+
+
+@pytest.mark.parametrize("least_bytes", [0, 1, 8, 11])
+def test_nulls_ties_repeats_and_hostile_texts(pages, scratch, least_bytes):
+    frame = pages(HARD).repartition(3)
+    index, read, found = result(frame, scratch, least_bytes=least_bytes, archive_bytes=200)
+    assert found == wanted(HARD, least_bytes)
+    assert len({row.record_id for row in read.collect()}) == len(HARD)
+    by_page = {(r.page_id, r.url): r for r in read.collect() if r.record_type == "response"}
+    assert by_page[6, "http://é%20ü"].payload == "é\x00퟿🙂" * 10
+    assert by_page[3, "http://a/%0D%0AWARC-Type:%20x"].payload == HARD[2][2]
+    assert by_page[9, "long%20too"].payload == "word " * 400_000
+
+
+def test_empty_table(pages, scratch):
+    index, _, found = result(pages([]), scratch)
+    assert index.count() == 0 and not found
+
+
+def test_archives_are_plain_warc_files(pages, scratch):
+    """Archives hold nothing but the members that the index names, each a whole record."""
+    index, _, _ = result(pages(HARD).repartition(2), scratch, archive_bytes=500)
+    rows = index.collect()
+    files = glob.glob(f"{scratch.folder.removeprefix('file:')}/archives/*.warc.gz")
+    assert {r.archive.removeprefix("file://") for r in rows} == set(files) and len(files) > 2
+    for file in files:
+        with open(file, "rb") as raw:
+            whole = raw.read()
+        own = sorted((r.offset, r.length) for r in rows if r.archive.endswith(file))
+        assert own[0][0] == 0 and sum(own[-1]) == len(whole)
+        assert all(a + b == c for (a, b), (c, _) in zip(own, own[1:]))
+        assert gzip.decompress(whole).count(b"WARC-Record-ID: <urn:uuid:") >= len(own)
+
+
+def test_selected_records_only(pages, scratch):
+    rows = [(i, f"http://h{i % 7}/{i}", f"page {i} " * (i % 50)) for i in range(500)]
+    index = warc.write_archives(pages(rows), f"{scratch.folder}/archives")
+    chosen = index.filter("url LIKE 'http://h3/%'")
+    texts = {r.page_id: r.payload for r in warc.read_records(chosen).collect() if r.record_type == "response"}
+    ids = {r.page_id for r in chosen.filter("record_type = 'response'").collect()}
+    assert texts == {i: text for i, _, text in rows if i in ids}
+    bare = warc.read_records(chosen, payloads=False).collect()
+    assert {r.payload for r in bare} == {None} and len(bare) == chosen.count()
+
+
+def test_revisit_without_its_response(pages, scratch):
+    index = warc.write_archives(pages([(1, "a", "x"), (2, "b", "x")]), f"{scratch.folder}/archives")
+    read = scratch.keep(warc.read_records(index.filter("record_type = 'revisit'")))
+    (row,) = warc.resolve(read).collect()
+    assert (row.page_id, row.payload_bytes, row.payload_digest, row.refers_to) == (1, None, digest("x"), None)
+
+
+def test_damaged_archive_is_an_error(pages, scratch):
+    index = warc.write_archives(pages([(1, "a", "x" * 100)]), f"{scratch.folder}/archives")
+    with pytest.raises(Exception, match="(?i)gzip|length|EOF|CRC"):
+        warc.read_records(index.selectExpr("archive", "offset", "length - 5 AS length")).collect()
+
+
+def test_ranges_cover_every_place_once():
+    rnd = random.Random(2)
+    for _ in range(300):
+        places = []
+        for archive in "ab":
+            offset = 0
+            for _ in range(rnd.randint(0, 12)):
+                offset += rnd.choice([0, 0, 1, 5, 40])
+                length = rnd.randint(1, 30)
+                places += [(archive, offset, length)] * rnd.choice([1, 1, 2])
+                offset += length
+        gap, most = rnd.choice([0, 4, 50]), rnd.choice([1, 25, 100])
+        reads = list(warc.close_ranges(iter(places), gap, most))
+        assert [(a, *p) for a, _, _, inside in reads for p in inside] == places
+        for archive, start, stop, inside in reads:
+            assert start == inside[0][0] and stop == max(o + n for o, n in inside)
+            assert stop - start <= most or len(set(inside)) == 1
+        for (a, start, stop, _), (b, after, _, inside) in zip(reads, reads[1:]):
+            # no two neighbours could have been one read
+            assert a != b or after - stop > gap or max(stop, sum(inside[0])) - start > most
+
+
+def test_equals_sql_on_given_pages(spark):
+    folder = "/root/testdata/sf0.01"
+    found = spark_rows(op12_warc(spark, folder))
+    assert found == duckdb_rows(duckdb_over(folder), ORACLE_SQL["op12_warc"])
