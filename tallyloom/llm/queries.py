@@ -17,6 +17,7 @@ from tallyloom.llm.licenses import scan_licenses
 from tallyloom.llm.packing import pack
 from tallyloom.llm.quality import classify
 from tallyloom.llm.sharding import shard_rows
+from tallyloom.llm.structure_repair import repair, text_digests
 from tallyloom.llm.token_counts import count_tokens
 from tallyloom.llm.whitening import whiten
 
@@ -133,6 +134,46 @@ def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return similar_components(read_table(spark, folder, "documents"), Scratch(spark))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows with the faults that the checksum of their conversation and turn calls for."""
+    blank = F.lit(" ")
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), blank) for c in ("conv_id", "turn")])
+    fault = F.crc32(key.cast("binary")) % 20
+    role, text = F.coalesce("role", blank), F.coalesce("text", blank)
+    emptied = F.when(fault == 1, "").when(fault == 2, F.translate(text, ".!?", "")).otherwise(text)
+    copies = F.when(fault == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return (
+        conversations.filter(fault != 0)
+        .select(
+            "conv_id",
+            "turn",
+            F.when(fault == 4, "user").otherwise(role).alias("role"),
+            emptied.alias("text"),
+            F.explode(copies).alias("copy"),
+        )
+        .drop("copy")
+    )
+
+
+def op11_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = read_table(spark, folder, "conversations")
+    repaired = repair(damaged(conversations), Scratch(spark))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    given = conversations.select(F.col("conv_id").alias("given_id")).distinct()
+    report = repaired.report.withColumnRenamed("conv_id", "repaired_id")
+    texts = text_digests(repaired.rows).withColumnRenamed("conv_id", "text_id")
+    return (
+        given.join(report, F.col("given_id").eqNullSafe(F.col("repaired_id")), "left")
+        .join(texts, F.col("given_id").eqNullSafe(F.col("text_id")), "left")
+        .select(
+            F.col("given_id").alias("conv_id"),
+            *[F.coalesce(name, F.lit(0).cast("bigint")).alias(name) for name in counts],
+            F.coalesce("audit", F.lit("")).alias("audit"),
+            F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+        )
+    )
+
+
 def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Writes archives into the shared folder, then reads every record of the index back."""
     scratch = Scratch(spark)
@@ -159,6 +200,7 @@ QUERIES = {
         op8_best_fit_packing,
         op9_html_extraction,
         op10_ngram_jaccard_join,
+        op11_structure_repair,
         op12_warc,
         op13_embedding_whitening,
     )
@@ -234,6 +276,90 @@ WITH RECURSIVE tokens AS (
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles,
   least(d.doc_id, (SELECT min(y) FROM reach WHERE x = d.doc_id)) AS component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id)
+""",
+    # Row by row; c and a are cost and audit per state (start, after system, user, assistant), i and j
+    # the same after insertions, which lead to the last two states only.
+    "op11_structure_repair": r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+        lambda c, k: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END)))) % 20 AS fault
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM keyed WHERE fault <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k,
+    rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS body
+  FROM damaged
+), judged AS (
+  SELECT *, left(role, 1) AS r, body = '' AS blank,
+    body <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS duplicate,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before
+  FROM placed
+), faults AS (
+  SELECT *, NOT blank AND NOT duplicate AND right(body, 1) NOT IN ('.', '!', '?') AS truncated,
+    blank OR duplicate AS gone
+  FROM judged
+), steps AS (
+  SELECT conv_id, 0::BIGINT AS k, {'c': 0::BIGINT, 'a': ''} AS s0, {'c': 1000000000::BIGINT, 'a': ''} AS s1,
+    {'c': 1000000000::BIGINT, 'a': ''} AS s2, {'c': 1000000000::BIGINT, 'a': ''} AS s3
+  FROM (SELECT DISTINCT conv_id FROM faults)
+  UNION ALL
+  SELECT conv_id, k,
+    {'c': s0.c + 3, 'a': s0.a || 'D'},
+    list_min([{'c': s1.c + 3, 'a': s1.a || 'D'},
+      {'c': CASE WHEN NOT gone AND r = 's' THEN s0.c + truncated::INT ELSE 1000000000 END, 'a': s0.a || 'K'}]),
+    list_min([{'c': i2.c + 3, 'a': i2.a || 'D'},
+      {'c': CASE WHEN NOT gone AND r = 'u' THEN u.c + truncated::INT ELSE 1000000000 END, 'a': u.a || 'K'},
+      {'c': CASE WHEN NOT gone THEN u.c + 2 + truncated::INT ELSE 1000000000 END, 'a': u.a || 'R'}]),
+    list_min([{'c': i3.c + 3, 'a': i3.a || 'D'},
+      {'c': CASE WHEN NOT gone AND r = 'a' THEN i2.c + truncated::INT ELSE 1000000000 END, 'a': i2.a || 'K'},
+      {'c': CASE WHEN NOT gone THEN i2.c + 2 + truncated::INT ELSE 1000000000 END, 'a': i2.a || 'R'}])
+  FROM (
+    SELECT *, list_min([s0, s1, i3]) AS u FROM (
+      SELECT *, list_min([s3, {'c': i2.c + 2, 'a': i2.a || 'I'}]) AS i3 FROM (
+        SELECT f.*, s0, s1, s3, list_min([s2, {'c': s0.c + 2, 'a': s0.a || 'I'},
+          {'c': s1.c + 2, 'a': s1.a || 'I'}, {'c': s3.c + 2, 'a': s3.a || 'I'}]) AS i2
+        FROM steps JOIN faults f ON f.conv_id IS NOT DISTINCT FROM steps.conv_id AND f.k = steps.k + 1)))
+), ends AS (
+  SELECT conv_id, list_min([s0, s3, {'c': s2.c + 2, 'a': s2.a || 'I'},
+    {'c': s0.c + 4, 'a': s0.a || 'II'}, {'c': s1.c + 4, 'a': s1.a || 'II'}]) AS best
+  FROM steps QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1
+), edits AS (
+  SELECT conv_id, unnest(range(1, 1 + length(best.a))) AS pos, substr(best.a, pos, 1) AS edit,
+    length(replace(left(best.a, pos), 'I', '')) AS k
+  FROM ends
+), left_rows AS (
+  SELECT e.conv_id, pos, edit, f.role, f.text, row_number() OVER (PARTITION BY e.conv_id ORDER BY pos) AS n,
+    first_value(edit = 'K' AND f.r = 's') OVER (PARTITION BY e.conv_id ORDER BY pos) AS has_system
+  FROM edits e LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.k = e.k
+  WHERE edit <> 'D'
+), lines AS (
+  SELECT conv_id, pos, CASE WHEN edit = 'K' THEN role
+      WHEN (n + has_system::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END AS line
+  FROM left_rows
+), sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+    count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (k > 1 AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+)
+SELECT g.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+  coalesce(best.a, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g
+LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM g.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM g.conv_id
+LEFT JOIN (SELECT conv_id, string_agg(line, chr(10) ORDER BY pos) AS whole FROM lines GROUP BY conv_id) w
+  ON w.conv_id IS NOT DISTINCT FROM g.conv_id
 """,
     "op12_warc": """
 WITH payloads AS (
