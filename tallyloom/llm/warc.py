@@ -30,6 +30,8 @@ WARC_DATE = "2024-01-01T00:00:00Z"
 ARCHIVE_BYTES = 1_000_000_000
 READ_BYTES = 8_000_000
 GAP_BYTES = 64_000
+# compressed bytes of the records that one reading task gets
+TASK_BYTES = 16_000_000
 # decompressed bytes after which a reader hands its records on
 HELD_BYTES = 16_000_000
 
@@ -284,10 +286,13 @@ def read_records(index: DataFrame, gap: int = GAP_BYTES, most: int = READ_BYTES,
 
     Payload bytes and digest of a response are measured on what was read; a record that cannot be
     read whole is an error. Revisits have neither, see `resolve`. Without `payloads` the texts stay
-    in the task. An empty index gives no rows.
+    in the task. An empty index gives no rows. The number of tasks follows the bytes to be read, not
+    the size of the index.
     """
     places = index.select("archive", "offset", "length")
-    placed = places.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    total = places.agg(F.sum("length")).first()[0] or 0
+    tasks = 1 + total // TASK_BYTES
+    placed = places.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return placed.mapInArrow(_reader(gap, most, payloads), RECORD_COLUMNS)
 
 
