@@ -25,8 +25,11 @@ from tallyloom.operators.slots import (
     KINDS,
     claims,
     clash_counts,
+    interaction_components,
     kind_number,
+    lost_by_component,
     lost_in_turn,
+    moves_by_component,
     overlaps,
 )
 from tallyloom.session import ensure_checkpoint_dir
@@ -224,9 +227,12 @@ def admit(tables: Tables, requests: DataFrame) -> DataFrame:
 
 CLAIM_MINUTES = 5
 
-# Requests of one date that one task settles in turn; a date with more is thinned in rounds first.
+# Requests that one task settles in turn without looking further: those of a date, or of a component.
 ROWS_PER_DATE = 100_000
 
+# Rounds that thin out a crowded component before the rest of it is settled in turn.
+THINNING_ROUNDS = 4
+
 _PLACE = ["date", "kind", "holder", "stretch"]
 
 
@@ -237,12 +243,14 @@ def admit_batch(
     its slot, so a later one that overlaps it is refused. Ids of requests are unique.
 
     Requests of different dates never meet, so a date with at most ``rows_per_date`` open requests
-    is settled in turn by one task. A larger date is thinned first, in rounds over claims, one row
-    per stretch of minutes a request touches of its room and of its teacher. A request that comes
-    first in every stretch it claims has no earlier rival left and is admitted; the waiting requests
-    that overlap it are then out. Admitted slots of one holder never overlap, so a stretch is only
-    ever joined to the few slots admitted in it, however many requests crowd there. Rounds end when
-    what waits on the date fits one task. The outcome is the same by either way.
+    is settled in turn by one task. A larger date is cut into components of requests that meet in a
+    holder, directly or through others; components are settled apart, each by a task that holds no
+    more than the slots its component has taken. A component of more than ``rows_per_date`` requests
+    is first thinned out in a fixed number of rounds over claims, one row per stretch of minutes a
+    request touches of its room and of its teacher: a request that comes first in every stretch it
+    claims is admitted, and the waiting requests that overlap it are out. Admitted slots of one
+    holder never overlap, so a stretch is only ever joined to the few slots admitted in it, however
+    many requests crowd there. The outcome is the same by any way.
     """
     ensure_checkpoint_dir(requests.sparkSession)
     checked = admit(tables, requests).checkpoint()
@@ -250,13 +258,13 @@ def admit_batch(
     candidates = checked.filter(
         F.col("outcome").isin("ok", "room") & (F.col("start_ts") < F.col("end_ts"))
     ).withColumn("open", F.col("outcome") == "ok")
-    crowded = _crowded_dates(candidates, rows_per_date)
+    crowded = _crowded(candidates, "date", rows_per_date)
     if crowded.isEmpty():
         lost = _lost_in_turn(candidates)
     else:
         crowd = candidates.join(crowded, "date", "left_semi")
         lost = _lost_in_turn(candidates.join(crowded, "date", "left_anti")).unionByName(
-            _lost_in_rounds(crowd, rows_per_date)
+            _lost_in_components(crowd, rows_per_date)
         )
     text = F.when(F.col("lost") == "teacher", TEACHER_TEXT).when(
         F.col("lost") == "room", ROOM_TEXT
@@ -272,35 +280,48 @@ def admit_batch(
     )
 
 
-def _crowded_dates(candidates: DataFrame, rows_per_date: int) -> DataFrame:
-    sizes = candidates.groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
-    return sizes.filter(F.col("rows") > rows_per_date).select("date").checkpoint()
+def _crowded(rows: DataFrame, group: str, most: int) -> DataFrame:
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
+    return sizes.filter(F.col("rows") > most).select(group).checkpoint()
+
+
+_TURN = ["id", "date", "start_ts", "end_ts", *[f"{kind}_id" for kind in KINDS], "open"]
 
 
 def _lost_in_turn(candidates: DataFrame) -> DataFrame:
-    narrow = candidates.select(
-        "id", "date", "start_ts", "end_ts", *[f"{kind}_id" for kind in KINDS], "open"
+    return candidates.select(*_TURN).groupBy("date").applyInPandas(lost_in_turn, "id bigint, lost string")
+
+
+def _settled_apart(placed: DataFrame) -> DataFrame:
+    in_order = placed.select("component", *_TURN).repartition("component")
+    return in_order.sortWithinPartitions("component", "id").mapInArrow(
+        lost_by_component, "id bigint, lost string"
     )
-    return narrow.groupBy("date").applyInPandas(lost_in_turn, "id bigint, lost string")
 
 
-def _lost_in_rounds(crowd: DataFrame, rows_per_date: int) -> DataFrame:
-    opened = claims(crowd.filter("open"), CLAIM_MINUTES)
-    waiting, admitted = opened, []
-    while not waiting.isEmpty():
+def _lost_in_components(crowd: DataFrame, rows_per_component: int) -> DataFrame:
+    # requests that only look ask for their teacher alone and join nobody through their room
+    room = F.when(F.col("open"), F.col("room_id")).alias("room_id")
+    slots = crowd.select("id", "date", "start_ts", "end_ts", "teacher_id", room)
+    placed = crowd.join(interaction_components(slots), "id").checkpoint()
+    crowded = _crowded(placed, "component", rows_per_component)
+    if crowded.isEmpty():
+        return _settled_apart(placed)
+    apart = _settled_apart(placed.join(crowded, "component", "left_anti"))
+    return apart.unionByName(_lost_after_thinning(placed.join(crowded, "component", "left_semi")))
+
+
+def _lost_after_thinning(placed: DataFrame) -> DataFrame:
+    waiting = opened = claims(placed.filter("open"), CLAIM_MINUTES)
+    admitted = []
+    for _ in range(THINNING_ROUNDS):
         settled = _settle(waiting).checkpoint()
         admitted.append(settled.filter(F.col("won")).select(opened.columns))
         waiting = settled.filter(~F.col("won") & ~F.col("lost")).select(opened.columns)
-        ids = waiting.select("date", "id").distinct()
-        if _crowded_dates(ids, rows_per_date).isEmpty():
-            # nobody who waits overlaps an admitted slot any more
-            tail = crowd.join(ids.select("id"), "id", "left_semi")
-            out = _lost_in_turn(tail).checkpoint()
-            admitted.append(waiting.join(out, "id", "left_anti"))
-            break
-    return _lost_to(
-        claims(crowd, CLAIM_MINUTES), reduce(DataFrame.unionByName, admitted)
-    ) if admitted else _lost_in_turn(crowd)
+    # nobody who waits overlaps an admitted slot any more
+    tail = placed.join(waiting.select("id").distinct(), "id", "left_semi")
+    admitted.append(waiting.join(_settled_apart(tail).checkpoint(), "id", "left_anti"))
+    return _lost_to(claims(placed, CLAIM_MINUTES), reduce(DataFrame.unionByName, admitted))
 
 
 def _settle(waiting: DataFrame) -> DataFrame:
@@ -351,22 +372,14 @@ def move(tables: Tables, changes: DataFrame, as_of: dt.date) -> DataFrame:
 
     ``outcome`` is ``ok``, ``not_found``, ``completed`` or the first failing check.
     """
-    old = complete_past(tables["daily_schedules"], as_of).select(
-        "id",
-        "lecture_id",
-        "status",
-        F.col("date").alias("old_date"),
-        F.col("room_id").alias("old_room_id"),
-        F.col("start_ts").alias("old_start_ts"),
-        F.col("end_ts").alias("old_end_ts"),
-    )
-    # read by the checks, the counts and the probes: planned once
-    ensure_checkpoint_dir(changes.sparkSession)
-    wanted = changes.join(old, "id", "left").checkpoint()
+    wanted = _with_old_slot(tables, changes, as_of)
     slots = capacity(tables, with_lecture_teacher(tables, wanted))
     checked = slots.join(conflicts(tables, wanted), "id", "left")
-    own = (F.col("old_date") == F.col("date")) & overlaps(
-        F.col("old_start_ts"), F.col("old_end_ts"), F.col("start_ts"), F.col("end_ts")
+    # an old slot without length occupies nothing, so it was not counted
+    own = (
+        (F.col("old_date") == F.col("date"))
+        & (F.col("old_start_ts") < F.col("old_end_ts"))
+        & overlaps(F.col("old_start_ts"), F.col("old_end_ts"), F.col("start_ts"), F.col("end_ts"))
     )
     own_of = {"teacher": own, "room": own & (F.col("old_room_id") == F.col("room_id"))}
     clashes = {
@@ -376,14 +389,30 @@ def move(tables: Tables, changes: DataFrame, as_of: dt.date) -> DataFrame:
         for kind in KINDS
     }
     outcome, refusal = _verdict(clashes, MOVE_TEACHER_TEXT)
-    missing = F.col("status").isNull()
-    done = F.col("status") == COMPLETED
+    outcome, refusal = _unless_unmovable(outcome, refusal)
     return checked.select(
-        *SLOT,
-        "old_date",
-        "lecture_name",
-        "room_name",
-        "teacher_id",
+        *SLOT, "old_date", "lecture_name", "room_name", "teacher_id", outcome, refusal
+    )
+
+
+def _with_old_slot(tables: Tables, changes: DataFrame, as_of: dt.date) -> DataFrame:
+    old = complete_past(tables["daily_schedules"], as_of).select(
+        "id",
+        "lecture_id",
+        "status",
+        F.col("date").alias("old_date"),
+        F.col("room_id").alias("old_room_id"),
+        F.col("start_ts").alias("old_start_ts"),
+        F.col("end_ts").alias("old_end_ts"),
+    )
+    # read by the checks, the counts and the probes: planned once
+    ensure_checkpoint_dir(changes.sparkSession)
+    return changes.join(old, "id", "left").checkpoint()
+
+
+def _unless_unmovable(outcome: Column, refusal: Column) -> tuple[Column, Column]:
+    missing, done = F.col("status").isNull(), F.col("status") == COMPLETED
+    return (
         F.when(missing, "not_found").when(done, "completed").otherwise(outcome).alias("outcome"),
         F.when(missing, "No such schedule")
         .when(done, COMPLETED_TEXT)
@@ -392,6 +421,88 @@ def move(tables: Tables, changes: DataFrame, as_of: dt.date) -> DataFrame:
     )
 
 
+def move_batch(tables: Tables, changes: DataFrame, as_of: dt.date) -> DataFrame:
+    """Moves as if they came one by one in the order of ``sequence``: each sees the places that the
+    ones before it gave up and took, those of its own schedule among them.
+
+    ``changes`` has a unique ``sequence``, or one change per schedule in id order without it. The
+    checks and outcomes are those of :func:`move`; ``old_date`` is the date on which the schedule
+    was when its turn came. A schedule's status, lecture and the capacity of rooms do not change
+    within a batch, so they are checked for all changes at once, and so are clashes with schedules
+    that the batch does not move. What is left depends on other moves only where they meet in a
+    holder. Components of schedules whose old and wanted slots meet, directly or through others,
+    are settled apart, each in the order of its changes.
+    """
+    if "sequence" not in changes.columns:
+        changes = changes.withColumn("sequence", F.col("id"))
+    wanted = _with_old_slot(tables, changes, as_of)
+    repeated = wanted.groupBy("sequence").agg(F.count(F.lit(1)).alias("rows"))
+    if not repeated.filter("rows > 1 OR sequence IS NULL").isEmpty():
+        raise ValueError("every change needs a sequence of its own")
+    outcome, refusal = _unless_unmovable(
+        *_verdict({kind: F.lit(False) for kind in KINDS}, MOVE_TEACHER_TEXT)
+    )
+    judged = (
+        capacity(tables, with_lecture_teacher(tables, wanted))
+        .select("sequence", *SLOT, "old_date", "lecture_name", "room_name", "teacher_id", outcome, refusal)
+        .checkpoint()
+    )
+    lost = _lost_moves(tables, judged).withColumnRenamed("sequence", "lost_sequence")
+    text = F.when(F.col("lost") == "teacher", MOVE_TEACHER_TEXT).when(
+        F.col("lost") == "room", ROOM_TEXT
+    )
+    kept = [c for c in judged.columns if c not in ("old_date", "outcome", "refusal")]
+    return judged.join(lost, F.col("sequence") == F.col("lost_sequence"), "left").select(
+        *kept,
+        F.coalesce("from_date", "old_date").alias("old_date"),
+        F.coalesce("lost", "outcome").alias("outcome"),
+        F.coalesce(text, F.col("refusal")).alias("refusal"),
+    )
+
+
+def _lost_moves(tables: Tables, judged: DataFrame) -> DataFrame:
+    """For changes of schedules that may move: what they are lost to, if anything, and the date
+    before them. Changes that are refused already only ask for the date."""
+    possible = judged.filter(F.col("outcome") == "ok")
+    slot = ["id", "date", "start_ts", "end_ts", *[f"{kind}_id" for kind in KINDS]]
+    moving = possible.select("id").distinct()
+    schedules = tables["daily_schedules"]
+    here = with_teacher(tables, schedules.join(moving, "id", "left_semi")).select(*slot).checkpoint()
+    others = {**tables, "daily_schedules": schedules.join(moving, "id", "left_anti")}
+    asked = possible.select(F.col("sequence").alias("id"), "lecture_id", "room_id", "date", "start_ts", "end_ts")
+    fixed = conflicts(others, asked).select(
+        F.col("id").alias("sequence"), *[(F.col(f"{kind}_clashes") > 0).alias(f"{kind}_fixed") for kind in KINDS]
+    )
+    components = interaction_components(here.unionByName(possible.select(*slot)))
+    places = here.select(
+        F.lit(False).alias("is_change"),
+        F.lit(False).alias("is_refused"),
+        F.lit(None).cast("bigint").alias("sequence"),
+        *slot,
+        *[F.lit(False).alias(f"{kind}_fixed") for kind in KINDS],
+    )
+    turns = judged.join(fixed, "sequence", "left").select(
+        F.lit(True).alias("is_change"),
+        (F.col("outcome") != "ok").alias("is_refused"),
+        "sequence",
+        *slot,
+        *[F.coalesce(f"{kind}_fixed", F.lit(False)).alias(f"{kind}_fixed") for kind in KINDS],
+    )
+    in_order = (
+        places.unionByName(turns)
+        .join(components, "id")
+        .repartition("component")
+        .sortWithinPartitions("component", "is_change", "sequence")
+    )
+    return in_order.mapInArrow(moves_by_component, "sequence bigint, lost string, from_date date")
+
+
+def last_moves(moves: DataFrame) -> DataFrame:
+    """Of the accepted moves of each schedule the last, for :func:`apply_moves`."""
+    accepted = moves.filter(F.col("outcome") == "ok").withColumn("turn", -F.col("sequence"))
+    return first_per(accepted, ["id"], ["turn"]).drop("turn")
+
+
 def apply_moves(schedules: DataFrame, moves: DataFrame) -> DataFrame:
     """The timetable after the accepted moves."""
     moved = ["room_id", "date", "start_ts", "end_ts"]

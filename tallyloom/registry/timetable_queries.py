@@ -142,6 +142,88 @@ BATCH_SQL = """
     {select}"""
 
 
+# One change after the other over the whole batch; the places of the schedules that it may move are
+# carried along as a list.
+MOVE_BATCH_SQL = """
+    WITH RECURSIVE {tables}
+    batch_changes AS (
+        SELECT 2 * id AS sequence, id, room_id, date, start_ts, end_ts FROM schedule_changes
+        UNION ALL
+        SELECT 2 * c.id + 1, c.id + 2, d.room_id, d.date, d.start_ts, d.end_ts
+        FROM schedule_changes c JOIN daily_schedules d ON d.id = c.id),
+    batch_wanted AS (
+        SELECT c.*, d.lecture_id, d.teacher_id, d.date AS old_date,
+               CASE WHEN d.date < DATE '2024-01-10' THEN 'completed' ELSE d.status END AS status
+        FROM batch_changes c LEFT JOIN daily_schedules d ON d.id = c.id),
+    batch_judged AS (
+        SELECT s.*, o.name AS room_name, o.no_of_seats, coalesce(e.n_students, 0) AS n_students,
+               CASE WHEN s.status IS NULL THEN 'not_found'
+                    WHEN s.status = 'completed' THEN 'completed'
+                    WHEN o.id IS NULL THEN 'room_missing'
+                    WHEN coalesce(e.n_students, 0) > o.no_of_seats THEN 'capacity'
+                    WHEN l.id IS NULL THEN 'lecture_missing'
+                    WHEN t.id IS NULL THEN 'teacher_missing' ELSE 'ok' END AS outcome
+        FROM batch_wanted s
+        LEFT JOIN lectures l ON l.id = s.lecture_id LEFT JOIN teachers t ON t.id = l.teacher_id
+        LEFT JOIN rooms o ON o.id = s.room_id LEFT JOIN enrolment e ON e.lecture_id = s.lecture_id),
+    batch_moving AS (SELECT DISTINCT id FROM batch_judged WHERE outcome = 'ok'),
+    batch_fixed AS (
+        SELECT r.sequence, bool_or(d.teacher_id = r.teacher_id) AS teacher_fixed,
+               bool_or(d.room_id = r.room_id) AS room_fixed
+        FROM batch_judged r JOIN daily_schedules d
+          ON d.date = r.date AND (d.teacher_id = r.teacher_id OR d.room_id = r.room_id)
+         AND d.start_ts < r.end_ts AND r.start_ts < d.end_ts
+        WHERE r.outcome = 'ok' AND d.id NOT IN (SELECT id FROM batch_moving)
+        GROUP BY r.sequence),
+    queue AS (
+        SELECT j.*, coalesce(f.teacher_fixed, false) AS teacher_fixed,
+               coalesce(f.room_fixed, false) AS room_fixed,
+               row_number() OVER (ORDER BY j.sequence) AS n
+        FROM batch_judged j LEFT JOIN batch_fixed f ON f.sequence = j.sequence
+        WHERE j.id IN (SELECT id FROM batch_moving)),
+    steps AS (
+        SELECT 0 AS n, CAST(NULL AS BIGINT) AS sequence, CAST(NULL AS VARCHAR) AS lost,
+               CAST(NULL AS DATE) AS from_date,
+               list({{'id': d.id, 'teacher_id': d.teacher_id, 'room_id': d.room_id, 'day': d.date,
+                      's': d.start_ts, 'e': d.end_ts}}) AS held
+        FROM daily_schedules d JOIN batch_moving m ON m.id = d.id
+        UNION ALL
+        SELECT q.n, q.sequence, q.lost, list_filter(q.held, lambda x: x.id = q.id)[1].day,
+               CASE WHEN q.outcome = 'ok' AND q.lost IS NULL
+                    THEN list_transform(q.held, lambda x: CASE WHEN x.id = q.id THEN
+                        {{'id': q.id, 'teacher_id': q.teacher_id, 'room_id': q.room_id,
+                          'day': q.date, 's': q.start_ts, 'e': q.end_ts}} ELSE x END)
+                    ELSE q.held END
+        FROM (
+            SELECT q.*, p.held,
+                   CASE WHEN q.outcome <> 'ok' THEN NULL
+                        WHEN q.teacher_fixed OR len(list_filter(p.held, lambda x: x.id <> q.id
+                             AND x.teacher_id = q.teacher_id AND x.day = q.date
+                             AND x.s < q.end_ts AND q.start_ts < x.e)) > 0 THEN 'teacher'
+                        WHEN q.room_fixed OR len(list_filter(p.held, lambda x: x.id <> q.id
+                             AND x.room_id = q.room_id AND x.day = q.date
+                             AND x.s < q.end_ts AND q.start_ts < x.e)) > 0 THEN 'room'
+                   END AS lost
+            FROM steps p JOIN queue q ON q.n = p.n + 1) q),
+    moved_in_turn AS (
+        SELECT j.* REPLACE (coalesce(w.lost, j.outcome) AS outcome,
+                            coalesce(w.from_date, j.old_date) AS old_date)
+        FROM batch_judged j LEFT JOIN steps w ON w.sequence = j.sequence)
+    SELECT sequence, id, room_id, strftime(date, '%Y-%m-%d') AS date,
+           strftime(start_ts, '%Y-%m-%d %H:%M:%S') AS start_ts,
+           strftime(end_ts, '%Y-%m-%d %H:%M:%S') AS end_ts,
+           coalesce(strftime(old_date, '%Y-%m-%d'), '') AS old_date, outcome,
+           coalesce(refusal, '') AS refusal
+    FROM (SELECT *, {refusal} FROM moved_in_turn)"""
+
+
+def _move_batch_sql() -> str:
+    tables = sql_with("SELECT 1 /* schedule_changes daily_schedules lectures teachers rooms enrolment */")
+    return MOVE_BATCH_SQL.format(
+        tables=tables[len("WITH ") :].rsplit("SELECT 1", 1)[0].rstrip() + ",", refusal=MOVE_REFUSAL_SQL
+    )
+
+
 def _with_batch(select: str, **extra: str) -> str:
     """``select`` over ``batch`` and the given tables, behind the recursive WITH of the batch."""
     tables = sql_with(f"SELECT 1 FROM admitted /* {select} */", **extra)
@@ -246,6 +328,34 @@ def _move(t):
     return moves.withColumn("refusal", F.coalesce("refusal", F.lit("")))
 
 
+def _chained_changes(t):
+    """The given changes, and after each one a second that moves the schedule two ids on to the
+    place which the schedule of the first had: free only if the first was accepted."""
+    changes = t["schedule_changes"]
+    given = changes.withColumn("sequence", F.col("id") * 2)
+    first = changes.select("id")
+    places = t["daily_schedules"].select("id", "room_id", "date", "start_ts", "end_ts")
+    second = first.join(places, "id").select(
+        (F.col("id") + 2).alias("id"), "room_id", "date", "start_ts", "end_ts", (F.col("id") * 2 + 1).alias("sequence")
+    )
+    return given.unionByName(second)
+
+
+def _move_batch(t):
+    moves = timetable.move_batch(t, _chained_changes(t), AS_OF)
+    return moves.select(
+        "sequence",
+        "id",
+        "room_id",
+        "date",
+        "start_ts",
+        "end_ts",
+        F.coalesce(F.date_format("old_date", "yyyy-MM-dd"), F.lit("")).alias("old_date"),
+        "outcome",
+        F.coalesce("refusal", F.lit("")).alias("refusal"),
+    )
+
+
 def _moved_timetable(t):
     return timetable.apply_moves(timetable.complete_past(t["daily_schedules"], AS_OF), _moves(t))
 
@@ -284,6 +394,7 @@ _QUERIES = {
     "schedule_admission": _admission,
     "schedule_admission_batch": _batch,
     "schedule_move": _move,
+    "schedule_move_batch": _move_batch,
     "schedule_moved_timetable": _moved_timetable,
     "schedule_complete_past": lambda t: timetable.complete_past(t["daily_schedules"], AS_OF),
     "schedule_messages": _messages,
@@ -350,6 +461,7 @@ def oracle_sql() -> dict[str, str]:
             + " FROM moved)",
             **MOVES,
         ),
+        "schedule_move_batch": _move_batch_sql(),
         "schedule_moved_timetable": sql_with(
             """SELECT s.id, s.lecture_id, coalesce(m.room_id, s.room_id) AS room_id,
                       strftime(coalesce(m.date, s.date), '%Y-%m-%d') AS date,
