@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 from itertools import product
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tallyloom.operators.rows import any_equal
-from tallyloom.plans import fees
+from tallyloom.plans import fees, rollup
 from tallyloom.registry.ctes import sql_with
 from tallyloom.registry.edge import at_edge
+from tallyloom.session import ensure_checkpoint_dir
 from tallyloom.sources.derived import DerivedTables
 
 SCOPE_IDS = {"all": None, "course": 7, "teacher": 10, "lecture": 201}
@@ -115,6 +120,124 @@ SEARCH_SQL = RECORDS_SQL + """
        OR CAST(base.date AS VARCHAR) = '{v}'"""
 
 
+# A second state of the payments: everything pending is paid, 1994 is cancelled, 1995 costs one more.
+LATER_STATUS = """CASE WHEN status = 'pending' THEN 'paid'
+    WHEN status = 'paid' AND year = 1994 THEN 'cancelled' ELSE status END"""
+LATER_AMOUNT = "CAST(CASE WHEN year = 1995 THEN amount + 1 ELSE amount END AS DECIMAL(18,2))"
+
+LATER_SQL = f"""
+    SELECT * REPLACE ({LATER_STATUS} AS status, {LATER_AMOUNT} AS amount)
+    FROM monthly_payments"""
+
+FACTS_SQL = """
+    SELECT f.id AS payment, p.lecture_id, l.course_medium_id AS course_id,
+           l.teacher_id AS lecturer_id, f.year, f.month, p.name AS payment_name, f.amount,
+           p.fixed_institute_amount, sh.teacher_amount, sh.institute_amount,
+           row_number() OVER (PARTITION BY f.id) = 1 AS once
+    FROM {fees} f JOIN students st ON st.id = f.student_id
+    JOIN student_plans sp ON sp.id = f.student_payment_id
+    JOIN payments p ON p.id = sp.payment_id
+    JOIN shares sh ON sh.monthly_payment_id = f.id JOIN teachers t ON t.id = sh.teacher_id
+    LEFT JOIN lectures l ON l.id = p.lecture_id
+    WHERE f.status = 'paid'"""
+
+ROLLUP_SQL = """
+    SELECT scope, coalesce(scope_id, -1) AS scope_id, monthly, coalesce(year, 0) AS year,
+           coalesce(month, 0) AS month, payment_name, teacher AS total_teacher_amount,
+           institute AS total_institute_amount, fixed AS total_fixed_institute_amount,
+           fee AS student_fee_amount, once_fixed AS once_fixed_institute_amount,
+           once_fee AS once_student_fee_amount, no_of_payments
+    FROM (
+        SELECT CASE WHEN grouping(lecture_id) = 0 THEN 'lecture'
+                    WHEN grouping(lecturer_id) = 0 THEN 'teacher'
+                    WHEN grouping(course_id) = 0 THEN 'course' ELSE 'all' END AS scope,
+               CASE WHEN grouping(lecture_id) = 0 THEN lecture_id
+                    WHEN grouping(lecturer_id) = 0 THEN lecturer_id
+                    WHEN grouping(course_id) = 0 THEN course_id END AS scope_id,
+               grouping(year) = 0 AS monthly, year, month, payment_name,
+               CAST(CAST(sum(teacher_amount) AS DECIMAL(38,4)) AS DOUBLE) AS teacher,
+               CAST(CAST(sum(institute_amount) AS DECIMAL(38,4)) AS DOUBLE) AS institute,
+               CAST(CAST(sum(fixed_institute_amount) AS DECIMAL(38,2)) AS DOUBLE) AS fixed,
+               CAST(CAST(sum(amount) AS DECIMAL(38,2)) AS DOUBLE) AS fee,
+               CAST(CAST(sum(fixed_institute_amount) FILTER (once) AS DECIMAL(38,2)) AS DOUBLE)
+                   AS once_fixed,
+               CAST(CAST(sum(amount) FILTER (once) AS DECIMAL(38,2)) AS DOUBLE) AS once_fee,
+               count(*) AS no_of_payments
+        FROM facts
+        GROUP BY GROUPING SETS (
+            (payment_name), (payment_name, year, month),
+            (lecture_id, payment_name), (lecture_id, payment_name, year, month),
+            (lecturer_id, payment_name), (lecturer_id, payment_name, year, month),
+            (course_id, payment_name), (course_id, payment_name, year, month)))
+    WHERE scope = 'all' OR scope_id IS NOT NULL"""
+
+SCOPE_ID_SQL = {"all": "", "course": "AND scope_id = 7", "teacher": "AND scope_id = 10", "lecture": "AND scope_id = 201"}
+SPAN_MONTH_SQL = {"": "NOT monthly", "_by_month": "monthly AND year = 1997 AND month = 5"}
+
+REPORTS_SQL = "\nUNION ALL\n".join(
+    f"""SELECT '{scope}{span}' AS report,
+               CAST(CAST(sum(total_teacher_amount) AS DECIMAL(38,4)) AS DOUBLE) AS total_teacher_amount,
+               CAST(CAST(sum(once_student_fee_amount) AS DECIMAL(38,2)) AS DOUBLE) AS once_student_fee_amount,
+               CAST(sum(no_of_payments) AS BIGINT) AS no_of_payments, count(*) AS n_names
+        FROM rolled WHERE scope = '{scope}' AND {SPAN_MONTH_SQL[span]} {SCOPE_ID_SQL[scope]}"""
+    for scope, span in product(SCOPE_IDS, SPAN_MONTH_SQL)
+)
+
+
+def _shown(totals: DataFrame) -> DataFrame:
+    return totals.select(
+        "scope",
+        F.coalesce("scope_id", F.lit(-1).cast("bigint")).alias("scope_id"),
+        "monthly",
+        F.coalesce("year", F.lit(0)).alias("year"),
+        F.coalesce("month", F.lit(0)).alias("month"),
+        "payment_name",
+        *rollup.MONEY,
+        "no_of_payments",
+    )
+
+
+def _rollup(t) -> DataFrame:
+    return rollup.rollup(rollup.payment_facts(t))
+
+
+def _later(t) -> dict:
+    """The tables with the second state of the payments."""
+    payments = t["monthly_payments"].withColumns(
+        {"status": F.expr(LATER_STATUS), "amount": F.expr(LATER_AMOUNT)}
+    )
+    return {**{name: t[name] for name in t}, "monthly_payments": payments}
+
+
+def _merged(t) -> DataFrame:
+    """The roll-up of the first state, brought to the second by the payments that differ."""
+    changed = (
+        t["monthly_payments"]
+        .exceptAll(_later(t)["monthly_payments"])
+        .select(F.col("id").alias("monthly_payment_id"))
+    )
+    return rollup.updated(_rollup(t), t, _later(t), changed)
+
+
+def _rollup_reports(t) -> DataFrame:
+    """Every all-time and monthly report out of one roll-up."""
+    payments = t["monthly_payments"]
+    ensure_checkpoint_dir(payments.sparkSession)
+    totals = _rollup(t).checkpoint()
+    found = []
+    for scope, span in product(SCOPE_IDS, SPAN_MONTH_SQL):
+        report = rollup.payment_totals(totals, scope, SCOPE_IDS[scope], SPANS[span])
+        found.append(
+            report.agg(
+                F.sum("total_teacher_amount").cast("decimal(38,4)").alias("total_teacher_amount"),
+                F.sum("once_student_fee_amount").cast("decimal(38,2)").alias("once_student_fee_amount"),
+                F.sum("no_of_payments").alias("no_of_payments"),
+                F.count(F.lit(1)).alias("n_names"),
+            ).select(F.lit(f"{scope}{span}").alias("report"), "*")
+        )
+    return reduce(DataFrame.unionByName, found)
+
+
 def _report_query(part: str, scope: str, span: str):
     def run(spark, folder):
         report = fees.share_report(
@@ -149,6 +272,9 @@ def queries() -> dict:
     found["share_summary_text"] = _on_all(
         lambda t: fees.export_summary(fees.summary(fees.payment_totals(t)))
     )
+    found["share_rollup"] = _on_all(lambda t: _shown(_rollup(t)))
+    found["share_rollup_merged"] = _on_all(lambda t: _shown(_merged(t)))
+    found["share_rollup_reports"] = _on_all(_rollup_reports)
     found["share_any_search"] = _on_all(
         lambda t: any_equal(fees.share_base(t), SEARCH_VALUE)
     )
@@ -168,5 +294,9 @@ def oracle_sql() -> dict[str, str]:
     found["share_percentages"] = sql_with(PERCENT_SQL, base=base)
     found["share_export"] = sql_with(EXPORT_SQL, base=base)
     found["share_summary_text"] = sql_with(SUMMARY_TEXT_SQL, base=base, sums=SUMS_SQL)
+    facts = FACTS_SQL.format(fees="monthly_payments")
+    found["share_rollup"] = sql_with(ROLLUP_SQL, facts=facts)
+    found["share_rollup_reports"] = sql_with(REPORTS_SQL, facts=facts, rolled=ROLLUP_SQL)
+    found["share_rollup_merged"] = sql_with(ROLLUP_SQL, later=LATER_SQL, facts=FACTS_SQL.format(fees="later"))
     found["share_any_search"] = sql_with(SEARCH_SQL.format(v=SEARCH_VALUE), base=base)
     return found

@@ -38,8 +38,12 @@ def write_snapshot(tables: Mapping[str, DataFrame], folder: str) -> None:
             writer = frame.repartition(*keys).write.mode("errorifexists").partitionBy(*keys)
         writer.parquet(f"{folder}/{name}")
     if spark is not None:
-        path, files = _path(spark, f"{folder}/{MARKER}")
-        files.create(path).close()
+        mark_complete(spark, folder)
+
+
+def mark_complete(spark: SparkSession, folder: str) -> None:
+    path, files = _path(spark, f"{folder}/{MARKER}")
+    files.create(path).close()
 
 
 def append_change_log(changes: DataFrame, path: str) -> None:
