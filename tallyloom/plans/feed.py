@@ -23,6 +23,7 @@ from tallyloom.functions.fixed_values import (
 )
 from tallyloom.operators.rows import first_per, replace_by_key
 from tallyloom.plans.catalogue import child_id
+from tallyloom.sources.buckets import BucketedTables
 from tallyloom.sources.lazy import LazyTables
 from tallyloom.sources.schemas import FEED_NUMBERS, FEED_PAYLOAD
 
@@ -467,6 +468,31 @@ def delete(tables: Tables, children: Tables, product_ids: DataFrame) -> LazyTabl
     )
 
 
+# The column by which each table is kept in buckets: all rows of a product lie in the same ones.
+BUCKET_KEYS = {"products": "id", **{name: "product_id" for name in CHILD_TABLES}}
+
+
+def replace_in_buckets(
+    snapshot: BucketedTables, tables: Tables, parsed: DataFrame, as_of: dt.datetime, name: str
+) -> frozenset[int]:
+    """:func:`replace` on a bucketed snapshot, into the new snapshot ``name``: reads and writes the
+    buckets of the delivered products only, and gives their numbers. ``tables`` has the categories.
+    Write ``parsed`` once before: it is read for every table."""
+    numbers = snapshot.touched(parsed, "product_id")
+    base = snapshot.only(numbers)
+    after = replace({**tables, "products": base["products"]}, base, parsed, as_of)
+    snapshot.write_changed(after, BUCKET_KEYS, numbers, name)
+    return numbers
+
+
+def delete_in_buckets(snapshot: BucketedTables, product_ids: DataFrame, name: str) -> frozenset[int]:
+    """:func:`delete` on a bucketed snapshot, as :func:`replace_in_buckets` does."""
+    numbers = snapshot.touched(product_ids, "id")
+    base = snapshot.only(numbers)
+    snapshot.write_changed(delete(base, base, product_ids), BUCKET_KEYS, numbers, name)
+    return numbers
+
+
 def product_changes(product_ids: DataFrame, action: str) -> DataFrame:
     """Change-log rows of products: ``create``, ``update`` or ``delete``."""
     if action not in ("create", "update", "delete"):

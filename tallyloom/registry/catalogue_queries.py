@@ -10,6 +10,9 @@ from tallyloom.operators.rows import page_with_total
 from tallyloom.plans import catalogue, feed
 from tallyloom.registry.ctes import sql_with
 from tallyloom.registry.edge import at_edge
+from tallyloom.session import shared_folder
+from tallyloom.sources.buckets import BucketedTables, write_buckets
+from tallyloom.sources.change_log import append_change_log, read_change_log
 from tallyloom.sources.derived import DerivedTables
 
 AS_OF = dt.datetime(2024, 1, 10, 8, 30)
@@ -261,6 +264,45 @@ def _product_log(t):
     return log.select("entity_id", "action")
 
 
+def _bucketed(t):
+    """A snapshot in buckets, a delivery that replaces some products and a job that deletes others,
+    each writing the buckets it touches; the last snapshot is read back."""
+    spark = t["products"].sparkSession
+    root = shared_folder(spark, "buckets")
+    first = {"products": t["products"], **feed.feed_children(t, _parsed(t).checkpoint())}
+    write_buckets(first, feed.BUCKET_KEYS, root, "1", buckets=16)
+    parsed = _parsed(t, "revised_feed").checkpoint()
+    feed.replace_in_buckets(BucketedTables(spark, root, "1"), t, parsed, AS_OF, "2")
+    feed.delete_in_buckets(BucketedTables(spark, root, "2"), _withdrawn(t), "3")
+    left = BucketedTables(spark, root, "3")
+    products = left["products"].select(
+        F.lit("products").alias("child"),
+        F.col("id").alias("product_id"),
+        F.lit(1).cast("bigint").alias("n_rows"),
+    )
+    return products.unionByName(_child_counts(left))
+
+
+def _committed_log(t):
+    """Every job runs twice, and one is stopped before its commit: each fact is there once."""
+    spark = t["products"].sparkSession
+    path = shared_folder(spark, "change-log")
+    jobs = {
+        "created": feed.product_changes(_loaded(t)["products"], "create"),
+        "updated": feed.product_changes(
+            _parsed(t, "revised_feed").select(F.col("product_id").alias("id")), "update"
+        ),
+        "deleted": feed.product_changes(_withdrawn(t), "delete"),
+    }
+    jobs["deleted"].write.parquet(f"{path}/deleted/stopped")
+    for _ in range(2):
+        for batch, facts in jobs.items():
+            append_change_log(facts, path, batch)
+    return read_change_log(spark, path, "entity_id bigint, action string, old_date date").select(
+        "entity_id", "action"
+    )
+
+
 def _children(t):
     nested = catalogue.with_children(_stored(t), t["products"])
     return nested.select("id", "title", "part", *catalogue.CHILD_KINDS)
@@ -302,6 +344,8 @@ _QUERIES = {
     "product_status_transition": _status_transition,
     "product_delete_cascade": _deleted,
     "product_change_log": _product_log,
+    "product_change_log_committed": _committed_log,
+    "product_buckets": _bucketed,
 }
 
 
@@ -446,7 +490,20 @@ def oracle_sql() -> dict[str, str]:
         ),
         **fresh,
     )
-    found["product_change_log"] = sql_with("""
+    left = "product_id IN (SELECT id FROM products WHERE inventory_quantity > 10)"
+    found["product_buckets"] = sql_with(
+        """SELECT 'products' AS child, id AS product_id, CAST(1 AS BIGINT) AS n_rows
+           FROM products WHERE inventory_quantity > 10 UNION ALL """
+        + " UNION ALL ".join(
+            f"""SELECT '{name}' AS child, product_id, count(*) AS n_rows FROM (
+                {kept.format(name=name)} UNION ALL SELECT * FROM r_{name})
+                WHERE {left} GROUP BY product_id"""
+            for name in feed.CHILD_TABLES
+        ),
+        **fresh,
+        **revised,
+    )
+    found["product_change_log"] = found["product_change_log_committed"] = sql_with("""
         SELECT product_id AS entity_id, 'create' AS action FROM feed
         UNION ALL SELECT product_id, 'update' FROM revised
         UNION ALL SELECT id, 'delete' FROM products WHERE inventory_quantity <= 10""")

@@ -42,12 +42,28 @@ def write_snapshot(tables: Mapping[str, DataFrame], folder: str) -> None:
 
 
 def mark_complete(spark: SparkSession, folder: str) -> None:
-    path, files = _path(spark, f"{folder}/{MARKER}")
+    create_empty(spark, f"{folder}/{MARKER}")
+
+
+def create_empty(spark: SparkSession, name: str) -> None:
+    path, files = _path(spark, name)
     files.create(path).close()
 
 
-def append_change_log(changes: DataFrame, path: str) -> None:
-    changes.write.mode("append").parquet(path)
+def _names_in(spark: SparkSession, folder: str, folders: bool) -> list[str]:
+    path, files = _path(spark, folder)
+    if not files.exists(path):
+        return []
+    return [s.getPath().getName() for s in files.listStatus(path) if s.isDirectory() == folders]
+
+
+def folders_in(spark: SparkSession, folder: str) -> list[str]:
+    return _names_in(spark, folder, True)
+
+
+def files_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files in a folder, checksums of the local file system aside."""
+    return [name for name in _names_in(spark, folder, False) if not name.endswith(".crc")]
 
 
 def write_export(export: DataFrame, path: str, form: str = "csv") -> None:
