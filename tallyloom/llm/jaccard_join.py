@@ -42,6 +42,7 @@ MOST_SENT = 4_000_000
 FANOUT = 16
 MOST_GROUPS = 1 << 16
 MOST_COUNT = 15  # counts are kept in four bits
+CELL_NUMBERS = 1 << 24  # counts that one cell unpacks at most; more points get fewer groups
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray):
@@ -227,12 +228,21 @@ def count_vector(hashes: np.ndarray) -> bytes:
 
 
 def folded(vector: bytes, width: int) -> np.ndarray:
+    """Counts over fewer groups, as floats: these are exact up to 2^24, which stands for a count that
+    is not known any more and bounds nothing."""
     pairs = np.frombuffer(vector, np.uint8)
-    counts = np.stack([pairs >> 4, pairs & 15], axis=1).ravel().astype(np.int32)
-    counts[counts == MOST_COUNT] = 1 << 24  # not known any more, so no bound
+    counts = np.stack([pairs >> 4, pairs & 15], axis=1).ravel().astype(np.float32)
+    counts[counts == MOST_COUNT] = 1 << 24
     return counts.reshape(-1, width).sum(0)
 
 
+def _width(least: int, rows: int) -> int:
+    """About `least` groups, a power of two, if all points of the cell then fit."""
+    wanted = max(16, 1 << (max(least, 1) - 1).bit_length())
+    fitting = 1 << max(4, (CELL_NUMBERS // rows).bit_length() - 1)
+    return min(MOST_GROUPS, wanted, fitting)
+
+
 class RTree:
     """Points (counts by group) packed by size into boxes of FANOUT, level over level.
 
@@ -242,23 +252,28 @@ class RTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         self.levels = [(points, sizes)]
+        self.ones = np.ones(points.shape[1], np.float32)
         while len(self.levels[-1][0]) > FANOUT:
             below, least = self.levels[-1]
             starts = np.arange(0, len(below), FANOUT)
             self.levels.append((np.maximum.reduceat(below, starts), np.minimum.reduceat(least, starts)))
 
-    def reach(self, point: np.ndarray, size: int) -> np.ndarray:
-        """Points that may link with this one by the bound of summed minima."""
+    def reach(self, point: np.ndarray, size: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the `wanted` points (a mask) those that may link with this one by the bound of summed
+        minima, and their bounds."""
         at = np.arange(len(self.levels[-1][0]))
         for number in range(len(self.levels) - 1, -1, -1):
             points, sizes = self.levels[number]
             at = at[at < len(points)]
-            shared = np.minimum(points[at], point).sum(1, dtype=np.int64)
+            if number == 0:
+                at = at[wanted[at]]
+            shared = np.minimum(points[at], point) @ self.ones
             # shared >= 3/4 of the union, so >= 3/7 of both sizes, and >= 3/4 of this size
-            at = at[(7 * shared >= 3 * (size + sizes[at])) & (4 * shared >= 3 * size)]
+            near = (7 * shared >= 3 * (size + sizes[at])) & (4 * shared >= 3 * size)
+            at, shared = at[near], shared[near]
             if number:
                 at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-        return at
+        return at, shared
 
 
 def survivors(vectors, sizes, roots, sides, spanning: bool) -> list[tuple[int, int]]:
@@ -275,34 +290,32 @@ def survivors(vectors, sizes, roots, sides, spanning: bool) -> list[tuple[int, i
     for own in np.split(order, gaps):
         if len(own) < 2:
             continue
-        least = sizes[own[0]]
-        width = min(MOST_GROUPS, max(16, 1 << (int(least) - 1).bit_length()))
+        # a forest is verified whatever the bound lets through, so a quarter of the groups will do
+        width = _width(int(sizes[own[0]]) // (4 if spanning else 1), len(own))
         points = np.stack([folded(vectors[i], width) for i in own])
         own_sizes = np.array([sizes[i] for i in own])
         own_roots = np.array([roots[i] for i in own])
         own_sides = np.array([sides[i] for i in own])
         tree = RTree(points, own_sizes)
 
-        def partners(number, points=points, tree=tree, sizes=own_sizes, roots=own_roots, sides=own_sides):
-            near = tree.reach(points[number], sizes[number])
-            near = near[(sides[near] == 0) | (sides[near] != sides[number])]
-            return near[roots[near] != roots[number]]
+        def partners(number, among, points=points, tree=tree, sizes=own_sizes, roots=own_roots, sides=own_sides):
+            wanted = among & (roots != roots[number]) & ((sides == 0) | (sides != sides[number]))
+            return tree.reach(points[number], sizes[number], wanted)
 
+        waiting = np.ones(len(own), bool)
         if not spanning:
-            for number in range(len(own)):
-                found += [(int(own[number]), int(own[other])) for other in partners(number) if other < number]
+            for number in range(len(own) - 1, -1, -1):
+                waiting[number] = False
+                found += [(int(own[number]), int(own[other])) for other in partners(number, waiting)[0]]
             continue
         # the member with the largest bound to those taken comes next
-        bound, by = np.full(len(own), -1), np.zeros(len(own), np.int64)
-        waiting = np.ones(len(own), bool)
+        bound, by = np.full(len(own), -1.0, np.float32), np.zeros(len(own), np.int64)
         for _ in range(len(own)):
             number = int(np.where(waiting, bound, -2).argmax())
             if bound[number] >= 0:
                 found.append((int(own[number]), int(own[by[number]])))
             waiting[number] = False
-            near = partners(number)
-            near = near[waiting[near]]
-            shared = np.minimum(points[near], points[number]).sum(1)
+            near, shared = partners(number, waiting)
             closer = shared > bound[near]
             bound[near[closer]], by[near[closer]] = shared[closer], number
     return found
