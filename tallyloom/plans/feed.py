@@ -10,8 +10,9 @@ import datetime as dt
 from collections.abc import Callable, Mapping
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from tallyloom.functions.columns import or_blank
 from tallyloom.functions.fixed_values import (
@@ -127,6 +128,92 @@ def field_rejects(feed: DataFrame) -> DataFrame:
     return rejected.select("product_id", "field", "place", "text")
 
 
+# Fields that may be of any kind, beside the lists and plain values of the schema.
+_ANY_KIND = {"metadata[].name", "options[].value"}
+
+
+def _declared_kinds(spark: SparkSession) -> dict[str, str]:
+    """Path of every field of the payload schema with its kind: list, object (an item), value, any."""
+    found: dict[str, str] = {}
+
+    def walk(prefix: str, fields: StructType) -> None:
+        for field in fields:
+            path = f"{prefix}{field.name}"
+            kind = field.dataType
+            if isinstance(kind, ArrayType):
+                found[path], path, kind = "list", f"{path}[]", kind.elementType
+            if isinstance(kind, StructType):
+                found[path] = "object"
+                walk(f"{path}.", kind)
+            else:
+                found[path] = "any" if path in _ANY_KIND else "value"
+
+    walk("", spark.createDataFrame([], FEED_PAYLOAD).schema)
+    return found
+
+
+_DEPTH = 5  # steps from a payload to the fields of a variant's options: variants, item, options, item, field
+
+
+def unknown_fields(feed: DataFrame) -> DataFrame:
+    """What deliveries hold outside of the payload schema, so that nothing is lost in silence.
+
+    One row per path, ``problem`` and kind ``found``: how often (``n_found``), and the lowest product
+    with it (``product_id``) and its value as JSON (``example``). Problems: ``unknown`` (no such
+    field; what is below it is not listed), ``kind`` (a list, object or value where another is
+    declared; null is of every kind), ``no object`` (a payload that is no JSON object; path is blank).
+    Payloads are walked one level at a time, next to where they lie; only counts are shuffled.
+    """
+    spark = feed.sparkSession
+    declared = F.create_map(*[F.lit(part) for pair in _declared_kinds(spark).items() for part in pair])
+    level = feed.select("product_id", F.lit("").alias("path"), F.try_parse_json("payload").alias("value"), "payload")
+    level = level.withColumn("found", _kind(F.col("value")))
+    broken = (F.col("found") != "object") | F.col("value").isNull()
+    found = [
+        level.filter(broken).select(
+            "product_id", "path", F.lit("no object").alias("problem"), F.coalesce("found", F.lit("text")).alias("found"),
+            F.col("payload").alias("example"),
+        )
+    ]
+    level = level.filter(~broken).select("product_id", "path", "value")
+    for _ in range(_DEPTH):
+        parts = spark.sql(
+            """SELECT product_id, path, e.key, e.value FROM {level}, LATERAL variant_explode(value) e""", level=level
+        )
+        step = F.when(F.col("key").isNull(), "[]").when(F.col("path") == "", F.col("key")).otherwise(
+            F.concat(F.lit("."), "key")
+        )
+        parts = parts.select("product_id", F.concat("path", step).alias("path"), "value").withColumns(
+            {"found": _kind(F.col("value")), "declared": F.element_at(declared, F.col("path"))}
+        )
+        fits = F.col("found").isin("null") | (F.col("declared") == "any") | (F.col("declared") == F.col("found"))
+        problem = F.when(F.col("declared").isNull(), "unknown").when(~fits, "kind")
+        parts = parts.withColumn("problem", problem)
+        found.append(
+            parts.filter("problem IS NOT NULL").select(
+                "product_id", "path", "problem", "found", F.to_json("value").alias("example")
+            )
+        )
+        level = parts.filter("problem IS NULL AND found IN ('list', 'object') AND declared <> 'any'").select(
+            "product_id", "path", "value"
+        )
+    lowest = F.min(F.struct("product_id", "example")).alias("lowest")
+    counted = reduce(DataFrame.unionByName, found).groupBy("path", "problem", "found").agg(
+        F.count(F.lit(1)).alias("n_found"), lowest
+    )
+    return counted.select("path", "problem", "found", "n_found", "lowest.product_id", "lowest.example")
+
+
+def _kind(value: Column) -> Column:
+    schema = F.schema_of_variant(value)
+    return (
+        F.when(schema.startswith("ARRAY"), "list")
+        .when(schema.startswith("OBJECT"), "object")
+        .when(schema == "VOID", "null")
+        .when(schema.isNotNull(), "value")
+    )
+
+
 def repeated_deliveries(parsed: DataFrame) -> DataFrame:
     """Products that a feed without a sequence delivers more than once, with how often."""
     return (

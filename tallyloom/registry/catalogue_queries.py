@@ -336,6 +336,7 @@ _QUERIES = {
     "feed_products": lambda t: _loaded(t)["products"].select(*[F.col(f"`{c}`") for c in ALL_COLUMNS]),
     **{f"feed_{name}": _loaded_child(name) for name in feed.CHILD_TABLES},
     "feed_field_rejects": lambda t: feed.field_rejects(t["product_feed"]),
+    "feed_unknown_fields": lambda t: feed.unknown_fields(t["drifted_feed"]),
     "feed_option_rejects": lambda t: feed.option_rejects(_parsed(t)),
     "product_replace": _replaced_products,
     "product_replace_children": _replaced_children,
@@ -429,6 +430,22 @@ def oracle_sql() -> dict[str, str]:
             name == "variants"
         ) else "SELECT * FROM f"
         found[f"feed_{name}"] = sql_with(shown, f=sql)
+    found["feed_unknown_fields"] = """
+        WITH whole AS (SELECT *, p_partkey AS product_id FROM part WHERE p_type <> 'PROMO'),
+        rows AS (
+            SELECT '' AS path, 'no object' AS problem, 'list' AS found, p_partkey AS product_id,
+                   '[' || p_partkey || ']' AS example FROM part WHERE p_type = 'PROMO'
+            UNION ALL SELECT 'colour', 'unknown', 'value', product_id, '"' || p_brand || '"' FROM whole
+            UNION ALL SELECT 'price', 'kind', 'object', product_id, '{"amount":' || p_size || '}' FROM whole
+            UNION ALL SELECT 'images[].depth', 'unknown', 'value', product_id, i::VARCHAR
+                FROM whole, range(4) AS r(i) WHERE i < p_size % 4
+            UNION ALL SELECT 'videos', 'kind', 'value', product_id, '"none"' FROM whole WHERE p_size % 2 = 0
+            UNION ALL SELECT 'variants[].sku', 'kind', 'list', product_id, '["' || p_brand || '"]' FROM whole
+            UNION ALL SELECT 'variants[].options[].unit', 'unknown', 'value', product_id, '"EU"' FROM whole)
+        SELECT path, problem, found, count(*) AS n_found, min(product_id) AS product_id,
+               min(example) FILTER (product_id = least_id) AS example
+        FROM (SELECT *, min(product_id) OVER (PARTITION BY path, problem, found) AS least_id FROM rows)
+        GROUP BY path, problem, found"""
     found["feed_option_rejects"] = sql_with(f"""
         SELECT product_id, {_child_id('i')} AS variant_id, 'colour' AS option,
                CASE WHEN i % 2 = 0 THEN 'S' ELSE 'M' END AS value

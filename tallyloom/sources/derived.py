@@ -289,6 +289,28 @@ def _revised_feed(raw) -> DataFrame:
     )
 
 
+def _drifted_feed(raw) -> DataFrame:
+    """A delivery by another version of the sender: fields that are new, moved or of another kind."""
+    variant = (
+        "named_struct('title', p_name, 'sku', array(p_brand), "
+        "'options', array(named_struct('option', 'size', 'value', 'S', 'unit', 'EU')))"
+    )
+    fields = {
+        "title": "p_name",
+        "colour": "p_brand",
+        "price": "named_struct('amount', p_size)",
+        "images": _items(4, "p_size % 4", "named_struct('src', 'a', 'depth', i)"),
+        "videos": "if(p_size % 2 = 0, 'none', NULL)",
+        "metadata": "array(named_struct('metafield_id', 1, 'name', array(p_type)))",
+        "variants": f"array({variant})",
+    }
+    payload = ", ".join(f"'{name}', {value}" for name, value in fields.items())
+    return raw("part").selectExpr(
+        "p_partkey AS product_id",
+        f"if(p_type = 'PROMO', concat('[', p_partkey, ']'), to_json(named_struct({payload}))) AS payload",
+    )
+
+
 # --- requests ---------------------------------------------------------------------------------
 
 
@@ -357,6 +379,7 @@ _BUILDERS = {
     "collections": _collections,
     "product_feed": _product_feed,
     "revised_feed": _revised_feed,
+    "drifted_feed": _drifted_feed,
     "avatars": _avatars,
     "voices": _voices,
     "video_requests": _video_requests,

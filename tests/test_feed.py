@@ -278,3 +278,29 @@ def test_products_not_delivered_keep_their_date(make):
     assert untouched.action_date == AS_OF
     delivered = feed.replaced_products(products, parsed(make, {1: BARE}), LATER).first()
     assert delivered.action_date == AS_OF and delivered.action_type is None
+
+
+def test_unknown_fields(make):
+    """Nested lists, null, single items where lists are declared, and payloads that are no object."""
+    payloads = [
+        (3, json.dumps({**FULL, "weight": {"kg": 1}, "images": [{"src": "a", "alt": None, "dpi": 3}, None, "b.png"]})),
+        (2, json.dumps({"title": ["a"], "images": {"src": "x"}, "videos": None, "dpi": 1, "metadata": [{"name": {"x": 1}}]})),
+        (4, json.dumps({"variants": [{"options": [{"option": "size", "extra": 1}, 5]}, {"options": "none"}]})),
+        (5, "{oops"), (6, "7"), (7, None), (8, "{}"), (1, json.dumps({"weight": 2})),
+    ]
+    found = feed.unknown_fields(make("feed", payloads, "product_id bigint, payload string"))
+    assert rows(found, "path", "problem", "found", "n_found", "product_id", "example") == sorted([
+        ("", "no object", "text", 2, 5, "{oops"),
+        ("", "no object", "value", 1, 6, "7"),
+        ("weight", "unknown", "object", 1, 3, '{"kg":1}'),
+        ("weight", "unknown", "value", 1, 1, "2"),
+        ("dpi", "unknown", "value", 1, 2, "1"),
+        ("images[].dpi", "unknown", "value", 1, 3, "3"),
+        ("images[]", "kind", "value", 1, 3, '"b.png"'),
+        ("images", "kind", "object", 1, 2, '{"src":"x"}'),
+        ("title", "kind", "list", 1, 2, '["a"]'),
+        ("variants[].options", "kind", "value", 1, 4, '"none"'),
+        ("variants[].options[]", "kind", "value", 1, 4, "5"),
+        ("variants[].options[].extra", "unknown", "value", 1, 4, "1"),
+    ])
+    assert feed.unknown_fields(make("feed", [], "product_id bigint, payload string")).collect() == []
