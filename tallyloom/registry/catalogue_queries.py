@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tallyloom.operators.rows import page_with_total
-from tallyloom.plans import catalogue, feed
+from tallyloom.plans import catalogue, feed, title_index
 from tallyloom.registry.ctes import sql_with
 from tallyloom.registry.edge import at_edge
 from tallyloom.session import shared_folder
@@ -303,6 +303,15 @@ def _committed_log(t):
     )
 
 
+def _title_search(t):
+    """Postings of all titles, written and looked up."""
+    spark = t["products"].sparkSession
+    folder = shared_folder(spark, "titles")
+    title_index.write_index(title_index.postings(t["products"]), folder)
+    found = title_index.search_titles(t["products"], *title_index.read_index(spark, folder), "RED%20w")
+    return found.select(*COLUMNS)
+
+
 def _children(t):
     nested = catalogue.with_children(_stored(t), t["products"])
     return nested.select("id", "title", "part", *catalogue.CHILD_KINDS)
@@ -347,6 +356,7 @@ _QUERIES = {
     "product_change_log": _product_log,
     "product_change_log_committed": _committed_log,
     "product_buckets": _bucketed,
+    "product_search_title_indexed": _title_search,
 }
 
 
@@ -507,6 +517,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         **fresh,
     )
+    found["product_search_title_indexed"] = found["product_search_title"]
     left = "product_id IN (SELECT id FROM products WHERE inventory_quantity > 10)"
     found["product_buckets"] = sql_with(
         """SELECT 'products' AS child, id AS product_id, CAST(1 AS BIGINT) AS n_rows

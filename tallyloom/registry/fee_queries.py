@@ -9,12 +9,13 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.rows import any_equal
+from tallyloom.operators.rows import any_equal, any_equal_typed
 from tallyloom.plans import fees, rollup
 from tallyloom.registry.ctes import sql_with
 from tallyloom.registry.edge import at_edge
-from tallyloom.session import ensure_checkpoint_dir
+from tallyloom.session import ensure_checkpoint_dir, shared_folder
 from tallyloom.sources.derived import DerivedTables
+from tallyloom.sources.sinks import write_searchable
 
 SCOPE_IDS = {"all": None, "course": 7, "teacher": 10, "lecture": 201}
 MONTH = fees.Month(1997, 5)
@@ -238,6 +239,14 @@ def _rollup_reports(t) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def _searched(t) -> DataFrame:
+    """The record listing written for searching, and the files searched."""
+    base = fees.share_base(t)
+    folder = shared_folder(base.sparkSession, "records")
+    write_searchable(base, folder)
+    return any_equal_typed(base.sparkSession.read.schema(base.schema).parquet(folder), SEARCH_VALUE)
+
+
 def _report_query(part: str, scope: str, span: str):
     def run(spark, folder):
         report = fees.share_report(
@@ -278,6 +287,7 @@ def queries() -> dict:
     found["share_any_search"] = _on_all(
         lambda t: any_equal(fees.share_base(t), SEARCH_VALUE)
     )
+    found["share_any_search_typed"] = _on_all(_searched)
     return found
 
 
@@ -298,5 +308,5 @@ def oracle_sql() -> dict[str, str]:
     found["share_rollup"] = sql_with(ROLLUP_SQL, facts=facts)
     found["share_rollup_reports"] = sql_with(REPORTS_SQL, facts=facts, rolled=ROLLUP_SQL)
     found["share_rollup_merged"] = sql_with(ROLLUP_SQL, later=LATER_SQL, facts=FACTS_SQL.format(fees="later"))
-    found["share_any_search"] = sql_with(SEARCH_SQL.format(v=SEARCH_VALUE), base=base)
+    found["share_any_search"] = found["share_any_search_typed"] = sql_with(SEARCH_SQL.format(v=SEARCH_VALUE), base=base)
     return found
