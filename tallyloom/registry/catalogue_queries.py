@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators.rows import page_with_total
+from tallyloom.operators.rows import page_by_rank, page_with_total
 from tallyloom.plans import catalogue, feed, title_index
 from tallyloom.registry.ctes import sql_with
 from tallyloom.registry.edge import at_edge
@@ -333,8 +333,14 @@ def _page(t):
     return page_with_total(found, 2, direction="desc").select(*COLUMNS, "total")
 
 
+def _page_by_rank(t):
+    found = catalogue.list_products(t, {"account_id": 5})
+    return page_by_rank(found, 2, direction="desc", with_total=True).select(*COLUMNS, "total")
+
+
 _QUERIES = {
     "product_page": _page,
+    "product_page_by_rank": _page_by_rank,
     "product_page_past_the_end": _past_the_end,
     "product_listing": _listing,
     "product_by_id": lambda t: catalogue.by_id(t, 42).select(*COLUMNS),
@@ -517,6 +523,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         **fresh,
     )
+    found["product_page_by_rank"] = found["product_page"]
     found["product_search_title_indexed"] = found["product_search_title"]
     left = "product_id IN (SELECT id FROM products WHERE inventory_quantity > 10)"
     found["product_buckets"] = sql_with(
