@@ -49,6 +49,7 @@ def shard_rows(
     probes: int = 1024,
     leaf_rows: int = 1000,
     cell_rows: int = 1000,
+    row: str | None = None,
 ) -> DataFrame:
     """Adds `shard` (0 to shards - 1, near equal sums of `size`) and `slot` (gapless per shard).
 
@@ -57,15 +58,17 @@ def shard_rows(
     together while their bytes are at most `tolerance` of an even share; a larger group is cut
     between values of `minor`. A group, or a value of `minor` in a larger group, goes to the shard
     in which the middle of its bytes falls, so a shard differs from an even share by no more than
-    the tolerance and the size of one row. Rows equal in key and minor stay together. The rows are
-    read once in each round: give a stored, narrow table. An empty table gives an empty result.
+    the tolerance and the size of one row. Rows equal in key and minor stay together; `row`, if
+    given, is a long that tells them apart, so that any number of them are numbered by many tasks.
+    The rows are read once in each round: give a stored, narrow table. An empty table gives an empty
+    result.
     """
     total = rows.agg(F.sum(size)).first()[0] or 0
     # The middle of a unit is (2 * before + bytes) / 2; goal k of n is reached at total * k / n.
     goals = [2 * total * k for k in range(1, shards)] if total else []
     splitters = _find_splitters(rows, shards, total, goals, key, minor, size, tolerance, probes, leaf_rows)
     dealt = rows.withColumn("shard", _shard_of(splitters, F.col(key), F.col(minor)))
-    return _with_slots(dealt, key, minor, cell_rows)
+    return _with_slots(dealt, key, minor, cell_rows, row)
 
 
 def _shard_of(splitters: list[Splitter], key: Column, minor: Column) -> Column:
@@ -76,21 +79,22 @@ def _shard_of(splitters: list[Splitter], key: Column, minor: Column) -> Column:
     return reduce(lambda a, b: a + b, passed, F.lit(0)).cast("int")
 
 
-def _with_slots(dealt: DataFrame, key: str, minor: str, cell_rows: int) -> DataFrame:
+def _with_slots(dealt: DataFrame, key: str, minor: str, cell_rows: int, row: str | None) -> DataFrame:
     """Numbers the rows of a shard in cells, so that no task has to hold a whole shard.
 
     The offsets of the cells are broadcast: at most shards x MOST_CELLS rows.
     """
     largest = dealt.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
     cells = min(MOST_CELLS, max(1, -(-largest // cell_rows)))
-    celled = dealt.withColumn("_cell", F.pmod(F.col(minor), F.lit(cells)).cast("int"))
+    spread = F.xxhash64(minor, row) if row else F.col(minor)
+    celled = dealt.withColumn("_cell", F.pmod(spread, F.lit(cells)).cast("int"))
     before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         celled.groupBy("shard", "_cell")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select("shard", "_cell", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     )
-    within = Window.partitionBy("shard", "_cell").orderBy(key, minor)
+    within = Window.partitionBy("shard", "_cell").orderBy(key, minor, *([row] if row else []))
     return (
         celled.withColumn("_place", F.row_number().over(within))
         .join(F.broadcast(offsets), ["shard", "_cell"])

@@ -3,7 +3,9 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallyloom.llm import queries, sharding
 from tallyloom.llm.sharding import shard_rows
 
 SCHEMA = "key bigint, minor bigint, size bigint, other string"
@@ -55,3 +57,28 @@ def test_repeated_rows_stay_together_and_empty_table(spark):
     assert len(got) == 7
     assert len({r.shard for r in got if r.key == 5}) == 1
     assert shard_rows(spark.createDataFrame([], SCHEMA), 3, "key", "minor", "size").count() == 0
+
+
+def test_rows_without_an_id_are_spread(spark, tmp_path):
+    """All rows lack an id, a third of them hold one text: shards stay even, slots gapless."""
+    rows = [(None, "same text" if i % 3 == 0 else f"text {i}", "x", "clash") for i in range(3_000)]
+    schema = "doc_id bigint, text string, row string, minor string"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op1_sharding(spark, str(tmp_path)).collect()
+    sizes = {}
+    for row in found:
+        sizes.setdefault(row.shard, []).append(row)
+    assert sorted(sizes) == list(range(24)) and len(found) == 3_000
+    total = [sum(r.size for r in rows) for rows in sizes.values()]
+    assert max(total) - min(total) <= 0.06 * sum(total) / 24
+    assert all(sorted(r.slot for r in rows) == list(range(len(rows))) for rows in sizes.values())
+
+
+def test_rows_of_one_key_fill_many_cells(spark):
+    rows = [(5, 7, 1, i) for i in range(500)]
+    frame = spark.createDataFrame(rows, "key bigint, minor bigint, size bigint, row bigint")
+    dealt = frame.withColumn("shard", F.lit(0))
+    plan = sharding._with_slots(dealt, "key", "minor", 10, "row")
+    assert sorted(r.slot for r in plan.collect()) == list(range(500))
+    cells = frame.select(F.pmod(F.xxhash64("minor", "row"), F.lit(50)).alias("cell")).groupBy("cell").count()
+    assert cells.agg(F.max("count")).first()[0] < 40
