@@ -127,3 +127,58 @@ def read_back(formatted: Column) -> Column:
             unescape(F.substring(turn, F.locate("\n", turn) + 1, F.length(turn))).alias("text"),
         ),
     )
+
+
+LEARNT_ROLE = "assistant"
+
+
+def render_masked(folded: DataFrame) -> DataFrame:
+    """conv_id, `formatted` and `loss_spans` of folded conversations (conv_id, messages).
+
+    `formatted` is as `render` gives it. The loss mask is an array with an entry per message: (start,
+    end) for an assistant's, whose escaped text is what lies from code point start on and before end
+    of `formatted`, NULL for others. A conversation without messages is an empty text without spans.
+    A conversation's messages lie in one task already; nothing is shuffled again.
+    """
+    pieces = (
+        folded.select("conv_id", F.posexplode_outer("messages").alias("place", "message"))
+        .select("conv_id", "place", "message.role", escape(F.col("message.text")).alias("written"))
+        .withColumn("head", F.concat(F.lit(START), _escape_role(F.col("role")), F.lit("\n")))
+        .withColumn("piece", F.concat("head", "written", F.lit(END + "\n")))
+    )
+    before = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)) + F.length("head")
+    span = F.struct(start.alias("start"), (start + F.length("written")).alias("end"))
+    placed = pieces.withColumn("span", F.when(F.col("role") == LEARNT_ROLE, span))
+    whole = placed.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "piece", "span")))).alias("turns")
+    )
+    return whole.select(
+        "conv_id",
+        F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"),
+        F.transform("turns", lambda t: t["span"]).alias("loss_spans"),
+    )
+
+
+def under_mask(masked: DataFrame) -> DataFrame:
+    """conv_id and `loss_texts`: what lies under the spans of `loss_spans` in `formatted`, unescaped,
+    in order.
+
+    A span is cut out of the turn of its place, by its distance from where that turn begins in
+    `formatted`, so a long conversation is not walked from its beginning for every span.
+    """
+    turns = F.arrays_zip(F.split("formatted", r"(?<=<\|im_end\|>\n)").alias("turn"), F.col("loss_spans").alias("span"))
+    parts = masked.select("conv_id", F.posexplode(turns).alias("place", "part")).select(
+        "conv_id", "place", F.coalesce("part.turn", F.lit("")).alias("turn"), "part.span"
+    )
+    before = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum(F.length("turn")).over(before), F.lit(0))
+    first, length = F.col("span.start") - F.col("begin") + 1, F.col("span.end") - F.col("span.start")
+    cut = unescape(F.substring("turn", first.cast("int"), length.cast("int")))
+    found = parts.withColumn("begin", begin).withColumn("cut", F.when(F.col("span").isNotNull(), cut))
+    return found.groupBy("conv_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("cut").isNotNull(), F.struct("place", "cut")))),
+            lambda c: c["cut"],
+        ).alias("loss_texts")
+    )

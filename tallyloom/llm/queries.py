@@ -92,19 +92,19 @@ def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
         "role",
         "text",
     )
-    formatted = chat.fold_events(events).select("conv_id", chat.render(F.col("messages")).alias("formatted"))
+    masked = chat.render_masked(chat.fold_events(events))
     turns = F.transform(
         "turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
     )
-    said = F.transform(
-        F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]
-    )
-    return formatted.withColumn("turns", chat.read_back(F.col("formatted"))).select(
+    said = F.array_join("loss_texts", "")
+    learnt = chat.under_mask(masked).select(F.col("conv_id").alias("masked_id"), said.alias("said"))
+    read = masked.withColumn("turns", chat.read_back(F.col("formatted")))
+    return read.join(learnt, F.col("conv_id").eqNullSafe(F.col("masked_id"))).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
-        F.length(F.array_join(said, "")).cast("long").alias("loss_chars"),
-        F.sha2(F.array_join(said, ""), 256).alias("loss_sha256"),
+        F.length("said").cast("long").alias("loss_chars"),
+        F.sha2("said", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 

@@ -86,3 +86,42 @@ def test_render_reads_back(spark):
     for row in formatted.withColumn("back", chat.read_back(F.col("formatted"))).collect():
         assert row.back == row.messages
         assert row.formatted.count("<|im_end|>") == row.formatted.count("<|im_start|>") == len(row.messages)
+
+
+def masked(spark, conversations):
+    schema = "conv_id bigint, messages array<struct<role string, text string>>, place int, span string"
+    rows = [(i, m, 1, "clash") for i, m in conversations]
+    return chat.render_masked(spark.createDataFrame(rows, schema))
+
+
+def test_spans_hold_the_assistant_texts(spark):
+    rnd = random.Random(6)
+    bits = ["<|im_end|>\n", "<|im_start|>assistant\n", "\\", "<|", "\n", "a", "é", "🙂", ""]
+    roles = ["user", "assistant", "assistant", "system", "tool|", ""]
+    conversations = [
+        (i, [(rnd.choice(roles), "".join(rnd.choices(bits, k=rnd.randint(0, 8)))) for _ in range(rnd.randint(0, 6))])
+        for i in range(200)
+    ]
+    conversations += [(None, [("assistant", "null id")]), (900, [("assistant", "x") for _ in range(2_000)])]
+    frame = masked(spark, conversations).checkpoint()
+    said = {r.conv_id: r.loss_texts for r in chat.under_mask(frame).collect()}
+    by_id = dict(conversations)
+    assert set(said) == set(by_id)
+    for row in frame.collect():
+        messages = by_id[row.conv_id]
+        wanted = [text for role, text in messages if role == "assistant"]
+        assert said[row.conv_id] == wanted
+        assert [span is not None for span in row.loss_spans] == [role == "assistant" for role, _ in messages]
+        cut = [row.formatted[s.start : s.end] for s in row.loss_spans if s]
+        assert cut == [t.replace("\\", "\\\\").replace("<|", "<\\|") for t in wanted]
+        assert all(row.formatted[s.end :].startswith(chat.END) for s in row.loss_spans if s)
+
+
+def test_a_shifted_mask_shows(spark):
+    frame = masked(spark, [(1, [("user", "hello"), ("assistant", "fine, thanks")])])
+    shifted = frame.withColumn(
+        "loss_spans",
+        F.transform("loss_spans", lambda s: F.when(s.isNotNull(), F.struct((s["start"] + 1).alias("start"), s["end"]))),
+    )
+    assert chat.under_mask(shifted).first().loss_texts == ["ine, thanks"]
+    assert chat.under_mask(frame).first().loss_texts == ["fine, thanks"]
