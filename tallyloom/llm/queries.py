@@ -96,17 +96,20 @@ def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     turns = F.transform(
         "turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
     )
-    said = F.array_join("loss_texts", "")
-    learnt = chat.under_mask(masked).select(F.col("conv_id").alias("masked_id"), said.alias("said"))
-    read = masked.withColumn("turns", chat.read_back(F.col("formatted")))
-    return read.join(learnt, F.col("conv_id").eqNullSafe(F.col("masked_id"))).select(
+    read = masked.withColumn("turns", chat.read_back(F.col("formatted"))).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+    # digests are joined, not texts
+    said = chat.under_mask(masked).withColumn("said", F.array_join("loss_texts", ""))
+    learnt = said.select(
+        F.col("conv_id").alias("masked_id"),
         F.length("said").cast("long").alias("loss_chars"),
         F.sha2("said", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
     )
+    return read.join(learnt, F.col("conv_id").eqNullSafe(F.col("masked_id"))).drop("masked_id")
 
 
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
