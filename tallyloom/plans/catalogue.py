@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from tallyloom.functions.columns import day_of, url_decoded
 from tallyloom.functions.fixed_values import LIVE
 from tallyloom.operators.rows import id_order, page_with_total, require_one
+from tallyloom.sources.layout import days_within
 
 Tables = Mapping[str, DataFrame]
 
+# Columns whose ranges a search of products asks for, together or alone.
+LAYOUT = ("price", "created_at")
+
 # Children of a product that a product listing carries along.
 CHILD_KINDS = ("images", "documents", "metadata", "options", "variants")
 
@@ -29,7 +33,7 @@ def search(tables: Tables, products: DataFrame, params: Mapping[str, object]) ->
     if "q" in given:
         products = products.filter(title_contains(str(given["q"])))
     products = products.filter(price_between(given.get("min_price"), given.get("max_price")))
-    products = products.filter(created_between(given.get("start"), given.get("end")))
+    products = products.filter(created_between(products, given.get("start"), given.get("end")))
     if "is_published" in given:
         products = products.filter(F.col("published_scope") == 1)
     if "category" in given:
@@ -57,18 +61,14 @@ def price_between(low, high) -> Column:
     return at_least & (F.col("price") <= F.lit(str(high)).cast("decimal(18,2)"))
 
 
-def created_between(start: str | None, end: str | None) -> Column:
+def created_between(products: DataFrame, start: str | None, end: str | None) -> Column:
     """Created on a day from ``start`` to ``end``, each optional and included.
 
     Written as bounds on the plain column, not on its day, so that they reach the file scan.
     """
-    condition = F.lit(True)
-    if start:
-        condition = condition & (F.col("created_at") >= day_of(start).cast("timestamp_ntz"))
-    if end:
-        after = F.date_add(day_of(end), 1).cast("timestamp_ntz")
-        condition = condition & (F.col("created_at") < after)
-    return condition
+    return days_within(
+        products, "created_at", day_of(start) if start else None, day_of(end) if end else None
+    )
 
 
 def in_categories(tables: Tables, products: DataFrame, ids: str) -> DataFrame:

@@ -14,6 +14,8 @@ from tallyloom.session import shared_folder
 from tallyloom.sources.buckets import BucketedTables, write_buckets
 from tallyloom.sources.change_log import append_change_log, read_change_log
 from tallyloom.sources.derived import DerivedTables
+from tallyloom.sources.layout import read_interleaved, write_interleaved
+from tallyloom.sources.schemas import TABLE_SCHEMAS
 
 AS_OF = dt.datetime(2024, 1, 10, 8, 30)
 ANCHOR = "prd-7"
@@ -312,6 +314,24 @@ def _title_search(t):
     return found.select(*COLUMNS)
 
 
+# the same searches on the snapshot in the order of both columns
+IN_LAYOUT = ("product_search_price", "product_search_created", "product_search_combined")
+
+
+def _in_layout(name):
+    params, live_only, _ = SEARCHES[name]
+
+    def search(t):
+        spark = t["products"].sparkSession
+        folder = shared_folder(spark, "layout")
+        write_interleaved(t["products"], catalogue.LAYOUT, folder)
+        stored = read_interleaved(spark, folder, TABLE_SCHEMAS["products"], catalogue.LAYOUT)
+        tables = {"products": stored, "collections": t["collections"], "businesses": t["businesses"]}
+        return catalogue.list_products(tables, params, live_only).select(*COLUMNS)
+
+    return search
+
+
 def _children(t):
     nested = catalogue.with_children(_stored(t), t["products"])
     return nested.select("id", "title", "part", *catalogue.CHILD_KINDS)
@@ -363,6 +383,7 @@ _QUERIES = {
     "product_change_log_committed": _committed_log,
     "product_buckets": _bucketed,
     "product_search_title_indexed": _title_search,
+    **{f"{name}_layout": _in_layout(name) for name in IN_LAYOUT},
 }
 
 
@@ -525,6 +546,7 @@ def oracle_sql() -> dict[str, str]:
     )
     found["product_page_by_rank"] = found["product_page"]
     found["product_search_title_indexed"] = found["product_search_title"]
+    found |= {f"{name}_layout": found[name] for name in IN_LAYOUT}
     left = "product_id IN (SELECT id FROM products WHERE inventory_quantity > 10)"
     found["product_buckets"] = sql_with(
         """SELECT 'products' AS child, id AS product_id, CAST(1 AS BIGINT) AS n_rows
