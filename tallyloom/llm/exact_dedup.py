@@ -6,9 +6,9 @@ never share a name and no hash decides about equality. Then adjacent names are p
 named the same way, level by level, until every document has one name. Documents with the same
 name at the same level are equal, byte for byte.
 
-The names of a frequent block are made in parts: its occurrences are dealt to as many parts as their
-count asks for, every part gets a name, and the names of the parts (few, by the threshold) are
-unified afterwards. A threshold of a share of all occurrences bounds how many blocks that concerns.
+The occurrences of a frequent block are dealt to parts of about a fixed number of rows. Every part gets
+a name; the parts, a thousandth as many rows, are then blocks to be named themselves, in the same way,
+until no block is frequent.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import Scratch
 
-LEAST_HOT = 1000
-HOT_SHARE = 2000
+PART_ROWS = 1000
+# Frequent blocks that are sent to all tasks, as pairs of longs. Beyond a thousand times a million
+# occurrences the limit of a part grows, so that no more can be frequent.
+MOST_HOT = 1_000_000
 
 
 def name_documents(
@@ -99,43 +101,47 @@ def name_documents(
 
 def _with_names(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Replaces `content` by `name`, a long; equal contents get equal names, others never do."""
-    digests = rows.groupBy(F.xxhash64("content").alias("digest")).agg(F.count(F.lit(1)).alias("rows"))
+    numbered = rows.withColumn("number", F.monotonically_increasing_id())
+    named = _named(numbered, scratch)
+    return named.drop("number")
+
+
+def _named(numbered: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same for rows with a `number` of their own, which it keeps; a name is one of the numbers."""
+    digests = numbered.groupBy(F.xxhash64("content").alias("digest")).agg(F.count(F.lit(1)).alias("rows"))
     digests = scratch.keep(digests)
-    total = digests.agg(F.sum("rows")).first()[0] or 0
-    threshold = max(LEAST_HOT, total // HOT_SHARE)
-    # at most HOT_SHARE digests can pass the threshold: a bounded broadcast
-    hot = digests.filter(F.col("rows") > threshold).select(
-        "digest", F.ceil(F.col("rows") / threshold).alias("parts")
+    total, most = digests.agg(F.sum("rows"), F.max("rows")).first()
+    most_rows = max(PART_ROWS, (total or 0) // MOST_HOT)
+    # at most MOST_HOT digests can be above it: a bounded broadcast
+    hot = digests.filter(F.col("rows") > most_rows).select(
+        "digest", F.ceil(F.col("rows") / most_rows).alias("parts")
     )
-    numbered = (
-        rows.withColumn("number", F.monotonically_increasing_id())
-        .withColumn("digest", F.xxhash64("content"))
+    dealt = (
+        numbered.withColumn("digest", F.xxhash64("content"))
         .join(F.broadcast(hot), "digest", "left")
         .withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("number"), "parts")))
     )
     same = Window.partitionBy("content", "part")
-    sorted_parts = scratch.keep(
-        numbered.withColumn("name", F.min("number").over(same)).select(
-            "doc_id",
-            "row",
-            "sha",
-            "size",
-            "place",
+    others = [name for name in numbered.columns if name != "content"]
+    by_part = scratch.keep(
+        dealt.withColumn("name", F.min("number").over(same)).select(
+            *others,
             "name",
             F.when(F.col("part").isNotNull() & (F.col("name") == F.col("number")), F.col("content"))
             .alias("of_part"),
         )
     )
-    # one row for each part of a hot block: at most 2 * HOT_SHARE, as the parts hold most of a threshold
-    parts = sorted_parts.filter("of_part IS NOT NULL").select("name", "of_part")
-    unified = (
-        parts.withColumn("one", F.min("name").over(Window.partitionBy("of_part")))
-        .filter("one <> name")
-        .select("name", "one")
+    if (most or 0) <= most_rows:
+        return by_part.drop("of_part")
+    # one row for each part of a frequent block, numbered by the part's name
+    parts = by_part.filter("of_part IS NOT NULL").select(
+        F.col("name").alias("number"), F.col("of_part").alias("content")
     )
+    unified = _named(parts, scratch).select(F.col("number").alias("name"), F.col("name").alias("one"))
+    # stored on both sides, and no part has many more rows than the limit
     return (
-        sorted_parts.drop("of_part")
-        .join(F.broadcast(unified), "name", "left")
+        by_part.drop("of_part")
+        .join(unified.filter("one <> name"), "name", "left")
         .withColumn("name", F.coalesce("one", "name"))
         .drop("one")
     )
