@@ -1,13 +1,14 @@
 """Benchmark decontamination by greedy string tiling.
 
 Texts and benchmark items are word sequences (letters, digits and all beyond ASCII, in lower case).
-Runs of `least` words that an item and a text share are the seeds. Where the item's words under seeds
+Runs of `least` words that an item and a text share are the seeds; a shorter item is one seed itself. Where the item's words under seeds
 could reach the threshold, the pair is tiled: the longest run of words that is free in both is found by
-running Karp-Rabin hashes and marked, again and again, until no run of `least` words is left. Coverage is
+running Karp-Rabin hashes and marked, again and again, until no run as long as a seed is left. Coverage is
 the share of the item's words under tiles, so a passage is found with its sentences in any order.
 
 The items are the query set: they are taken in blocks of bounded size, each of which is sent to the
-tasks and held against all texts. The texts are never shuffled.
+tasks and held against all texts. The texts are never shuffled. What a block gives is written before the
+next one is sent, so a worker holds one block at a time and the driver two.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import Scratch
 from tallyloom.llm.words import BASE, INVERSE, mix, powers_of, runs, slices, table, words
 
 WORD_BYTES = table([b for b in range(256) if chr(b).isalnum() and b < 128 or b >= 128])
@@ -32,54 +35,59 @@ def word_hashes(text: str) -> np.ndarray:
     return words(data, np.array([0, len(data)]), WORD_BYTES).hashes
 
 
-@dataclass
-class Items:
-    """A block of benchmark items with their seeds, sorted."""
-
-    ids: list
-    words: list[np.ndarray]
-    least: int
+class Seeds:
+    """The runs of one length of the items of a block, sorted."""
 
-    def __post_init__(self):
-        seeds, owners, places = [], [], []
-        for number, own in enumerate(self.words):
-            hashes = _runs_of(own, self.least)
-            seeds.append(hashes)
-            owners.append(np.full(len(hashes), number))
-            places.append(np.arange(len(hashes)))
-        seeds, owners, places = (
-            np.concatenate([*x, np.zeros(0, kind)])
-            for x, kind in ((seeds, np.uint64), (owners, np.int64), (places, np.int64))
-        )
+    def __init__(self, items: list[tuple[int, np.ndarray]], length: int):
+        self.length = length
+        hashes = [_runs_of(own, length) for _, own in items]
+        sizes = [len(runs) for runs in hashes]
+        seeds = np.concatenate(hashes)
+        owners = np.repeat(np.array([number for number, _ in items], np.int32), sizes)
+        places = np.concatenate([np.arange(size, dtype=np.int32) for size in sizes])
         order = np.argsort(seeds, kind="stable")
-        self.seeds = seeds[order].astype(np.uint64)
-        self.owners, self.places = owners[order].astype(np.int64), places[order].astype(np.int64)
+        self.seeds, self.owners, self.places = seeds[order], owners[order], places[order]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self.seeds & np.uint64((1 << FILTER_BITS) - 1)] = True
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
         """Which of the runs are seeds."""
         possible = np.flatnonzero(self.filter[hashes & np.uint64((1 << FILTER_BITS) - 1)])
-        if not len(possible) or not len(self.seeds):
-            return possible[:0]
+        if not len(possible):
+            return possible
         place = np.minimum(np.searchsorted(self.seeds, hashes[possible]), len(self.seeds) - 1)
         return possible[self.seeds[place] == hashes[possible]]
 
-    def candidates(self, seeds: np.ndarray, threshold: float) -> list[int]:
+
+@dataclass
+class Items:
+    """A block of benchmark items, none of them without words, with their seeds by length."""
+
+    ids: list
+    words: list[np.ndarray]
+    least: int
+
+    def __post_init__(self):
+        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for number, own in enumerate(self.words):
+            by_length.setdefault(min(self.least, len(own)), []).append((number, own))
+        self.seeds = [Seeds(items, length) for length, items in sorted(by_length.items())]
+
+    def candidates(self, seeds: Seeds, found: np.ndarray, threshold: float) -> list[int]:
         """Items whose words under the given seeds reach the threshold."""
-        first = np.searchsorted(self.seeds, seeds, side="left")
-        last = np.searchsorted(self.seeds, seeds, side="right")
+        first = np.searchsorted(seeds.seeds, found, side="left")
+        last = np.searchsorted(seeds.seeds, found, side="right")
         rows = np.concatenate([np.arange(a, b) for a, b in zip(first, last, strict=True)])
-        found = []
-        for item in np.unique(self.owners[rows]):
+        reached = []
+        for item in np.unique(seeds.owners[rows]):
             size = len(self.words[item])
             under = np.zeros(size + 1, np.int64)
-            own = self.places[rows[self.owners[rows] == item]]
+            own = seeds.places[rows[seeds.owners[rows] == item]]
             np.add.at(under, own, 1)
-            np.add.at(under, own + self.least, -1)
+            np.add.at(under, own + seeds.length, -1)
             if (np.cumsum(under)[:size] > 0).sum() >= threshold * size:
-                found.append(int(item))
-        return found
+                reached.append(int(item))
+        return reached
 
 
 def _runs_of(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -159,7 +167,7 @@ def item_blocks(items: DataFrame, item_id: str, text: str, least: int, block_wor
     rows = items.select(F.col(item_id).cast("long"), F.lower(F.coalesce(F.col(text), F.lit(""))))
     for number, content in rows.toLocalIterator():
         own = word_hashes(content)
-        if len(own) < least:
+        if not len(own):
             continue
         if ids and size + len(own) > block_words:
             yield Items(ids, found, least)
@@ -171,34 +179,34 @@ def item_blocks(items: DataFrame, item_id: str, text: str, least: int, block_wor
         yield Items(ids, found, least)
 
 
-def overlaps(documents: DataFrame, block: Items, text: Column, threshold: float) -> Column:
+def overlaps(block: Broadcast, text: Column, threshold: float) -> Column:
     """A column with the items of a block that each text covers to the threshold or more."""
-    shared = documents.sparkSession.sparkContext.broadcast(block)
 
     @F.arrow_udf(FOUND)
     def find(column: pa.Array) -> pa.Array:
-        items = shared.value
+        items = block.value
         out: list[list[dict]] = [[] for _ in range(len(column))]
         for row, data, offsets in slices(column):
             found = words(data, offsets, WORD_BYTES)
-            hashes, places = runs(found, items.least)
-            hits = items.hits(hashes)
-            of_text = np.searchsorted(found.first, places[hits], side="right") - 1
-            for number in np.unique(of_text):
-                seeds = np.unique(hashes[hits[of_text == number]])
-                own = found.hashes[found.first[number] : found.first[number + 1]]
-                for item in items.candidates(seeds, threshold):
-                    tiles = tile(own, items.words[item], items.least)
-                    size, covered = len(items.words[item]), sum(t[2] for t in tiles)
-                    if covered >= threshold * size:
-                        out[row + number].append(
-                            {
-                                "item_id": items.ids[item],
-                                "covered": covered,
-                                "n_words": size,
-                                "n_tiles": len(tiles),
-                            }
-                        )
+            for seeds in items.seeds:
+                hashes, places = runs(found, seeds.length)
+                hits = seeds.hits(hashes)
+                of_text = np.searchsorted(found.first, places[hits], side="right") - 1
+                for number in np.unique(of_text):
+                    shared = np.unique(hashes[hits[of_text == number]])
+                    own = found.hashes[found.first[number] : found.first[number + 1]]
+                    for item in items.candidates(seeds, shared, threshold):
+                        tiles = tile(own, items.words[item], seeds.length)
+                        size, covered = len(items.words[item]), sum(t[2] for t in tiles)
+                        if covered >= threshold * size:
+                            out[row + number].append(
+                                {
+                                    "item_id": items.ids[item],
+                                    "covered": covered,
+                                    "n_words": size,
+                                    "n_tiles": len(tiles),
+                                }
+                            )
         kind = pa.list_(
             pa.struct(
                 [("item_id", pa.int64()), ("covered", pa.int32()), ("n_words", pa.int32()), ("n_tiles", pa.int32())]
@@ -209,6 +217,22 @@ def overlaps(documents: DataFrame, block: Items, text: Column, threshold: float)
     return find(text)
 
 
+def sent_blocks(
+    benchmark: DataFrame, item_id: str, text: str, least: int, block_words: int
+) -> Iterator[tuple[Broadcast, bool]]:
+    """Each block on all tasks, and whether it is the last one. Any other is taken back from the tasks
+    when the next one is asked for, so what is made of it must be written by then."""
+    blocks = item_blocks(benchmark, item_id, text, least, block_words)
+    block = next(blocks, None)
+    while block is not None:
+        following = next(blocks, None)
+        sent = benchmark.sparkSession.sparkContext.broadcast(block)
+        yield sent, following is None
+        if following is not None:
+            sent.destroy()
+        block = following
+
+
 def contaminated(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -219,24 +243,25 @@ def contaminated(
     least: int = 5,
     threshold: float = 0.5,
     block_words: int = 1_000_000,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """A row for every text and item whose coverage reaches the threshold.
 
     doc_id, item_id, covered (words of the item under tiles), n_words (of the item), n_tiles, coverage.
-    Items of fewer than `least` words, null and empty texts match nothing; an empty benchmark or table
-    gives no rows; repeated rows on either side give their rows again.
+    An item of fewer than `least` words is matched by a text that holds it whole. Null texts and texts or
+    items without words match nothing; an empty benchmark or table gives no rows; repeated rows on either
+    side give their rows again. Other columns, whatever their names, are not read.
     """
-    out = []
+    scratch = scratch or Scratch(documents.sparkSession)
+    out = documents.sparkSession.createDataFrame(
+        [], "doc_id long, item_id long, covered int, n_words int, n_tiles int"
+    )
     narrow = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.lower(text).alias("text"))
-    for block in item_blocks(benchmark, item_id, item_text, least, block_words):
-        hit = narrow.select("doc_id", overlaps(narrow, block, F.col("text"), threshold).alias("found"))
-        out.append(hit.select("doc_id", F.explode("found").alias("found")).select("doc_id", "found.*"))
-    if not out:
-        out = [documents.sparkSession.createDataFrame([], "doc_id long, item_id long, covered int, n_words int, n_tiles int")]
-    united = out[0]
-    for more in out[1:]:
-        united = united.union(more)
-    return united.withColumn("coverage", F.col("covered") / F.col("n_words"))
+    for block, last in sent_blocks(benchmark, item_id, item_text, least, block_words):
+        hit = narrow.select("doc_id", overlaps(block, F.col("text"), threshold).alias("found"))
+        rows = hit.select("doc_id", F.explode("found").alias("found")).select("doc_id", "found.*")
+        out = out.union(rows if last else scratch.keep(rows))
+    return out.withColumn("coverage", F.col("covered") / F.col("n_words"))
 
 
 def without_contaminated(
@@ -248,9 +273,17 @@ def without_contaminated(
     least: int = 5,
     threshold: float = 0.5,
     block_words: int = 1_000_000,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
-    """The rows whose text covers no item to the threshold; no row is moved or joined."""
+    """The rows, with all their columns, whose text covers no item to the threshold.
+
+    No row is moved or joined. Null texts, texts without words and, with an empty benchmark, all rows
+    stay; repeated rows stay or go together.
+    """
+    scratch = scratch or Scratch(documents.sparkSession)
     kept = documents
-    for block in item_blocks(benchmark, item_id, item_text, least, block_words):
-        kept = kept.filter(F.size(overlaps(documents, block, F.lower(text), threshold)) == 0)
+    for block, last in sent_blocks(benchmark, item_id, item_text, least, block_words):
+        kept = kept.filter(F.size(overlaps(block, F.lower(text), threshold)) == 0)
+        if not last:
+            kept = scratch.keep(kept)
     return kept
