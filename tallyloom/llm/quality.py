@@ -125,10 +125,16 @@ def heuristics(m: Measures) -> np.ndarray:
 HEURISTICS = 8
 
 
+# Texts whose features are held at once, as rows of DIMENSIONS numbers.
+ROWS_AT_ONCE = 256
+
+
 def _by_slice(column: pa.Array, width: tuple, kind, one) -> np.ndarray:
     out = np.zeros((len(column), *width), kind)
     for row, data, offsets in slices(column):
-        out[row : row + len(offsets) - 1] = one(data, offsets)
+        for first in range(0, len(offsets) - 1, ROWS_AT_ONCE):
+            part = offsets[first : first + ROWS_AT_ONCE + 1]
+            out[row + first : row + first + len(part) - 1] = one(data[part[0] : part[-1]], part - part[0])
     return out
 
 
@@ -231,7 +237,9 @@ class QualityModel:
         weights = self.weights  # DIMENSIONS + 1 numbers
 
         def one(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-            return 1 / (1 + np.exp(-np.clip(_features(data, offsets) @ weights[:-1] + weights[-1], -30, 30)))
+            # each row is summed by itself, so that its neighbours do not move the last digits
+            total = (_features(data, offsets) * weights[:-1]).sum(1, dtype=np.float64) + weights[-1]
+            return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
         @F.arrow_udf("double")
         def score(column: pa.Array) -> pa.Array:
@@ -241,25 +249,28 @@ class QualityModel:
 
 
 def train(documents: DataFrame, scratch: Scratch, text: str = "text", sample_rows: int = 4000) -> QualityModel:
-    """Estimates the heuristics on all texts and trains the scorer on about `sample_rows` of them.
+    """Estimates the heuristics on all texts and trains the scorer on `sample_rows` distinct ones.
 
-    The sample is drawn by a hash of the row's place, so it has that size however rows repeat. An
+    The sample are the texts with the smallest digests, so it depends on the texts only, neither on
+    their order and files nor on how often one repeats; there are fewer if the table has fewer. An
     empty table gives a scorer that keeps everything.
     """
+    read = documents.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # counted by digest in every task before the shuffle
     voted = scratch.keep(
-        documents.select(F.col(text).alias("text"), F.monotonically_increasing_id().alias("row")).select(
-            _votes_column(F.col("text")).alias("votes"), "row"
-        )
+        read.select(hash62("text").alias("digest"), _votes_column(F.col("text")).alias("votes"))
+        .groupBy("digest", "votes")
+        .agg(F.count(F.lit(1)).alias("rows"))
     )
     # at most 3 ** HEURISTICS patterns
-    patterns = {row[0]: row[1] for row in voted.groupBy("votes").count().collect()}
+    patterns = {row[0]: row[1] for row in voted.groupBy("votes").agg(F.sum("rows")).collect()}
     posteriors = estimate(patterns)
-    total = sum(patterns.values())
-    if not total:
+    if not patterns:
         weights = np.zeros(DIMENSIONS + 1, np.float32)
         weights[-1] = -30
         return QualityModel(posteriors, weights)
-    below = int((1 << 62) * min(1.0, sample_rows / total))
+    # sample_rows longs
+    last = voted.select("digest").distinct().orderBy("digest").limit(sample_rows).agg(F.max("digest")).first()[0]
 
     @F.arrow_udf("binary")
     def features(column: pa.Array) -> pa.Array:
@@ -267,19 +278,22 @@ def train(documents: DataFrame, scratch: Scratch, text: str = "text", sample_row
         return pa.array([row.tobytes() for row in rows], pa.binary())
 
     def fit(sample: pd.DataFrame) -> pd.DataFrame:
+        sample = sample.sort_values("digest", kind="stable")
         target = sample["votes"].map(posteriors).to_numpy(np.float32)
         values = np.frombuffer(b"".join(sample["features"]), np.float16).reshape(len(sample), DIMENSIONS)
         return pd.DataFrame({"weights": [fit_scorer(values, target).tolist()]})
 
+    # of equal texts one stays in each task, and then one in all
     chosen = (
-        documents.select(F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-        .filter(hash62("row") < below)
-        .select(_votes_column(F.col("text")).alias("votes"), features(F.col("text")).alias("features"))
+        read.withColumn("digest", hash62("text"))
+        .filter(F.col("digest") <= last)
+        .groupBy("digest")
+        .agg(F.min("text").alias("text"))
+        .select(
+            "digest", _votes_column(F.col("text")).alias("votes"), features(F.col("text")).alias("features")
+        )
     )
     fitted = chosen.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "weights array<float>").first()
-    # a small table may leave the sample empty: train on all of it then
-    if fitted is None:
-        return train(documents, scratch, text, max(sample_rows, total))
     return QualityModel(posteriors, np.array(fitted[0], np.float32))
 
 
@@ -291,7 +305,8 @@ def classify(
     sample_rows: int = 4000,
     reject_from: float = 0.7,
 ) -> DataFrame:
-    """One row per document: doc_id, score (P(bad)) and kept. Repeated rows keep their rows."""
+    """One row per document: doc_id, score (P(bad)) and kept. Repeated rows keep their rows, a null text
+    counts as empty; equal texts have equal scores, however the table is cut into files."""
     model = train(documents, scratch, text, sample_rows)
     return documents.select(F.col(doc_id).alias("doc_id"), model.score(F.col(text)).alias("score")).withColumn(
         "kept", F.col("score") < reject_from

@@ -51,6 +51,46 @@ def test_every_row_has_a_score(documents, scratch):
     assert not any(r.kept for r in got if r.doc_id is not None and 100 <= r.doc_id < 110)
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables are missing")
+def test_scores_do_not_depend_on_files_or_order(spark, scratch):
+    table = read_table(spark, FOLDER, "documents")
+    found = []
+    for number in (1, 7, 30):
+        cut = scratch.keep(table.repartition(number, F.xxhash64("doc_id", F.lit(number))))
+        found.append({r.doc_id: (r.score, r.kept) for r in classify(cut, scratch).collect()})
+    assert len(found[0]) == table.count()
+    assert found[0] == found[1] == found[2]
+
+
+def test_a_text_that_repeats_is_one_of_the_sample(documents, scratch):
+    """A third of all rows are one text: it neither fills nor empties the sample."""
+    prose = "The quick brown fox jumps over the lazy dog and runs far away into the dark wood. "
+    rows = [(i, prose + f"number {i} is here and then some {i * 7}") for i in range(60)]
+    rows += [(100 + i, f"BUY!! WIN{i}!! " * 30 + "*** $$$ ") for i in range(15)]
+    once = train(documents(rows + [(900, prose)]), scratch)
+    often = train(documents(rows + [(900 + i, prose) for i in range(40)]), scratch)
+    table = documents(rows)
+    for model in (once, often):
+        kept = {r.doc_id: r.score < 0.7 for r in table.select("doc_id", model.score(F.col("text")).alias("score")).collect()}
+        assert all(kept[i] == (i < 100) for i in kept)
+
+
+def test_features_of_many_short_texts_are_made_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    made = []
+
+    def one(data, offsets):
+        made.append(len(offsets) - 1)
+        return quality._features(data, offsets)
+
+    texts = pa.array([f"text {i} of it" for i in range(1000)] + ["", None])
+    whole = quality._by_slice(texts, (quality.DIMENSIONS,), np.float32, one)
+    assert max(made) <= quality.ROWS_AT_ONCE and sum(made) == 1002
+    single = [quality._by_slice(texts[i : i + 1], (quality.DIMENSIONS,), np.float32, quality._features)[0] for i in (0, 300, 999, 1000, 1001)]
+    assert (whole[[0, 300, 999, 1000, 1001]] == np.array(single)).all()
+
+
 def test_empty_table(documents, scratch):
     assert classify(documents([]), scratch).count() == 0
 
