@@ -68,13 +68,15 @@ def keep_dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cover no benchmark item to the threshold."""
-    _scratch(spark)
-    return decontamination.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+    """Documents that cover no benchmark item to the threshold. Null and empty texts stay, repeated rows
+    stay or go together; with an empty benchmark all stay, of an empty table nothing."""
+    benchmark = read_table(spark, sf_dir, "benchmark")
+    return decontamination.without_contaminated(docs, benchmark, scratch=_scratch(spark))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents with their places in sequences."""
+    """Pieces of the remaining documents with their places in sequences. A null or empty text is one piece
+    of the end id, repeated rows are packed each, an empty table gives no piece."""
     return packing.pack(docs, _scratch(spark), SEQUENCE_TOKENS, END_ID, **tokenizer())
 
 
