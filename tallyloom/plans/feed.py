@@ -71,7 +71,10 @@ def parse_feed(feed: DataFrame) -> DataFrame:
 
 def _as_text(feed: DataFrame) -> DataFrame:
     if "sequence" in feed.columns:
-        # a maximum over a struct combines before the shuffle
+        # A maximum over texts is taken in sorted rows, and a scan task may hold any number of payloads:
+        # so rows are dealt to partitions of bounded size first. Dealt by the sequence too, they combine
+        # there before the shuffle to their product, however often it is delivered.
+        feed = feed.hint("rebalance", "product_id", "sequence")
         last = F.max(F.struct("sequence", "payload")).alias("last")
         feed = feed.groupBy("product_id").agg(last).select("product_id", "last.payload")
     parsed = feed.select("product_id", F.from_json("payload", FEED_PAYLOAD).alias("p"))

@@ -261,6 +261,34 @@ def test_last_delivery_counts(make, tables):
     assert loaded["images"].count() == 0
 
 
+def deepest(plan: str) -> str:
+    """What a plan does below its last exchange, in the tasks that read the input."""
+    return plan[plan.rindex("Exchange") :]
+
+
+def test_payloads_are_sorted_in_partitions_of_bounded_size_only(make):
+    """A task that reads the feed holds no payloads, however many it reads."""
+    delivered = make("feed", [(1, 1, "{}")], "product_id bigint, sequence int, payload string")
+    for found in (feed.parse_feed(delivered), feed.field_rejects(delivered)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "payload" in deepest(plan)
+        assert "Sort" not in deepest(plan)
+        assert "REBALANCE_PARTITIONS_BY_COL" in deepest(plan)
+
+
+def test_repeats_ties_and_blanks_of_deliveries(make):
+    """One product delivered very often; equal sequences, blank sequences, payloads and products."""
+    columns = "product_id bigint, sequence int, payload string"
+    title = '{{"title": "{}"}}'.format
+    deliveries = [(1, n % 500, title(f"t{n:04}")) for n in range(2000)]
+    deliveries += [(2, 3, title("b")), (2, 3, title("a")), (2, None, title("z")), (3, 1, title("x")), (3, 2, None)]
+    deliveries += [(4, None, title("n")), (5, 1, None), (5, 1, title("p")), (None, 1, title("q"))]
+    read = feed.parse_feed(make("feed", deliveries, columns)).select("product_id", "title").collect()
+    assert sorted(map(tuple, read), key=str) == sorted(
+        [(1, "t1999"), (2, "b"), (3, None), (4, "n"), (5, "p"), (None, "q")], key=str
+    )
+
+
 def test_repeated_delivery_without_sequence_is_refused(make, tables, stored):
     twice = [(1, json.dumps(UPDATE)), (1, json.dumps({**UPDATE, "title": "x"}))]
     update = feed.parse_feed(make("feed", twice, "product_id bigint, payload string"))
