@@ -110,25 +110,26 @@ def _typed(parsed: DataFrame, name: str) -> Column:
 
 def field_rejects(feed: DataFrame) -> DataFrame:
     """Given numbers that cannot be read: product_id, field (with its list), place and text."""
-    texts = _as_text(feed)
-
-    def of_list(listed: str, numbers: Mapping[str, str]) -> DataFrame:
-        if listed:
-            rows = _items(texts, listed)
-        else:
-            rows = texts.select("product_id", F.lit(0).alias("place"), F.struct(*numbers).alias("item"))
-        checks = []
-        for name, kind in numbers.items():
-            text = F.col(f"item.{name}")
-            unread = F.when((text != "") & _number(text, kind).isNull(), text)
-            field = F.lit(f"{listed}.{name}" if listed else name)
-            checks.append(F.struct(field.alias("field"), unread.alias("text")))
-        place = F.col("place").cast("bigint").alias("place")
-        return rows.select("product_id", place, F.inline(F.array(*checks)))
 
-    found = [of_list(listed, numbers) for listed, numbers in FEED_NUMBERS.items()]
-    rejected = reduce(DataFrame.unionByName, found).filter("text IS NOT NULL")
-    return rejected.select("product_id", "field", "place", "text")
+    def unread(listed: str, item: Column | None, place: Column) -> list[Column]:
+        found = []
+        for name, kind in FEED_NUMBERS[listed].items():
+            text = F.col(f"`{name}`") if item is None else item[name]
+            field = F.lit(f"{listed}.{name}" if listed else name)
+            given = F.when((text != "") & _number(text, kind).isNull(), text)
+            found.append(F.struct(field.alias("field"), place.cast("bigint").alias("place"), given.alias("text")))
+        return found
+
+    def of_list(listed: str) -> Column:
+        if not listed:
+            return F.array(*unread("", None, F.lit(0)))
+        items = F.transform(listed, lambda item, place: F.array(*unread(listed, item, place)))
+        return F.coalesce(F.flatten(items), F.array())
+
+    # all lists in one pass, so that a task holds a payload once
+    checks = F.filter(F.concat(*[of_list(listed) for listed in FEED_NUMBERS]), lambda c: c["text"].isNotNull())
+    rows = _as_text(feed).select("product_id", F.explode_outer(checks).alias("reject"))
+    return rows.filter("reject IS NOT NULL").select("product_id", "reject.field", "reject.place", "reject.text")
 
 
 # Fields that may be of any kind, beside the lists and plain values of the schema.

@@ -276,6 +276,14 @@ def test_payloads_are_sorted_in_partitions_of_bounded_size_only(make):
         assert "REBALANCE_PARTITIONS_BY_COL" in deepest(plan)
 
 
+def test_field_rejects_read_a_payload_once(make):
+    """A union of lists let one task hold the payloads of its partition once per list."""
+    delivered = make("feed", [(1, 1, "{}")], "product_id bigint, sequence int, payload string")
+    plan = feed.field_rejects(delivered)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan
+    assert plan.count("Scan ExistingRDD") == 1
+
+
 def test_repeats_ties_and_blanks_of_deliveries(make):
     """One product delivered very often; equal sequences, blank sequences, payloads and products."""
     columns = "product_id bigint, sequence int, payload string"
@@ -289,6 +297,19 @@ def test_repeats_ties_and_blanks_of_deliveries(make):
     )
 
 
+def test_field_rejects_of_lists_with_blanks(make):
+    payloads = [
+        (1, json.dumps({"images": [None, {"width": "wide", "height": ""}], "variants": None, "price": "much"})),
+        (2, json.dumps({"images": [], "options": [{"position": "x"}, {"position": "1.5"}]})), (3, None), (4, "{oops"),
+    ]
+    found = feed.field_rejects(make("feed", payloads, "product_id bigint, payload string"))
+    assert rows(found, "product_id", "field", "place", "text") == [
+        (1, "images.width", 1, "wide"), (1, "price", 0, "much"),
+        (2, "options.position", 0, "x"), (2, "options.position", 1, "1.5"),
+    ]
+    assert found.schema.simpleString() == "struct<product_id:bigint,field:string,place:bigint,text:string>"
+
+
 def test_repeated_delivery_without_sequence_is_refused(make, tables, stored):
     twice = [(1, json.dumps(UPDATE)), (1, json.dumps({**UPDATE, "title": "x"}))]
     update = feed.parse_feed(make("feed", twice, "product_id bigint, payload string"))
