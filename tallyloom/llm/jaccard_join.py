@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +41,8 @@ MOST_SENT = 4_000_000
 FANOUT = 16
 MOST_GROUPS = 1 << 16
 MOST_COUNT = 15  # counts are kept in four bits
+MOST_JOINED = 512  # points of a tree whose bounds are kept as a matrix
+MOST_LAYERS = 64  # counts that are laid out as layers
 CELL_NUMBERS = 1 << 24  # counts that one cell unpacks at most; more points get fewer groups
 
 
@@ -71,9 +72,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray):
     return hashes, long
 
 
-def _distinct(hashes: np.ndarray, texts: np.ndarray, *first_by: np.ndarray):
-    """Distinct (text, hash) sorted by text, `first_by`, hash; and where each text starts."""
-    order = np.lexsort((hashes, *first_by, texts))
+def _by_text(values: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """The order by text, value: numbers of 16 bits are sorted by counting, which takes a fraction of the time."""
+    if not len(texts) or texts.max() >= 1 << 16:
+        return np.lexsort((values, texts))
+    order = np.argsort(values)
+    return order[np.argsort(texts[order].astype(np.uint16), kind="stable")]
+
+
+def _distinct(hashes: np.ndarray, texts: np.ndarray):
+    """Distinct (text, hash) sorted by text, hash."""
+    order = _by_text(hashes, texts)
     hashes, texts = hashes[order], texts[order]
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (texts[1:] != texts[:-1])
@@ -96,7 +105,7 @@ def _class_ids(hashes, texts, number, seed):
     return first.view(np.int64), second.view(np.int64)
 
 
-SETS = "doc_id bigint, n int, class bigint, proof bigint, piece int, counts binary"
+SETS = "doc_id bigint, digest bigint, n int, class bigint, proof bigint, piece int, counts binary"
 
 
 def _describe(seed: int):
@@ -115,6 +124,7 @@ def _describe(seed: int):
                 yield _batch(
                     [
                         batch.column("doc_id").slice(row, number),
+                        batch.column("digest").slice(row, number),
                         pa.array(np.bincount(texts, minlength=number).astype(np.int32)),
                         pa.array(classes),
                         pa.array(proofs),
@@ -124,7 +134,7 @@ def _describe(seed: int):
                 )
         pieces = counts.reshape(-1, PIECE)
         used = np.flatnonzero(pieces.any(1))
-        empty = [pa.nulls(len(used), k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+        empty = [pa.nulls(len(used), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())]
         rows = pa.array([pieces[p].tobytes() for p in used], pa.binary())
         yield _batch([*empty, pa.array(used.astype(np.int32)), rows], SETS)
 
@@ -151,6 +161,16 @@ def _add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 ENTRIES = "shingle bigint, part int, class bigint, n int"
 
 
+def _rarest_first(hashes: np.ndarray, texts: np.ndarray, frequency: np.ndarray):
+    """What is sorted by text, hash in the order of text, frequency of the group, hash."""
+    of_group = frequency[(hashes & np.uint64((1 << GROUP_BITS) - 1)).astype(np.int64)]
+    if len(hashes) < 1 << 24 and of_group.max(initial=0) < 1 << 39:
+        order = _by_text(of_group << 24 | np.arange(len(hashes)), texts)
+    else:
+        order = np.lexsort((hashes, of_group, texts))
+    return hashes[order], texts[order]
+
+
 def _entries(counted, seed: int, part_rows: int):
     """The rarest shingles of every class, once per task; frequent ones are dealt to parts."""
 
@@ -160,10 +180,9 @@ def _entries(counted, seed: int, part_rows: int):
         for batch in batches:
             for _, data, offsets in slices(batch.column("text")):
                 number = len(offsets) - 1
-                hashes, texts = shingle_sets(data, offsets)
-                of_group = frequency[(hashes & np.uint64((1 << GROUP_BITS) - 1)).astype(np.int64)]
-                hashes, texts = _distinct(hashes, texts, of_group)
+                hashes, texts = _distinct(*shingle_sets(data, offsets))
                 classes, _ = _class_ids(hashes, texts, number, seed)
+                hashes, texts = _rarest_first(hashes, texts, frequency)
                 sizes = np.bincount(texts, minlength=number)
                 ends = np.cumsum(sizes)
                 rank = np.arange(len(hashes)) - (ends - sizes)[texts]
@@ -191,20 +210,21 @@ def _entries(counted, seed: int, part_rows: int):
 
 
 def _of_classes(wanted, seed: int, make):
-    """`make` of the sorted set of each wanted class (all if None), once per task."""
+    """`make` of the sorted set of each class, once per task; of texts with the wanted digests only, if given."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = wanted.value if wanted is not None else None
         seen: set[int] = set()
         for batch in batches:
+            if wanted is not None:
+                batch = batch.filter(pa.array(np.isin(batch.column("digest").to_numpy(), wanted.value)))
             for _, data, offsets in slices(batch.column("text")):
                 number = len(offsets) - 1
                 hashes, texts = _distinct(*shingle_sets(data, offsets))
                 classes, _ = _class_ids(hashes, texts, number, seed)
                 ends = np.cumsum(np.bincount(texts, minlength=number))
                 chosen = []
-                for text in np.flatnonzero(np.isin(classes, asked)) if asked is not None else range(number):
-                    if (name := int(classes[text])) not in seen:
+                for text, name in enumerate(classes.tolist()):
+                    if name not in seen:
                         seen.add(name)
                         chosen.append(text)
                 begins = np.concatenate([[0], ends])
@@ -227,13 +247,14 @@ def count_vector(hashes: np.ndarray) -> bytes:
     return (counts[0::2] << 4 | counts[1::2]).tobytes()
 
 
+# the two counts of each byte
+COUNTS_OF = np.array([[c if c < MOST_COUNT else 1 << 24 for c in divmod(b, 16)] for b in range(256)], np.float32)
+
+
 def folded(vector: bytes, width: int) -> np.ndarray:
     """Counts over fewer groups, as floats: these are exact up to 2^24, which stands for a count that
     is not known any more and bounds nothing."""
-    pairs = np.frombuffer(vector, np.uint8)
-    counts = np.stack([pairs >> 4, pairs & 15], axis=1).ravel().astype(np.float32)
-    counts[counts == MOST_COUNT] = 1 << 24
-    return counts.reshape(-1, width).sum(0)
+    return COUNTS_OF[np.frombuffer(vector, np.uint8)].reshape(-1, width).sum(0)
 
 
 def _width(least: int, rows: int) -> int:
@@ -276,6 +297,57 @@ class RTree:
         return at, shared
 
 
+    def join(self) -> np.ndarray:
+        """The tree joined with itself: the bounds of all pairs of points, -1 where they cannot link."""
+        points, sizes = self.levels[0]
+        bounds = np.full((len(points), len(points)), -1, np.float32)
+        if len(self.levels) == 1:
+            bounds[:] = summed_minima(points, points)
+        else:
+            boxes, least = self.levels[1]
+            leaf_of = np.arange(len(points)) // FANOUT
+            for leaf, near in enumerate(_may_link(summed_minima(boxes, boxes), least)):
+                own = np.flatnonzero(leaf_of == leaf)
+                at = np.flatnonzero(near[leaf_of] & (leaf_of >= leaf))
+                shared = summed_minima(points[own], points[at])
+                bounds[np.ix_(own, at)] = shared
+                bounds[np.ix_(at, own)] = shared.T
+        return np.where(_may_link(bounds, sizes), bounds, -1)
+
+
+def _may_link(shared: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Shared must be >= 3/4 of the union, so >= 3/7 of both sizes, and >= 3/4 of either."""
+    one, two = sizes[:, None], sizes[None, :]
+    return (7 * shared >= 3 * (one + two)) & (4 * shared >= 3 * np.maximum(one, two))
+
+
+def summed_minima(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Of every two rows. The smaller of two counts is the number of layers that both reach."""
+    top = int(min(some.max(), others.max()))
+    if top > MOST_LAYERS:
+        ones = np.ones(some.shape[1], np.float32)
+        return np.stack([np.minimum(others, row) @ ones for row in some])
+    total = np.zeros((len(some), len(others)), np.float32)
+    for layer in range(1, top + 1):
+        total += (some >= layer).astype(np.float32) @ (others >= layer).astype(np.float32).T
+    return total
+
+
+def _spanning(bounds: np.ndarray) -> list[tuple[int, int]]:
+    """A forest of the pairs with a bound: the point with the largest bound to those taken comes next."""
+    bound, by = np.full(len(bounds), -1.0, np.float32), np.zeros(len(bounds), np.int64)
+    found = []
+    for _ in range(len(bounds)):
+        number = int(bound.argmax())
+        if bound[number] >= 0:
+            found.append((number, int(by[number])))
+        bound[number] = -2
+        bounds[:, number] = -3  # taken
+        closer = bounds[number] > bound
+        bound[closer], by[closer] = bounds[number][closer], number
+    return found
+
+
 def survivors(vectors, sizes, roots, sides, spanning: bool) -> list[tuple[int, int]]:
     """Pairs of a list that the bound lets through, of different roots.
 
@@ -297,6 +369,13 @@ def survivors(vectors, sizes, roots, sides, spanning: bool) -> list[tuple[int, i
         own_roots = np.array([roots[i] for i in own])
         own_sides = np.array([sides[i] for i in own])
         tree = RTree(points, own_sizes)
+        if len(own) <= MOST_JOINED:
+            apart = own_roots[:, None] != own_roots
+            across = (own_sides == 0) | (own_sides[:, None] != own_sides)
+            bounds = np.where(apart & across, tree.join(), -1)
+            pairs = _spanning(bounds) if spanning else np.argwhere(np.triu(bounds >= 0, 1))
+            found += [(int(own[one]), int(own[two])) for one, two in pairs]
+            continue
 
         def partners(number, among, points=points, tree=tree, sizes=own_sizes, roots=own_roots, sides=own_sides):
             wanted = among & (roots != roots[number]) & ((sides == 0) | (sides != sides[number]))
@@ -324,18 +403,16 @@ def survivors(vectors, sizes, roots, sides, spanning: bool) -> list[tuple[int, i
 def _surviving(members: DataFrame, points: DataFrame, spanning: bool) -> DataFrame:
     """Distinct pairs (a, b) of classes. members: list, cell, side, class, n, root."""
 
-    def open_list(rows: pd.DataFrame) -> pd.DataFrame:
-        pairs = survivors(
-            rows["made"].tolist(), rows["n"].tolist(), rows["root"].tolist(), rows["side"].tolist(), spanning
-        )
+    def open_list(rows: pa.Table) -> pa.Table:
+        pairs = survivors(*[rows[c].to_pylist() for c in ("made", "n", "root", "side")], spanning)
         names = rows["class"].to_numpy()
         first, second = (np.array([names[p[k]] for p in pairs], np.int64) for k in (0, 1))
-        return pd.DataFrame({"a": np.minimum(first, second), "b": np.maximum(first, second)})
+        return pa.table({"a": np.minimum(first, second), "b": np.maximum(first, second)})
 
     return (
         members.join(points, "class")
         .groupBy("list", "cell")
-        .applyInPandas(open_list, "a bigint, b bigint")
+        .applyInArrow(open_list, "a bigint, b bigint")
         .distinct()
     )
 
@@ -362,15 +439,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _made(texts: DataFrame, classes: DataFrame, seed: int, make, scratch: Scratch) -> DataFrame:
-    """class and made, for the given classes; they are sent to the tasks if they are few enough."""
-    narrow = texts.select("text")
+    """class and made, for the given classes and, where digests clash, some more.
+
+    classes: class, and the digest of one of its texts. If they are few enough, the digests are sent to
+    the tasks, which then take the words of these texts only.
+    """
     out = "class bigint, made binary"
-    if classes.count() <= MOST_SENT:
-        asked = np.sort(np.array([r[0] for r in classes.toLocalIterator()], np.int64))
-        shared = texts.sparkSession.sparkContext.broadcast(asked)
-        found = narrow.mapInArrow(_of_classes(shared, seed, make), out)
+    classes = scratch.keep(classes)
+    number = classes.count()
+    if number <= MOST_SENT:
+        digests = np.fromiter((r[0] for r in classes.select("digest").toLocalIterator()), np.int64, number)
+        shared = texts.sparkSession.sparkContext.broadcast(np.unique(digests))
+        found = texts.select("text", F.xxhash64("text").alias("digest")).mapInArrow(_of_classes(shared, seed, make), out)
     else:
-        found = narrow.mapInArrow(_of_classes(None, seed, make), out)
+        found = texts.select("text").mapInArrow(_of_classes(None, seed, make), out)
         found = found.join(classes, "class", "left_semi")
     return scratch.keep(found.groupBy("class").agg(F.first("made").alias("made")))
 
@@ -389,12 +471,16 @@ def similar_components(
     texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     seed = 0
     while True:
-        described = scratch.keep(texts.mapInArrow(_describe(seed), SETS))
-        named = described.filter("piece IS NULL").select("doc_id", "n", "class", "proof")
-        clash = named.groupBy("class").agg(
-            ((F.min("proof") != F.max("proof")) | (F.min("n") != F.max("n"))).alias("differ")
+        described = texts.withColumn("digest", F.xxhash64("text")).mapInArrow(_describe(seed), SETS)
+        described = scratch.keep(described)
+        named = described.filter("piece IS NULL").select("doc_id", "digest", "n", "class", "proof")
+        classes = scratch.keep(
+            named.groupBy("class").agg(
+                F.min("digest").alias("digest"),
+                ((F.min("proof") != F.max("proof")) | (F.min("n") != F.max("n"))).alias("differ"),
+            )
         )
-        if clash.filter("differ").isEmpty():
+        if classes.filter("differ").isEmpty():
             break
         seed += 2  # two different sets with one class id: name the classes anew
     frequency = np.zeros((1 << GROUP_BITS) // PIECE * PIECE, np.int64)
@@ -431,12 +517,13 @@ def similar_components(
     # two sets of which one is much smaller do not link
     lists = lists.filter("rows > 2 OR rows = 2 AND 4 * least >= 3 * most").select("list")
     members = scratch.keep(shared.join(scratch.keep(lists), "list"))
-    points = _made(texts, members.select("class").distinct(), seed, count_vector, scratch)
+    classes = classes.select("class", "digest")
+    points = _made(texts, classes.join(members, "class", "left_semi"), seed, count_vector, scratch)
 
     opened = _cells(members.withColumn("root", F.col("class")), scratch)
     pairs = scratch.keep(_surviving(opened, points, True))
-    either = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    sets = _made(texts, either, seed, np.ndarray.tobytes, scratch)
+    either = pairs.select(F.explode(F.array("a", "b")).alias("class"))
+    sets = _made(texts, classes.join(either, "class", "left_semi"), seed, np.ndarray.tobytes, scratch)
     links = _verified(pairs, sets, scratch)
     # a class without any survivor is done
     members = scratch.keep(members.join(sets.select("class"), "class", "left_semi"))

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyloom.llm import jaccard_join
@@ -137,3 +139,86 @@ def test_nul_is_part_of_a_word(documents, scratch):
     rows = [(1, "a b c d e f"), (2, "a\0b c d e f"), (3, "\0"), (4, "")]
     got = {r.doc_id: r.n_shingles for r in similar_components(documents(rows), scratch).collect()}
     assert got == {1: 2, 2: 1, 3: 1, 4: 0}
+
+
+@pytest.mark.parametrize("texts_of", [3, 70_000])
+def test_orders_are_those_of_plain_sorts(texts_of):
+    rnd = np.random.default_rng(3)
+    texts = np.sort(rnd.integers(0, texts_of, 5000))
+    hashes = rnd.integers(0, 900, 5000).astype(np.uint64)
+    order = jaccard_join._by_text(hashes, texts)
+    plain = np.lexsort((hashes, texts))
+    assert (hashes[order] == hashes[plain]).all() and (texts[order] == texts[plain]).all()
+    hashes, texts = jaccard_join._distinct(hashes, texts)
+    frequency = rnd.integers(0, 4, 1 << jaccard_join.GROUP_BITS)
+    for counts in (frequency, frequency << 40):  # counts beyond the packed keys too
+        plain = np.lexsort((hashes, counts[hashes.astype(np.int64)], texts))
+        rarest = jaccard_join._rarest_first(hashes, texts, counts)
+        assert (rarest[0] == hashes[plain]).all() and (rarest[1] == texts[plain]).all()
+    assert not len(jaccard_join._rarest_first(hashes[:0], texts[:0], frequency)[0])
+
+
+@pytest.mark.parametrize("most", [15, 200, 1 << 24])
+def test_tree_joined_with_itself_finds_what_its_points_reach(most):
+    """Counts that fit into layers, that do not, and unknown ones."""
+    rnd = np.random.default_rng(most)
+    base = rnd.integers(0, 3, (12, 32)).astype(np.float32)
+    points = np.repeat(base, 12, axis=0) + (rnd.random((144, 32)) < 0.1)
+    points[rnd.random(144) < 0.3, 5] = most
+    sizes = np.minimum(points, 40).sum(1).astype(np.int64)
+    order = np.argsort(sizes, kind="stable")
+    points, sizes = points[order], sizes[order]
+    tree = jaccard_join.RTree(points, sizes)
+    bounds = tree.join()
+    found = 0
+    for number in range(len(points)):
+        at, shared = tree.reach(points[number], sizes[number], np.arange(len(points)) < number)
+        assert (np.flatnonzero(bounds[number, :number] >= 0) == at).all()
+        # beyond 2^24, which stands for an unknown count, floats round
+        assert np.allclose(bounds[number, at], shared, 1e-6) and (bounds[number, at] == bounds[at, number]).all()
+        found += len(at)
+    assert found > 144
+
+
+@pytest.mark.parametrize("sides", [[0], [1, 2]])
+def test_joined_and_searched_trees_agree(monkeypatch, sides):
+    rnd = np.random.default_rng(5)
+    sets = []
+    for _ in range(30):
+        base = np.unique(rnd.integers(0, 1 << 62, rnd.integers(2, 200), np.uint64))
+        sets += [np.unique(rnd.permutation(base)[: max(1, int(len(base) * rnd.uniform(0.8, 1)))]) for _ in range(4)]
+    roots = rnd.integers(0, 90, len(sets)).tolist()
+    given = [count_vector(s) for s in sets], [len(s) for s in sets], roots, [sides[i % len(sides)] for i in range(len(sets))]
+    joined = [survivors(*given, spanning) for spanning in (False, True)]
+    monkeypatch.setattr(jaccard_join, "MOST_JOINED", 0)
+    searched = [survivors(*given, spanning) for spanning in (False, True)]
+    assert {frozenset(p) for p in joined[0]} == {frozenset(p) for p in searched[0]}
+
+    def parts(pairs):
+        of = list(range(len(sets)))
+        for one, two in pairs:
+            of = [of[one] if part == of[two] else part for part in of]
+        return {frozenset(i for i, part in enumerate(of) if part == p) for p in of}
+
+    assert parts(joined[1]) == parts(joined[0]) and len(joined[1]) <= len(joined[0])
+
+
+def test_words_are_taken_of_wanted_texts_only(monkeypatch):
+    taken = []
+    real = jaccard_join.shingle_sets
+    monkeypatch.setattr(jaccard_join, "shingle_sets", lambda data, offsets: taken.append(len(data)) or real(data, offsets))
+    rows = pa.RecordBatch.from_pydict({"text": ["a b c d e f", "g h", None, "A b c d e f", "g h"], "digest": [1, 2, 3, 4, 2]})
+    wanted = SimpleNamespace(value=np.array([2, 4, 9]))
+    made = pa.Table.from_batches(jaccard_join._of_classes(wanted, 0, np.ndarray.tobytes)([rows]))
+    assert [len(m) // 8 for m in made["made"].to_pylist()] == [1, 2]
+    assert sum(taken) == len("g hA b c d e fg h")
+    assert sum(taken) < sum(len(t or "") for t in rows["text"].to_pylist())
+
+
+@pytest.mark.parametrize("most_sent", [0, 4_000_000])
+def test_classes_sent_or_joined(documents, scratch, monkeypatch, most_sent):
+    """Digests of texts choose what is read again, whether they are sent to the tasks or not."""
+    monkeypatch.setattr(jaccard_join, "MOST_SENT", most_sent)
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    rows = [(9, base), (4, base.upper()), (7, base + " more"), (3, base + " more"), (1, "none of these"), (2, None)]
+    assert run(documents, scratch, rows) == brute(rows)
