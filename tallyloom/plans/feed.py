@@ -225,8 +225,10 @@ def repeated_deliveries(parsed: DataFrame) -> DataFrame:
     )
 
 
-def _single(parsed: DataFrame) -> DataFrame:
-    return parsed.join(repeated_deliveries(parsed), "product_id", "left_anti")
+def _single(parsed: DataFrame, once: bool) -> DataFrame:
+    """Products delivered once. ``once`` says that all are: :func:`parse_feed` has taken the last
+    deliveries of a feed with a sequence, and counting them again would hold them beside the counts."""
+    return parsed if once else parsed.join(repeated_deliveries(parsed), "product_id", "left_anti")
 
 
 # --- headers ----------------------------------------------------------------------------------
@@ -484,10 +486,11 @@ def feed_rejects(tables: Tables, parsed: DataFrame) -> DataFrame:
     return parsed.join(known, "business_uid", "left_anti").select("product_id", "business_uid")
 
 
-def load_feed(tables: Tables, parsed: DataFrame, as_of: dt.datetime) -> LazyTables:
-    """Products and all child tables of a feed of new products, each delivered once."""
+def load_feed(tables: Tables, parsed: DataFrame, as_of: dt.datetime, once: bool = False) -> LazyTables:
+    """Products and all child tables of a feed of new products, each delivered once. Give ``once`` if
+    the feed had a sequence: repeated deliveries are then settled, and are not looked for again."""
     known = tables["businesses"].select(F.col("uid").alias("business_uid"))
-    loadable = _single(parsed).join(known, "business_uid", "left_semi")
+    loadable = _single(parsed, once).join(known, "business_uid", "left_semi")
     return _with_products(
         lambda: new_products(tables, loadable, as_of),
         feed_children(tables, loadable).__getitem__,
@@ -536,13 +539,14 @@ def replaced_products(products: DataFrame, parsed: DataFrame, as_of: dt.datetime
 
 
 def replace(
-    tables: Tables, children: Tables, parsed: DataFrame, as_of: dt.datetime
+    tables: Tables, children: Tables, parsed: DataFrame, as_of: dt.datetime, once: bool = False
 ) -> LazyTables:
     """All tables after a full replace: ``tables`` holds products, businesses and categories,
     ``children`` the child tables. Children of delivered products are replaced as a whole; feed
-    rows of unknown products change nothing. Write the result to a new snapshot folder."""
+    rows of unknown products change nothing. ``once`` as in :func:`load_feed`. Write the result to a
+    new snapshot folder."""
     ids = tables["products"].select(F.col("id").alias("product_id"))
-    known = _single(parsed).join(ids, "product_id", "left_semi")
+    known = _single(parsed, once).join(ids, "product_id", "left_semi")
     fresh = feed_children(tables, known)
     return _with_products(
         lambda: replaced_products(tables["products"], known, as_of),
@@ -564,14 +568,19 @@ BUCKET_KEYS = {"products": "id", **{name: "product_id" for name in CHILD_TABLES}
 
 
 def replace_in_buckets(
-    snapshot: BucketedTables, tables: Tables, parsed: DataFrame, as_of: dt.datetime, name: str
+    snapshot: BucketedTables,
+    tables: Tables,
+    parsed: DataFrame,
+    as_of: dt.datetime,
+    name: str,
+    once: bool = False,
 ) -> frozenset[int]:
     """:func:`replace` on a bucketed snapshot, into the new snapshot ``name``: reads and writes the
     buckets of the delivered products only, and gives their numbers. ``tables`` has the categories.
     Write ``parsed`` once before: it is read for every table."""
     numbers = snapshot.touched(parsed, "product_id")
     base = snapshot.only(numbers)
-    after = replace({**tables, "products": base["products"]}, base, parsed, as_of)
+    after = replace({**tables, "products": base["products"]}, base, parsed, as_of, once)
     snapshot.write_changed(after, BUCKET_KEYS, numbers, name)
     return numbers
 

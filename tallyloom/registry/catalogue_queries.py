@@ -173,11 +173,12 @@ FEED_PRODUCTS_SQL = f"""
 
 
 def _parsed(t, name: str = "product_feed"):
+    """Both feeds have a sequence, so a product is in here once."""
     return feed.parse_feed(t[name])
 
 
 def _loaded(t):
-    return feed.load_feed(t, _parsed(t), AS_OF)
+    return feed.load_feed(t, _parsed(t), AS_OF, once=True)
 
 
 def _stored(t):
@@ -205,7 +206,7 @@ def _left_child(name: str):
 
 
 def _replaced(t):
-    return feed.replace(t, _stored(t), _parsed(t, "revised_feed"), AS_OF)
+    return feed.replace(t, _stored(t), _parsed(t, "revised_feed"), AS_OF, once=True)
 
 
 def _replaced_products(t):
@@ -274,7 +275,7 @@ def _bucketed(t):
     first = {"products": t["products"], **feed.feed_children(t, _parsed(t).checkpoint())}
     write_buckets(first, feed.BUCKET_KEYS, root, "1", buckets=16)
     parsed = _parsed(t, "revised_feed").checkpoint()
-    feed.replace_in_buckets(BucketedTables(spark, root, "1"), t, parsed, AS_OF, "2")
+    feed.replace_in_buckets(BucketedTables(spark, root, "1"), t, parsed, AS_OF, "2", once=True)
     feed.delete_in_buckets(BucketedTables(spark, root, "2"), _withdrawn(t), "3")
     left = BucketedTables(spark, root, "3")
     products = left["products"].select(
