@@ -16,6 +16,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 QUERIES = [
     "feed_documents",
+    "feed_images",
 ]
 
 
