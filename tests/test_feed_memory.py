@@ -17,6 +17,7 @@ FOLDER = "/root/testdata/sf0.001"
 QUERIES = [
     "feed_documents",
     "feed_images",
+    "feed_metadata",
     "feed_products",
     "feed_variants",
 ]
