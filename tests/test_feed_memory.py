@@ -18,6 +18,7 @@ QUERIES = [
     "feed_documents",
     "feed_images",
     "feed_metadata",
+    "feed_option_variants",
     "feed_products",
     "feed_variants",
 ]
