@@ -19,6 +19,7 @@ QUERIES = [
     "feed_images",
     "feed_metadata",
     "feed_option_variants",
+    "feed_options",
     "feed_products",
     "feed_variants",
 ]
