@@ -22,6 +22,7 @@ QUERIES = [
     "feed_options",
     "feed_products",
     "feed_variants",
+    "feed_videos",
 ]
 
 
