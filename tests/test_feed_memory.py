@@ -23,6 +23,7 @@ QUERIES = [
     "feed_products",
     "feed_variants",
     "feed_videos",
+    "product_change_log",
 ]
 
 
