@@ -24,6 +24,7 @@ QUERIES = [
     "feed_variants",
     "feed_videos",
     "product_change_log",
+    "product_change_log_committed",
 ]
 
 
