@@ -18,6 +18,7 @@ QUERIES = [
     "feed_documents",
     "feed_images",
     "feed_metadata",
+    "feed_option_rejects",
     "feed_option_variants",
     "feed_options",
     "feed_products",
