@@ -26,6 +26,7 @@ QUERIES = [
     "feed_videos",
     "product_change_log",
     "product_change_log_committed",
+    "product_delete_documents",
     "product_delete_options",
 ]
 
