@@ -27,6 +27,7 @@ QUERIES = [
     "product_change_log",
     "product_change_log_committed",
     "product_delete_documents",
+    "product_delete_images",
     "product_delete_options",
 ]
 
