@@ -28,6 +28,7 @@ QUERIES = [
     "product_change_log_committed",
     "product_delete_documents",
     "product_delete_images",
+    "product_delete_metadata",
     "product_delete_options",
 ]
 
