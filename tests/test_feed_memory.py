@@ -29,6 +29,7 @@ QUERIES = [
     "product_delete_documents",
     "product_delete_images",
     "product_delete_metadata",
+    "product_delete_option_variants",
     "product_delete_options",
 ]
 
