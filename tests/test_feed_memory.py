@@ -24,6 +24,7 @@ QUERIES = [
     "feed_products",
     "feed_variants",
     "feed_videos",
+    "product_buckets",
     "product_change_log",
     "product_change_log_committed",
     "product_delete_documents",
