@@ -54,6 +54,11 @@ HEADER = [
     "metric",
 ]
 
+# Partitions that payloads are dealt to first, whatever ``spark.sql.shuffle.partitions`` says. Up to
+# ``spark.shuffle.sort.bypassMergeThreshold`` a scan task writes its rows as they come; for more
+# partitions it would hold them all to sort them. Larger partitions are split when they are read.
+DEALT_TO = 200
+
 
 def parse_feed(feed: DataFrame) -> DataFrame:
     """``product_id`` and one column per payload field. Text that is no JSON object gives NULLs.
@@ -74,7 +79,7 @@ def _as_text(feed: DataFrame) -> DataFrame:
         # A maximum over texts is taken in sorted rows, and a scan task may hold any number of payloads:
         # so rows are dealt to partitions of bounded size first. Dealt by the sequence too, they combine
         # there before the shuffle to their product, however often it is delivered.
-        feed = feed.hint("rebalance", "product_id", "sequence")
+        feed = feed.hint("rebalance", DEALT_TO, "product_id", "sequence")
         last = F.max(F.struct("sequence", "payload")).alias("last")
         feed = feed.groupBy("product_id").agg(last).select("product_id", "last.payload")
     parsed = feed.select("product_id", F.from_json("payload", FEED_PAYLOAD).alias("p"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import pytest
 from test_feed import AS_OF, BARE, FULL, deepest, rows, tables  # noqa: F401
@@ -34,6 +35,11 @@ QUERIES = [
     "product_delete_options",
 ]
 
+# in sessions of many partitions, too
+WITH_MANY_PARTITIONS = [
+    "feed_images",
+]
+
 
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
@@ -54,6 +60,26 @@ def test_tasks_of_a_query_hold_bounded_payloads(spark, monkeypatch, name):
         assert "REBALANCE_PARTITIONS_BY_COL" in deepest(plan)
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables are missing")
+@pytest.mark.parametrize("name", WITH_MANY_PARTITIONS)
+def test_scan_tasks_write_payloads_as_they_come(spark, monkeypatch, name):
+    """A shuffle into more partitions than the threshold holds and sorts what a task gives it."""
+    threshold = int(spark.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    parse, parsed = feed.parse_feed, []
+    monkeypatch.setattr(feed, "parse_feed", lambda df: parsed.append(parse(df)) or parsed[-1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(2 * threshold))
+    try:
+        catalogue_queries.queries()[name](spark, FOLDER)
+        plans = [plan_of(df) for df in parsed]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert plans
+    for plan in plans:
+        dealt = re.findall(r", (\d+)\), REBALANCE_PARTITIONS_BY_COL", plan)
+        assert dealt and all(int(number) <= threshold for number in dealt)
+
+
 def test_settled_deliveries_are_not_compared_again(make, tables):  # noqa: F811
     """The same rows from half as many passes over the feed, with blank and repeated products."""
     deliveries = [
