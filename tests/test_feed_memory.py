@@ -38,6 +38,7 @@ QUERIES = [
 # in sessions of many partitions, too
 WITH_MANY_PARTITIONS = [
     "feed_images",
+    "feed_metadata",
 ]
 
 
