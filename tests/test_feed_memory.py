@@ -41,6 +41,7 @@ WITH_MANY_PARTITIONS = [
     "feed_metadata",
     "feed_option_rejects",
     "feed_option_variants",
+    "feed_options",
 ]
 
 
