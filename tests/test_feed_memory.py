@@ -42,6 +42,7 @@ WITH_MANY_PARTITIONS = [
     "feed_option_rejects",
     "feed_option_variants",
     "feed_options",
+    "feed_products",
 ]
 
 
