@@ -43,6 +43,7 @@ WITH_MANY_PARTITIONS = [
     "feed_option_variants",
     "feed_options",
     "feed_products",
+    "feed_variants",
 ]
 
 
