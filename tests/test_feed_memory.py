@@ -44,6 +44,7 @@ WITH_MANY_PARTITIONS = [
     "feed_options",
     "feed_products",
     "feed_variants",
+    "feed_videos",
 ]
 
 
