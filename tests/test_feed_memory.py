@@ -37,6 +37,7 @@ QUERIES = [
 
 # in sessions of many partitions, too
 WITH_MANY_PARTITIONS = [
+    "feed_documents",
     "feed_images",
     "feed_metadata",
     "feed_option_rejects",
@@ -45,6 +46,7 @@ WITH_MANY_PARTITIONS = [
     "feed_products",
     "feed_variants",
     "feed_videos",
+    "product_buckets",
     "product_change_log",
     "product_change_log_committed",
     "product_delete_documents",
